@@ -87,7 +87,8 @@ def _pivot(part: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.nda
 
 
 def _round(table: pa.Table, last: bool) -> pa.Table:
-    table = table.sort_by([("key", "ascending"), ("rid", "ascending")])
+    # Long texts first, so that what is left unrounded in the end is short.
+    table = table.sort_by([("size", "descending"), ("key", "ascending"), ("rid", "ascending")])
     draw = _uniform(table["key"].to_numpy().astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
     extra, held, share = _pivot(table["part"].to_numpy(), table["size"].to_numpy().astype(float), draw)
     left = np.zeros(len(table))
