@@ -94,7 +94,7 @@ def _round(table: pa.Table, last: bool) -> pa.Table:
     left = np.zeros(len(table))
     if held >= 0:
         if last:
-            extra[held] = 1.0 if draw[held] < share else 0.0
+            extra[held] = round(share)  # to the nearer, so its source misses the target by half a text at most
         else:
             left[held] = share
     return table.append_column("extra", pa.array(extra.astype(np.int64))).append_column("left", pa.array(left))
@@ -107,8 +107,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     size) and key (the hash that fixes the row's draw), a row for each row of
     docs. Sources rank by code point, null last, and weigh `weights` in
     turn. A source takes copies floor(f) or ceil(f) of each document, f =
-    target / source_size, so that its words miss the target by less than one
-    document. Texts that are null or have no words are never taken. Rows that
+    target / source_size, so that its words miss the target by half a
+    document at most. Texts that are null or have no words are never taken. Rows that
     repeat are separate rows; an empty table gives an empty one; other columns
     are not read. Draws hang on hashes of doc_id and size alone, and groups on
     the same hashes, so a rerun over the same rows agrees.
