@@ -1 +1 @@
-
+"""Column functions: levels, units, tolerances, text and geometry."""

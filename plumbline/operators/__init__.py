@@ -1 +1 @@
-
+"""Relational operators over measured records."""
