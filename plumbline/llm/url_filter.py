@@ -59,6 +59,9 @@ class Model:
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts.astype(np.float32)
         self.threshold = 0.0
+        # Slot 1 has all characters of a side. The larger side is smoothed as if it were no larger.
+        size = np.maximum(self.counts[:, 1], 1)
+        self.backoff = BACKOFF * size / size.min()
 
     def ratio(self, docs: Docs) -> np.ndarray:
         """Log-likelihood of each URL as accepted less that as rejected, for each character."""
@@ -66,9 +69,9 @@ class Model:
         slots = _slots(docs)
         for side, sign in ((0, 1), (1, -1)):
             p = np.full(docs.data.size, 1 / 256)
+            table, weight = self.counts[side], self.backoff[side]
             for at, gram, context in slots:
-                table = self.counts[side]
-                p[at] = (table[gram] + BACKOFF * p[at]) / np.maximum(table[context] + BACKOFF, table[gram] + BACKOFF)
+                p[at] = (table[gram] + weight * p[at]) / (np.maximum(table[context], table[gram]) + weight)
             total += sign * np.log(p)
         return sums(total, docs.at) / np.maximum(np.diff(docs.at), 1)
 
@@ -118,10 +121,10 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.where("fold = 0").select("text", "accepted").mapInArrow(spread, "bin long, yes long, no long").groupBy("bin").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).orderBy("bin").toArrow()
     if len(rows):
         yes, no = rows["yes"].to_numpy().astype(float), rows["no"].to_numpy().astype(float)
-        if yes.sum() and no.sum():  # balanced accuracy; of equals, the one nearest to 0
+        if yes.sum() and no.sum():  # balanced accuracy; the middle of the best thresholds
             right = (yes.sum() - np.cumsum(yes)) / yes.sum() + np.cumsum(no) / no.sum()
             best = np.flatnonzero(right[:-1] >= right[:-1].max() - 1e-12)
-            model.threshold = float(edges[best[np.argmin(np.abs(edges[best]))]])
+            model.threshold = float(edges[best].mean())
     return model
 
 
