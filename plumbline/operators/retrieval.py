@@ -122,7 +122,13 @@ def sub_split(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
     total = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda s, p: s + size(p).cast("long"))
     paragraphs = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")
     kind = "struct<done: array<array<string>>, now: array<string>>"
-    tail = lambda ps: F.aggregate(F.reverse(ps), F.array().cast("array<string>"), lambda kept, p: F.when(total(kept) + size(p) <= overlap, F.concat(F.array(p), kept)).otherwise(kept))
+    none = F.array().cast("array<string>")
+
+    def keep(state: Column, p: Column) -> Column:
+        fits = state["open"] & (total(state["kept"]) + size(p) <= overlap)
+        return F.struct(F.when(fits, F.concat(F.array(p), state["kept"])).otherwise(state["kept"]).alias("kept"), fits.alias("open"))
+
+    tail = lambda ps: F.aggregate(F.reverse(ps), F.struct(none.alias("kept"), F.lit(True).alias("open")), keep, lambda s: s["kept"])
 
     def step(state: Column, p: Column) -> Column:
         full = (F.size(state["now"]) > 0) & (total(state["now"]) + size(p) > max_tokens)

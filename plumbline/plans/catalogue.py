@@ -117,7 +117,7 @@ def reconcile_candidates(spark, sf_dir):
 
 @query(f"WITH {p.SQL_CANDIDATES.replace('l_orderkey AS plan_id', 'l_suppkey AS plan_id')}, {_SPREAD} SELECT plan_id, field, pos, value, n < 3 OR mad < 1e-9 OR 0.6745 * dev / nullif(mad, 0) <= 3.5 AS kept FROM r")
 def mad_outliers(spark, sf_dir):
-    rows = p.candidates(spark, sf_dir).withColumn("plan_id", F.col("pos") % 10000)
+    rows = p.candidates(spark, sf_dir).withColumn("plan_id", F.floor(F.col("pos") / 100) % 10000)
     return reconcile.mad_outliers(rows, ["plan_id", "field"]).select("plan_id", "field", "pos", "value", "kept")
 
 
@@ -125,7 +125,7 @@ def mad_outliers(spark, sf_dir):
 g AS (SELECT plan_id, field, median(value) FILTER (kept) AS scale, count(*) FILTER (kept) AS n_used, count(*) FILTER (NOT kept) AS n_rejected FROM k GROUP BY ALL)
 SELECT *, CASE WHEN n_used >= 3 THEN 'HIGH' WHEN n_used = 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM g""")
 def scale_estimate(spark, sf_dir):
-    rows = p.candidates(spark, sf_dir).withColumn("plan_id", F.col("pos") % 10000)
+    rows = p.candidates(spark, sf_dir).withColumn("plan_id", F.floor(F.col("pos") / 100) % 10000)
     return reconcile.scale_estimate(rows, ["plan_id", "field"])
 
 
@@ -471,10 +471,10 @@ def mcnemar_counts(spark, sf_dir):
 d AS (SELECT field, g, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y FROM v GROUP BY ALL),
 t AS (SELECT field, g, x, y, unnest(range(least(x, y) + 1)) AS i FROM d),
 p AS (SELECT field, g, sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) AS half FROM t GROUP BY ALL)
-SELECT field, g, CAST(floor(least(1.0, 2 * half) * 1e6 + 0.5) AS BIGINT) AS p_micro FROM p""")
+SELECT field, g, CAST(floor(least(1.0, 2 * half) * 1e6 + 0.3) AS BIGINT) AS p_micro FROM p""")
 def mcnemar(spark, sf_dir):
     tested = scoring.mcnemar(_two_variants(spark, sf_dir), "a", "b", "field", "g")
-    return tested.select("field", "g", F.floor(F.col("p_value") * 1e6 + 0.5).cast("long").alias("p_micro"))
+    return tested.select("field", "g", F.floor(F.col("p_value") * 1e6 + 0.3).cast("long").alias("p_micro"))
 
 
 @query(f"""WITH {p.SQL_SCORES}, g AS (SELECT field, count(*) FILTER (status = 'CORRECT') AS k, count(*)::DOUBLE AS n FROM scores WHERE truth IS NOT NULL GROUP BY field), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS q FROM g)

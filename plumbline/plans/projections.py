@@ -36,7 +36,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("value"),
         (F.lit(1.0) - F.lit(4.0) * (F.col("l_discount") + F.lit(0.0))).alias("confidence"),
         F.col("l_linenumber").alias("page"),
-        (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).cast("long").alias("pos"),
+        ((F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("pos"),
         pick(KINDS, F.col("l_partkey") % 4).alias("kind"),
         (F.col("l_linestatus") == "F").alias("grounded"),
         F.col("l_returnflag").alias("region"),
@@ -46,7 +46,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CANDIDATES = f"""candidates AS (
     SELECT l_orderkey AS plan_id, {sql_pick(CANDIDATE_FIELDS, "l_partkey % 13")} AS field, {sql_pick(SOURCES, "l_suppkey % 3")} AS source, l_quantity AS value,
         1.0::DOUBLE - 4.0::DOUBLE * (l_discount + 0.0::DOUBLE) AS confidence, l_linenumber AS page,
-        l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS pos, {sql_pick(KINDS, "l_partkey % 4")} AS kind, l_linestatus = 'F' AS grounded, l_returnflag AS region
+        (l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS pos, {sql_pick(KINDS, "l_partkey % 4")} AS kind, l_linestatus = 'F' AS grounded, l_returnflag AS region
     FROM lineitem)"""
 
 #: How the wide plan's numbers follow from orders (k: o_orderkey, c: o_custkey); both engines read the same text.
