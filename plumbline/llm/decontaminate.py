@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import LOWER, Docs, grams, slices, words
 
 #: A shared span of GRAM + WINDOW - 1 words has a fingerprint in common, so SPAN words are never missed.
@@ -170,26 +171,26 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     by its size); each block is one more pass over the rows' own results, so
     nothing is shuffled.
     """
-    spark, out = docs.sparkSession, docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
+    spark, out = docs.sparkSession, docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast(_FOUND).alias("found"))
     schema = out.schema
     for block in _blocks(benchmark, item_text, item_id, block_bytes):
         shared = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_matcher(shared), schema)
-    return out.select("row", "found")
+        out = map_arrow(out, _matcher(shared, docs.columns.index(text)), schema)
+    return out
 
 
 _INDEX: list = [None, None]  # the worker's last block, and its index
 
 
-def _matcher(shared):
+def _matcher(shared, place: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _INDEX[0] is not shared.value:
             _INDEX[:] = shared.value, Index(shared.value)
         index = _INDEX[1]
         for batch in batches:
-            before = batch.column(2)
+            before = batch.column(1)
             result = []
-            for docs in slices(batch.column(1)):
+            for docs in slices(batch.column(0).field(place)):
                 n, spans, items = index.match(docs)
                 result += zip(n.tolist(), spans, items, strict=True)
             rows = []
@@ -197,7 +198,7 @@ def _matcher(shared):
                 old = old.as_py() if old.is_valid else {"spans": [], "items": []}
                 spans = _union([*map(tuple, old["spans"]), *spans])
                 rows.append({"n_words": n, "spans": [list(s) for s in spans], "items": sorted({*old["items"], *(index.names[i] for i in items)})})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, before.type)], names=["row", "text", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, before.type)], names=["row", "found"])
 
     return match
 

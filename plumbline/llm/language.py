@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import Docs, codepoints, slices, sums
 
 #: Documents that training uses at most, by the smallest hashes of their texts; a fifth of them calibrate.
@@ -68,7 +69,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, SLOTS)), pa.array(np.append(total[some], n))], names=["slot", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_arrow(docs.select(text), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS + 1, dtype=np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out[:SLOTS], int(out[SLOTS])
@@ -165,12 +166,13 @@ def languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from, every text is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(0).field(place)):
                 names, score = shared.value.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, T.StructType([rows.schema["row"]]).add("lang_pred", T.StringType()).add("score", T.DoubleType()))
+    return map_arrow(rows, predict, T.StructType([rows.schema["row"]]).add("lang_pred", T.StringType()).add("score", T.DoubleType()))

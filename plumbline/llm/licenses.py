@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import LOWER, Docs, slices, spans, words
 
 #: Phrases and the labels they give wherever they stand.
@@ -157,7 +158,7 @@ def template_frequencies(docs: DataFrame, templates: list[tuple[str, str]], text
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([vocabulary.names[i] for i in some], pa.string()), pa.array(total[some])], names=["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select(text), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: r.n for r in counts.collect()}
 
 
@@ -187,4 +188,4 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), *columns], names=["doc_id", *kinds])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_arrow(docs.select(doc_id, text), scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import bag_minhash as bag
-from plumbline.llm.scratch import store
+from plumbline.llm.scratch import map_arrow, store
 from plumbline.llm.vectors import slices
 
 SIMILARITY = 0.8
 #: Bytes of text signed at once, and nodes in a block that meets another.
-CHUNK, BLOCK = 4 << 20, 512
+CHUNK, BLOCK = 2 << 20, 512
 #: Signatures that fall short of the threshold by this much (over 5 standard deviations) aren't compared further.
 PRUNE = 0.18
 _NODE = "struct<a:bigint,b:bigint>"
@@ -125,7 +125,7 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("node").alias("l_node"), F.col("elements").alias("left_elements"))
     right = sets.select(F.col("node").alias("r_node"), F.col("elements").alias("right_elements"))
     met = pairs.join(left, F.col("u") == F.col("l_node")).drop("l_node").join(right, F.col("v") == F.col("r_node")).drop("r_node")
-    return met.mapInArrow(_verify(threshold), f"u {_NODE}, v {_NODE}, similarity double")
+    return map_arrow(met, _verify(threshold), f"u {_NODE}, v {_NODE}, similarity double")
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     longs = T.ArrayType(T.LongType())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = T.StructType().add("doc_id", kind).add("text_hash", T.LongType()).add("node", node).add("bands", longs)
-    members = store(rows.mapInArrow(_sign, signed), "members")
+    members = store(map_arrow(rows, _sign, signed), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = store(members.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_hash").eqNullSafe(F.col("w_hash"))).select("node", "text")
     sets = T.StructType().add("node", node).add("registers", T.BinaryType()).add("elements", longs)
-    sets = store(texts.mapInArrow(_elements, sets).dropDuplicates(["node"]), "sets")
+    sets = store(map_arrow(texts, _elements, sets).dropDuplicates(["node"]), "sets")
 
     pairs = buckets.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     stars = store(linked(pairs, sets.drop("registers"), threshold), "stars")

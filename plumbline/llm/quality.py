@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import LOWER, Docs, hash_spans, maxima, slices, spans, sums, words
 
 #: Labelled documents that training uses at most: those with the smallest hashes of their ids.
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     # The sampled labels are at most about sample_rows pairs of numbers.
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id")).select("y", "text")
-    got = rows.mapInArrow(measured, "y double, x array<float>").toArrow()
+    got = map_arrow(rows, measured, "y double, x array<float>").toArrow()
     if not len(got):
         return fit(np.empty((0, len(NAMES))), np.empty(0))
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(len(got), -1)
@@ -203,14 +204,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def with_quality(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """row (all columns of docs) and score, 0 to 1, for every row; null and empty texts are scored as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(featurise(batch.column(1)))
+            score = shared.value.score(featurise(batch.column(0).field(place)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
 
-    return rows.mapInArrow(scored, T.StructType([rows.schema["row"]]).add("score", T.DoubleType()))
+    return map_arrow(rows, scored, T.StructType([rows.schema["row"]]).add("score", T.DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7, learn=None) -> DataFrame:

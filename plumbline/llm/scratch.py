@@ -17,6 +17,18 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of rows that a Python worker gets at once; a longer row comes alone.
+BATCH_BYTES = "8m"
+
+
+def map_arrow(rows: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, not by rows alone, unless the session sets its own bound."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return rows.mapInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, else one for this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from plumbline.llm.pretokens import encoder, read_vocabulary, whole_tokens
+from plumbline.llm.scratch import map_arrow
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -35,4 +36,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, whole, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "n_whole", "over_limit"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, n_whole long, over_limit boolean")
+    return map_arrow(docs.select(doc_id, text), count, f"doc_id {kind}, n_bytes long, n_tokens long, n_whole long, over_limit boolean")

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import Docs, grams, mix, slices, sums
 
 #: Fixed values: (verdict, rule).
@@ -101,7 +102,7 @@ def train(labelled: DataFrame) -> Model:
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["slot", "yes", "no"])
 
-    rows = labelled.where("fold > 0").select("text", "accepted").mapInArrow(count, "slot long, yes long, no long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
+    rows = map_arrow(labelled.where("fold > 0").select("text", "accepted"), count, "slot long, yes long, no long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
     counts = np.zeros((2, SLOTS))
     counts[0, rows["slot"].to_numpy()], counts[1, rows["slot"].to_numpy()] = rows["yes"].to_numpy(), rows["no"].to_numpy()
     model = Model(counts)
@@ -118,7 +119,7 @@ def train(labelled: DataFrame) -> Model:
                     total[side] += np.bincount(bins[accepted[docs.first : docs.last] == (side == 0)], minlength=edges.size + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(edges.size + 1)), pa.array(total[0]), pa.array(total[1])], names=["bin", "yes", "no"])
 
-    rows = labelled.where("fold = 0").select("text", "accepted").mapInArrow(spread, "bin long, yes long, no long").groupBy("bin").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).orderBy("bin").toArrow()
+    rows = map_arrow(labelled.where("fold = 0").select("text", "accepted"), spread, "bin long, yes long, no long").groupBy("bin").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).orderBy("bin").toArrow()
     if len(rows):
         yes, no = rows["yes"].to_numpy().astype(float), rows["no"].to_numpy().astype(float)
         if yes.sum() and no.sum():  # balanced accuracy; the middle of the best thresholds
@@ -159,4 +160,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out[:4]), pc.coalesce(known, guess.cast(known.type)), ratio], names=out)
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, ratio double")
+    return map_arrow(rows, judge, f"page_id {kind}, host string, path string, rule string, verdict string, ratio double")
