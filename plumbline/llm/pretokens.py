@@ -11,6 +11,7 @@ special token's string, go through the library whole.
 from __future__ import annotations
 
 import os
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from plumbline.llm.vectors import CHUNK, Docs, hash_spans, slices
+from plumbline.llm.vectors import Docs, hash_spans, slices
 
 #: The split pattern of byte-level BPE, and the code points whose
 #: classes are settled in every Unicode version in use.
@@ -28,7 +29,9 @@ SETTLED = ((0x0000, 0x052F), (0x0620, 0x06D3), (0x2010, 0x205E), (0x20A0, 0x20AC
 #: A vocabulary file is broadcast whole; larger ones are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Slots of a worker's memory of pre-tokens, and the most ids of one that a slot holds.
-SLOTS, WIDTH = 1 << 20, 12
+SLOTS, WIDTH = 1 << 20, 10
+#: Bytes of text encoded at once; small, as an executor may keep more workers than cores.
+CHUNK = 1 << 17
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 
 
@@ -123,19 +126,24 @@ class Memory(NamedTuple):
     ids: np.ndarray
 
     @classmethod
-    def of(cls, slots: int, width: int) -> Memory:
-        return cls(np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.uint8), np.zeros((slots, width), np.uint32))
+    def of(cls, slots: int, width: int, ids: int) -> Memory:
+        kind = np.uint16 if ids <= 1 << 16 else np.uint32
+        return cls(np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.uint8), np.zeros((slots, width), kind))
 
     def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = (key & np.uint64(self.key.size - 1)).astype(np.int64)
         return slot, (self.key[slot] == key) & (self.check[slot] == check)
 
-    def put(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
-        for k, c, x in zip(key.tolist(), check.tolist(), ids, strict=True):
-            if len(x) <= self.ids.shape[1]:
-                slot = k & self.key.size - 1
-                self.key[slot], self.check[slot], self.count[slot] = k, c, len(x)
-                self.ids[slot, : len(x)] = x
+    def put(self, key: np.ndarray, check: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Remember spans whose ids stand in flat one after another; those too long for a slot are left out."""
+        base, short = np.cumsum(size) - size, np.flatnonzero(size <= self.ids.shape[1])
+        slot, one = np.unique((key[short] & np.uint64(self.key.size - 1)).astype(np.int64), return_index=True)
+        rows = short[one]
+        self.key[slot], self.check[slot], self.count[slot] = key[rows], check[rows], size[rows]
+        for j in range(self.ids.shape[1]):
+            more = size[rows] > j
+            slot, rows = slot[more], rows[more]
+            self.ids[slot, j] = flat[base[rows] + j]
 
 
 def _identity(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +163,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.special = regex.compile(b"|".join(regex.escape(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.classes = _classes()
-        self.whole, self.seen = Memory.of(1 << 18, 1), Memory.of(SLOTS, WIDTH)
+        n = self.tokenizer.get_vocab_size()
+        self.whole, self.seen = Memory.of(1 << 18, 1, n), Memory.of(SLOTS, WIDTH, n)
         texts = [t.encode() for t in whole]
         ends = np.cumsum([len(t) for t in texts])
         data = np.frombuffer(b"".join(texts), np.uint8)
-        self.whole.put(*_identity(data, np.concatenate([[0], ends[:-1]]), ends), [[i] for i in whole.values()])
+        self.whole.put(*_identity(data, np.concatenate([[0], ends[:-1]]), ends), np.array([*whole.values()], np.uint32), np.ones(len(texts), np.int64))
 
     def slice(self, docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a slice of documents, each document's offset among them, and its number of whole tokens."""
@@ -179,23 +188,23 @@ class Encoder:
         text = docs.data.tobytes()
         spans = zip(start[new[one]].tolist(), end[new[one]].tolist(), strict=True)
         fresh = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in spans], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in fresh], dtype=np.int64)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
         n[new] = sizes[which]
         to = np.concatenate([[0], np.cumsum(n)])
         ids = np.empty(int(to[-1]), dtype=np.uint32)
         ids[to[:-1][known]] = self.whole.ids[slot[known], 0]
         old, place = rest[seen], place[seen]
+        first = to[old]
         for j in range(WIDTH):
-            more = n[old] > j
-            if not more.any():
-                break
-            ids[to[old[more]] + j] = self.seen.ids[place[more], j]
+            more = self.seen.count[place] > j
+            first, place = first[more], place[more]
+            ids[first + j] = self.seen.ids[place, j]
         if new.size:
-            flat, base = np.concatenate([np.array(x, np.uint32) for x in fresh]), np.cumsum(sizes) - sizes
-            size = n[new]
+            base, size = np.cumsum(sizes) - sizes, n[new]
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             ids[np.repeat(to[new], size) + step] = flat[np.repeat(base[which], size) + step]
-            self.seen.put(key[new[one]], check[new[one]], fresh)
+            self.seen.put(key[new[one]], check[new[one]], flat, sizes)
         at = to[at]
         if odd.any():
             parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]

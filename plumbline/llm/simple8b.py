@@ -49,7 +49,10 @@ def encode(ids: np.ndarray) -> np.ndarray:
             ahead[: n - step] = window[step:] if step < n else 0
             window = np.maximum(window, ahead)
             width += step
-        selector[window <= most] = s
+        fits = window <= most
+        if not fits.any():  # then no longer run of narrower values fits either
+            break
+        selector[fits] = s
     leap = _COUNT[selector].tolist()
     starts, i = [], 0
     while i < n:

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from plumbline.llm import simple8b
 from plumbline.llm.pretokens import encoder, read_vocabulary, whole_tokens
+from plumbline.llm.scratch import map_arrow
 
 #: Bytes of text in a block; one document is never split, so a long one makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 
 def _schema(doc_id: T.DataType) -> T.StructType:
@@ -66,7 +67,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(blocks, _schema(docs.schema[doc_id].dataType)).write.option("compression", "zstd").parquet(path)
+    map_arrow(rows, blocks, _schema(docs.schema[doc_id].dataType)).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +88,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()] * len(sums), pa.int32()), keys.values, pa.array(first.as_py() + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], names=["bucket", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.select("bucket", "first", "doc_ids", "offsets", "words").mapInArrow(decoded, T.StructType().add("bucket", T.IntegerType()).add("doc_id", kind).add("start", T.LongType()).add("n_tokens", T.LongType()).add("ids_crc32", T.LongType()))
+    rows = map_arrow(files.select("bucket", "first", "doc_ids", "offsets", "words"), decoded, T.StructType().add("bucket", T.IntegerType()).add("doc_id", kind).add("start", T.LongType()).add("n_tokens", T.LongType()).add("ids_crc32", T.LongType()))
     totals = files.groupBy("bucket").agg(F.sum("total").alias("n")).orderBy("bucket").collect()
     before, bases = 0, []
     for bucket, n in totals:

@@ -30,7 +30,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
     if _POWERS.get("up", np.empty(0)).size < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, 1 << 17)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
