@@ -23,15 +23,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     Negative idf becomes EPSILON times the mean idf. Only postings of the
     queries' terms are scored; the statistics are over the whole corpus.
     """
-    postings = term_table(chunks, text)
-    corpus = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
-    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
+    words = chunks.select("pos", tokens(F.col(text)).alias("t"))
+    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean_length"))
+    idf = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
     idf = idf.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg(F.avg("raw").alias("mean"))  # one row
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     weight = asked.join(idf, "term").crossJoin(F.broadcast(floor))
     weight = weight.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))).select("query_id", "term", "idf", "mean_length")
-    hit = postings.join(weight, "term")
+    # Only words that some query has are counted for each chunk.
+    posted = words.select("pos", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hit = posted.groupBy("pos", "length", "term").agg(F.count(F.lit(1)).alias("tf")).join(weight, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return hit.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
 
