@@ -87,3 +87,87 @@ def bbox_iou(a: str, b: str) -> Column:
 def bbox_contains(a: str, b: str) -> Column:
     """Whether box a holds box b, edges included."""
     return (F.col(f"{a}_min_x") <= F.col(f"{b}_min_x")) & (F.col(f"{a}_min_y") <= F.col(f"{b}_min_y")) & (F.col(f"{a}_max_x") >= F.col(f"{b}_max_x")) & (F.col(f"{a}_max_y") >= F.col(f"{b}_max_y"))
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def box_ring(min_x: str = "min_x", min_y: str = "min_y", max_x: str = "max_x", max_y: str = "max_y") -> Column:
+    """The four corners of a box as a ring."""
+    return F.array(*(point(F.col(x), F.col(y)) for x, y in ((min_x, min_y), (max_x, min_y), (max_x, max_y), (min_x, max_y))))
+
+
+def centroid(points: Column) -> Column:
+    """Centre of mass of the ring; the mean of its vertices where it has no area."""
+    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
+    ring = edges(points)
+    twice = _total(F.transform(ring, cross))
+    by_area = lambda a, b: _total(F.transform(ring, lambda e: (e[a] + e[b]) * cross(e))) / (3.0 * twice)
+    mean = lambda axis: _total(F.transform(points, lambda p: p[axis])) / F.size(points)
+    flat = F.abs(twice) < 2e-9
+    return point(F.when(flat, mean("x")).otherwise(by_area("x1", "x2")), F.when(flat, mean("y")).otherwise(by_area("y1", "y2")))
+
+
+def segments_intersect(a: Column, b: Column) -> Column:
+    """Whether two segments (x1, y1, x2, y2) share a point: they straddle each other, or an end lies on the other."""
+    turn = lambda s, x, y: (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
+    within = lambda v, p, q: v.between(F.least(p, q) - 1e-9, F.greatest(p, q) + 1e-9)
+    touches = lambda s, x, y: (F.abs(turn(s, x, y)) < 1e-9) & within(x, s["x1"], s["x2"]) & within(y, s["y1"], s["y2"])
+    apart = lambda s, o: F.signum(turn(s, o["x1"], o["y1"])) * F.signum(turn(s, o["x2"], o["y2"])) < 0
+    ends = touches(a, b["x1"], b["y1"]) | touches(a, b["x2"], b["y2"]) | touches(b, a["x1"], a["y1"]) | touches(b, a["x2"], a["y2"])
+    return (apart(a, b) & apart(b, a)) | ends
+
+
+def segment_distance(a: Column, b: Column) -> Column:
+    """Distance of two segments, 0 where they meet."""
+    to = lambda s, x, y: point_segment_distance(x, y, s["x1"], s["y1"], s["x2"], s["y2"])
+    return F.when(segments_intersect(a, b), 0.0).otherwise(F.least(to(b, a["x1"], a["y1"]), to(b, a["x2"], a["y2"]), to(a, b["x1"], b["y1"]), to(a, b["x2"], b["y2"])))
+
+
+def polygon_edges_distance(points: Column, sides: Column) -> Column:
+    """Least distance from a ring to a group of edges; infinite if the group is empty."""
+    nearest = F.array_min(F.flatten(F.transform(edges(points), lambda e: F.transform(sides, lambda s: segment_distance(e, s)))))
+    return F.when(F.size(sides) > 0, nearest).otherwise(F.lit(float("inf")))
+
+
+def self_intersects(points: Column) -> Column:
+    """Whether two edges that are not neighbours meet."""
+    ring, n = edges(points), F.size(points)
+    apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
+    later = lambda e, i: F.exists(F.transform(ring, lambda o, j: apart(i, j) & segments_intersect(e, o)), lambda hit: hit)
+    return (n >= 4) & F.exists(F.transform(ring, later), lambda hit: hit)
+
+
+def is_valid_polygon(points: Column, min_vertices: int = 3, min_area: float = 1e-6, max_slenderness: float = 1e9) -> Column:
+    """Enough distinct vertices, an area, no sliver (perimeter squared by area), no crossing of itself."""
+    same = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < 1e-6
+    first = F.filter(points, lambda p, i: ~F.exists(F.slice(points, F.lit(1), i), lambda q: same(p, q)))
+    area = shoelace_area(points)
+    slender = F.try_divide(F.pow(perimeter(points), 2), area)
+    return (F.size(first) >= min_vertices) & (area >= min_area) & (slender <= max_slenderness) & ~self_intersects(points)
+
+
+def bbox_overlap_fraction(inner: str, outer: str) -> Column:
+    """Share of the inner box's area that lies inside the outer; 0 for an empty inner box."""
+    return F.coalesce(F.try_divide(bbox_intersection(inner, outer), bbox_area(inner)), F.lit(0.0))
+
+
+def orientation_alignment(a: Column, b: Column) -> Column:
+    """1 for parallel directions in degrees, 0 for perpendicular ones."""
+    apart = F.pmod(F.abs(a - b), F.lit(180.0))
+    return 1.0 - F.least(apart, 180.0 - apart) / 90.0
+
+
+def outward_normal(edge: Column, centre: Column) -> Column:
+    """Unit normal of an edge on the side away from the centre; 0 for an edge without length."""
+    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
+    length = F.hypot(dx, dy)
+    away = -dy * ((edge["x1"] + edge["x2"]) / 2 - centre["x"]) + dx * ((edge["y1"] + edge["y2"]) / 2 - centre["y"])
+    turn = F.when(length < 1e-9, 0.0).when(away >= 0, 1.0).otherwise(-1.0)
+    return point(F.coalesce(F.try_divide(-dy * turn, length), F.lit(0.0)), F.coalesce(F.try_divide(dx * turn, length), F.lit(0.0)))
+
+
+def scaled(points: Column, per_metre: Column) -> Column:
+    """The ring in metres; null unless the scale is positive."""
+    return F.when(per_metre > 0, F.transform(points, lambda p: point(p["x"] / per_metre, p["y"] / per_metre)))

@@ -138,3 +138,21 @@ def outcome(truth: Column, predicted: Column) -> Column:
         .when(predicted == "NOT_APPLICABLE", "APPLICABILITY_FLIP")
         .otherwise(F.concat(F.lit("ABSTAIN_"), predicted))
     )
+
+
+#: Most differences of one group that the exact sign-flip test takes: it forms 2 ** n sums.
+MOST_FLIPS = 20
+
+
+def sign_flip(rows: DataFrame, difference: str, *keys: str) -> DataFrame:
+    """Exact randomisation test of paired differences: keys, n, observed, p_value (null over MOST_FLIPS differences).
+
+    p is the share of all sign choices whose sum is at least as far from 0 as the
+    observed one. Each difference doubles the array of sums. Sums of whole numbers are
+    exact in any order; a slack of 1e-9 covers the others.
+    """
+    g = rows.where(F.col(difference).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(difference).cast("double")).alias("observed"), F.collect_list(F.col(difference).cast("double")).alias("d"))
+    double = lambda sums, d: F.concat(F.transform(sums, lambda s: s + d), F.transform(sums, lambda s: s - d))
+    sums = F.aggregate("d", F.array(F.lit(0.0)), double)
+    p = F.size(F.filter(sums, lambda s: F.abs(s) >= F.abs(F.col("observed")) - 1e-9)) / F.pow(F.lit(2.0), "n")
+    return g.select(*keys, "n", "observed", F.when(F.col("n") <= MOST_FLIPS, p).alias("p_value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, levels, measures, text
-from plumbline.operators import corpus, decisions, gates, reconcile, retrieval, rules, scoring, spatial
+from plumbline.operators import corpus, decisions, drawing, gates, reconcile, retrieval, rules, scoring, spatial
 from plumbline.plans import projections as p
 from plumbline.plans import rulesets
 from plumbline.streaming import logs
@@ -726,6 +726,140 @@ def connected_components(spark, sf_dir):
     return spatial.connected_components(b.select("sheet", "id"), spatial.containment_edges(b, ["sheet"]), ["sheet"])
 
 
+# ---------------------------------------------------------------- drawings
+
+
+def _brands(spark, sf_dir) -> DataFrame:
+    """The boxes again, with a sheet for each brand."""
+    return p.boxes(spark, sf_dir).withColumn("sheet", F.split_part("sheet", F.lit("/"), F.lit(1)))
+
+
+_SQL_BRANDS = f"{p.SQL_BOXES}, brands AS (SELECT * REPLACE (split_part(sheet, '/', 1) AS sheet) FROM boxes)"
+
+
+@query(f"""WITH {_SQL_BRANDS}, pts AS (SELECT DISTINCT sheet, min_x AS x, min_y AS y FROM brands),
+t AS (SELECT a.sheet, a.x, a.y, b.x AS ux, b.y AS uy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn, (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) AS ahead FROM pts a JOIN pts b ON a.sheet = b.sheet AND (a.x <> b.x OR a.y <> b.y) JOIN pts c ON c.sheet = a.sheet),
+e AS (SELECT sheet, x, y FROM t GROUP BY sheet, x, y, ux, uy HAVING bool_and(turn > 0 OR (turn = 0 AND ahead >= 0)))
+SELECT DISTINCT sheet, x, y FROM e UNION SELECT sheet, any_value(x), any_value(y) FROM pts GROUP BY sheet HAVING count(*) = 1""")
+def convex_hulls(spark, sf_dir):
+    points = _brands(spark, sf_dir).select("sheet", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    return drawing.convex_hulls(points, ["sheet"]).select("sheet", F.inline("hull"))
+
+
+@query()
+def min_area_rectangles(spark, sf_dir):
+    points = _brands(spark, sf_dir).select("sheet", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    return drawing.min_area_rectangles(points, ["sheet"]).drop("rectangle")
+
+
+def _dashes(spark, sf_dir) -> DataFrame:
+    """Points on the four sides of each box, with gaps, as a sheet of its own."""
+    along = F.explode(F.array(*[F.lit(t) for t in (0.0, 0.1, 0.3, 0.35, 0.6, 0.65, 0.9, 1.0)]))
+    b = p.boxes(spark, sf_dir).select(F.col("id").alias("sheet"), F.posexplode(geometry.edges(geometry.box_ring())).alias("side", "e"))
+    b = b.withColumn("t", along)
+    return b.select("sheet", *[(F.col(f"e.{c}1") + (F.col(f"e.{c}2") - F.col(f"e.{c}1")) * F.col("t")).alias(c) for c in ("x", "y")])
+
+
+@query(f"WITH {p.SQL_BOXES} SELECT id AS sheet, 4::INT AS n_sides, CAST(floor((max_x - min_x) * (max_y - min_y) * 1e3 + 0.5) AS BIGINT) AS milli FROM boxes")
+def fragment_boundaries(spark, sf_dir):
+    found = drawing.boundaries(_dashes(spark, sf_dir), ["sheet"], off_share=0.005)
+    return found.select("sheet", "n_sides", F.floor(geometry.shoelace_area(F.col("boundary")) * 1e3 + 0.5).cast("long").alias("milli"))
+
+
+@query(f"""WITH {_SQL_BRANDS}, o AS (SELECT sheet, list([{{'id': id, 'a': min_x, 'b': min_y, 'c': max_x, 'd': max_y}}] ORDER BY id) AS bs FROM brands GROUP BY sheet),
+k AS (SELECT sheet, list_reduce(bs, lambda acc, n: CASE WHEN len(list_filter(acc, lambda q: abs(q.a - n[1].a) <= 6 AND abs(q.b - n[1].b) <= 6 AND abs(q.c - n[1].c) <= 6 AND abs(q.d - n[1].d) <= 6)) > 0 THEN acc ELSE list_concat(acc, n) END) AS kept FROM o)
+SELECT sheet, u.id AS id FROM (SELECT sheet, unnest(kept) AS u FROM k)""")
+def bbox_dedupe(spark, sf_dir):
+    return drawing.dedupe_boxes(_brands(spark, sf_dir), ["sheet"], 6.0).select("sheet", "id")
+
+
+_RING4 = "id, min_x AS x0, min_y AS y0, max_x AS x1, max_y AS y1"
+
+
+@query(f"WITH {p.SQL_BOXES} SELECT id, id % 3 <> 0 AS valid, CASE WHEN id % 3 <> 0 THEN (min_x + max_x) / 2 END AS cx, CASE WHEN id % 3 <> 0 THEN (min_y + max_y) / 2 END AS cy FROM boxes")
+def polygon_checks(spark, sf_dir):
+    # Every third ring crosses itself.
+    ring = geometry.box_ring()
+    crossed = F.array(ring[0], ring[1], ring[3], geometry.point(F.col("max_x") + 2, F.col("max_y")))
+    rows = p.boxes(spark, sf_dir).withColumn("points", F.when(F.col("id") % 3 == 0, crossed).otherwise(ring))
+    rows = rows.withColumn("valid", geometry.is_valid_polygon(F.col("points"))).withColumn("centre", geometry.centroid(F.col("points")))
+    return rows.select("id", "valid", *[F.when(F.col("valid"), F.col(f"centre.{c}")).alias(f"c{c}") for c in ("x", "y")])
+
+
+_KINDS = ("gate", "front", "other", "road", "street", "main_entry")
+_SIDE = "sqrt(power({px} - greatest({a}, least({b}, {px})), 2) + power({py} - greatest({c}, least({d}, {py})), 2))"
+_SIDES4 = [("x0", "x1", "y0", "y0"), ("x1", "x1", "y0", "y1"), ("x0", "x1", "y1", "y1"), ("x0", "x0", "y0", "y1")]
+
+
+def _side_list(px: str, py: str) -> str:
+    return "[" + ", ".join(_SIDE.format(px=px, py=py, a=a, b=b, c=c, d=d) for a, b, c, d in _SIDES4) + "]"
+
+
+_RANKS = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(drawing.FRONT_EVIDENCE))
+
+
+@query(f"""WITH {p.SQL_BOXES}, pl AS (SELECT {_RING4} FROM boxes),
+ev AS (SELECT pl.*, n, {p.sql_pick(_KINDS, "(id // 2 + n) % 6")} AS kind, (id * 7 + n * 11) % 60 AS px, (id * 5 + n * 17) % 50 AS py FROM pl, range(2) r(n) WHERE id % 4 <> 0),
+ne AS (SELECT id, CASE kind {_RANKS} END AS rank, kind, unnest({_side_list("px", "py")}) AS d, unnest([0, 1, 2, 3]) AS edge FROM ev WHERE kind <> 'other'),
+b AS (SELECT * FROM ne QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, d, edge) = 1),
+f AS (SELECT pl.*, coalesce(edge, 0) AS front, kind AS evidence, CASE WHEN kind IN ('front', 'road') THEN 'HIGH' WHEN kind IS NULL THEN 'LOW' ELSE 'MEDIUM' END AS level FROM pl LEFT JOIN b USING (id)),
+m AS (SELECT *, [(x0 + x1) / 2, x1, (x0 + x1) / 2, x0] AS xs, [y0, (y0 + y1) / 2, y1, (y0 + y1) / 2] AS ys FROM f), m2 AS (SELECT *, xs[front + 1] AS fx, ys[front + 1] AS fy FROM m),
+r AS (SELECT *, list_transform({_side_list("fx", "fy")}, lambda v, i: CASE WHEN i = front + 1 THEN -1 ELSE v END) AS reach FROM m2), r2 AS (SELECT *, list_position(reach, list_max(reach)) - 1 AS rear FROM r),
+s AS (SELECT *, list_transform(xs, lambda x, i: (ys[i] - fy) * (xs[rear + 1] - fx) - (x - fx) * (ys[rear + 1] - fy)) AS side FROM r2)
+SELECT id, front::INT AS front, rear::INT AS rear, evidence, level, len(list_filter(side, lambda v, i: v < 0 AND i <> front + 1 AND i <> rear + 1))::INT AS n_left, len(list_filter(side, lambda v, i: v >= 0 AND i <> front + 1 AND i <> rear + 1))::INT AS n_right FROM s""")
+def front_sides(spark, sf_dir):
+    plots = p.boxes(spark, sf_dir).select("id", geometry.box_ring().alias("points"))
+    n = F.explode(F.array(F.lit(0), F.lit(1)))
+    seen = plots.where("id % 4 != 0").select("id", n.alias("n")).select("id", p.pick(_KINDS, (F.floor(F.col("id") / 2) + F.col("n")) % 6).alias("kind"), ((F.col("id") * 7 + F.col("n") * 11) % 60).alias("x"), ((F.col("id") * 5 + F.col("n") * 17) % 50).alias("y"))
+    found = drawing.front_sides(plots, seen, "id")
+    return found.select("id", "front", "rear", "evidence", "level", F.size("lefts").alias("n_left"), F.size("rights").alias("n_right"))
+
+
+@query(f"WITH {p.SQL_BOXES} SELECT id, 1.0::DOUBLE AS \"front\", 3.0::DOUBLE AS rear, 4.0::DOUBLE AS \"left\", 2.0::DOUBLE AS \"right\" FROM boxes")
+def setback_distances(spark, sf_dir):
+    # The plot is the box with margins of 1 at the bottom, 2 at the right, 3 at the top and 4 at the left; 2 units are a metre.
+    b = p.boxes(spark, sf_dir)
+    plots = b.select("id", (F.col("min_x") - 8).alias("min_x"), (F.col("min_y") - 2).alias("min_y"), (F.col("max_x") + 4).alias("max_x"), (F.col("max_y") + 6).alias("max_y"))
+    sides = plots.select("id", F.lit(0).alias("front"), F.lit(2).alias("rear"), F.array(F.lit(3)).alias("lefts"), F.array(F.lit(1)).alias("rights"))
+    return drawing.setbacks(b.select("id", geometry.box_ring().alias("points")), plots.select("id", geometry.box_ring().alias("points")), sides, "id", F.lit(2.0))
+
+
+@query(f"""WITH {_SQL_BRANDS}, j AS (SELECT a.sheet, a.id AS plot, b.id AS road, 0.12::DOUBLE * greatest(a.max_x - a.min_x, a.max_y - a.min_y) AS reach, {_GAP} AS gap, greatest(b.max_x - b.min_x, b.max_y - b.min_y) / least(b.max_x - b.min_x, b.max_y - b.min_y) AS aspect
+    FROM brands a JOIN brands b ON a.sheet = b.sheet AND a.id <> b.id AND NOT ({_HOLDS.format('a', 'b')}) AND NOT ({_HOLDS.format('b', 'a')})),
+s AS (SELECT *, (1.0 - gap / reach) * least(aspect, 8.0) AS score FROM j WHERE gap <= reach)
+SELECT sheet, plot, road, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS micro FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY sheet, plot ORDER BY score DESC, road) = 1""")
+def roads_by_adjacency(spark, sf_dir):
+    b = _brands(spark, sf_dir).select("sheet", "id", geometry.box_ring().alias("points"))
+    return drawing.roads(b, b, ["sheet"]).select("sheet", "plot", "road", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("micro"))
+
+
+@query()
+def drawing_regions(spark, sf_dir):
+    return drawing.regions(_brands(spark, sf_dir).select("sheet", "id", geometry.box_ring().alias("points")), ["sheet"])
+
+
+@query(f"WITH {p.SQL_BOXES}, s AS (SELECT id, max_x - min_x AS w, max_y - min_y AS h FROM boxes) SELECT id, 1::BIGINT AS n_loops, 4::BIGINT AS n_segments, w * h AS area FROM s WHERE greatest(w, h) <= 10 * least(w, h)")
+def building_outlines(spark, sf_dir):
+    b = p.boxes(spark, sf_dir)
+    # The plot is twice as wide and deep as the box.
+    w, h = (F.col("max_x") - F.col("min_x")) / 2, (F.col("max_y") - F.col("min_y")) / 2
+    wide = b.select("id", (F.col("min_x") - w).alias("min_x"), (F.col("min_y") - h).alias("min_y"), (F.col("max_x") + w).alias("max_x"), (F.col("max_y") + h).alias("max_y"))
+    segments = b.select("id", F.inline(geometry.edges(geometry.box_ring()))).withColumn("layer", F.lit("WALL"))
+    noise = segments.withColumn("layer", F.lit("A-DIMS")).withColumn("x2", F.col("x1") + 1)
+    found = drawing.building_outlines(segments.unionByName(noise), wide.select("id", geometry.box_ring().alias("points")), ["id"])
+    return found.select("id", "n_loops", "n_segments", geometry.shoelace_area(F.col("outline")).alias("area"))
+
+
+@query(f"""WITH {p.SQL_SCORES}, d AS (SELECT plan_id // 8 AS g, plan_id, count(*) FILTER (status = 'CORRECT') - count(*) FILTER (level = 'HIGH') AS d FROM scores WHERE truth IS NOT NULL GROUP BY ALL),
+l AS (SELECT g, count(*) AS n, sum(d)::DOUBLE AS observed, list(d) AS ds FROM d GROUP BY g),
+v AS (SELECT g, n, observed, list_sum(list_transform(ds, lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN x ELSE -x END)) AS total FROM l, LATERAL (SELECT unnest(range(1 << n)) AS m))
+SELECT g, n, observed, count(*) FILTER (abs(total) >= abs(observed) - 1e-9)::DOUBLE / count(*) AS p_value FROM v GROUP BY g, n, observed""")
+def sign_flip(spark, sf_dir):
+    s = _scores(spark, sf_dir).where("truth is not null")
+    d = s.groupBy("plan_id").agg((F.count_if(F.col("status") == "CORRECT") - F.count_if(F.coalesce(F.col("level") == "HIGH", F.lit(False)))).alias("d"))
+    return scoring.sign_flip(d.withColumn("g", F.floor(F.col("plan_id") / 8)), "d", "g")
+
+
 # ---------------------------------------------------------------- corpus
 
 _EVENTS = """e AS (SELECT event_id AS correction_id, ts AS recorded_at, user_id AS document_id, event_type AS field, value AS corrected, CASE WHEN event_id % 9 = 0 THEN 'heldout' ELSE 'dev' END AS split, CASE WHEN event_id % 14 <> 0 THEN 1 END AS sha FROM events)"""
