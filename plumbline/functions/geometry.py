@@ -171,3 +171,27 @@ def outward_normal(edge: Column, centre: Column) -> Column:
 def scaled(points: Column, per_metre: Column) -> Column:
     """The ring in metres; null unless the scale is positive."""
     return F.when(per_metre > 0, F.transform(points, lambda p: point(p["x"] / per_metre, p["y"] / per_metre)))
+
+
+def vision_box(box: Column, page_width: Column, page_height: Column, dpi: float = 200.0) -> Column:
+    """A box [x1, y1, x2, y2] of a vision model in page points (1/72 inch): min_x, min_y, max_x, max_y.
+
+    Coordinates up to 1024 on a page that is rendered larger are read as a grid of
+    0 to 1000, others as pixels; so are all where the page's size isn't known. Null
+    unless the box has four numbers.
+    """
+    known = F.coalesce((page_width > 0) & (page_height > 0), F.lit(False))
+    larger = F.greatest(page_width, page_height) / 72.0 * dpi > 1024.0
+    grid = known & larger & (F.array_max(box) <= 1024.0)
+    at = lambda pick, i, size: F.when(grid, pick(box[i], box[i + 2]) / 1000.0 * size).otherwise(pick(box[i], box[i + 2]) * (72.0 / dpi))
+    made = F.struct(at(F.least, 0, page_width).alias("min_x"), at(F.least, 1, page_height).alias("min_y"), at(F.greatest, 0, page_width).alias("max_x"), at(F.greatest, 1, page_height).alias("max_y"))
+    return F.when((F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull()), made)
+
+
+def pixel_to_world(px: Column, py: Column, scale: Column, min_x: Column, min_y: Column, height: Column) -> Column:
+    """World point of a pixel of a raster of so many rows, y upwards."""
+    return point(px / scale + min_x, (height - py) / scale + min_y)
+
+
+def world_to_pixel(x: Column, y: Column, scale: Column, min_x: Column, min_y: Column, height: Column) -> Column:
+    return point((x - min_x) * scale, height - (y - min_y) * scale)

@@ -126,3 +126,15 @@ def setback_flags(plans: DataFrame, tolerance: float = 0.05) -> DataFrame:
     both = budget("width").isNotNull() & budget("depth").isNotNull()
     rows = F.array_compact(F.array(*[F.when(both & (num(s) > cap), F.struct(F.lit(s).alias("field"), num(s).alias("value"), cap.alias("cap"))) for s in SIDES]))
     return plans.select("plan_id", F.inline(rows))
+
+
+#: Fixed value: the share of its box from which a plot counts as a rectangle.
+RECTANGULAR = 0.9
+
+
+def area_from_shape(width: Column, depth: Column, shape_area: Column, rectangularity: Column) -> tuple[Column, Column]:
+    """Area and level: width by depth, HIGH, of a rectangle; else the shape's own, MEDIUM; else MISSING. Four decimals."""
+    square = (rectangularity >= RECTANGULAR) & width.isNotNull() & depth.isNotNull()
+    square = F.coalesce(square, F.lit(False))
+    shaped = F.coalesce(shape_area > 0, F.lit(False))
+    return F.when(square, F.bround(width * depth, 4)).when(shaped, F.bround(shape_area, 4)), F.when(square, "HIGH").when(shaped, "MEDIUM").otherwise("MISSING")

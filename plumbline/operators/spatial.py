@@ -95,3 +95,31 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], ro
         if not changed:
             break
     return label
+
+
+#: Labels of rows in a table of areas, and a number with its unit.
+SITE_LABEL = r"(?i)\bsite\s*area\b|\bplot\s*area\b"
+FLOOR_LABEL = r"(?i)\b(stilt|ground|first|second|third|fourth|fifth|sixth|terrace|basement)\s*floor\b"
+AREA_NUMBER = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*(sq\.?\s?m(?:ts?)?\.?|sqm|sq\.?\s?ft\.?|sqft)\b"
+SQUARE_FEET = 10.7639104167
+
+
+def area_statement(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """A printed table of areas: keys, label (site_area, <floor>_floor), square_metres.
+
+    texts: keys, pos, text, corners. A label takes the leftmost number with an area
+    unit in its row, a row and a half high, not left of it; the first label with a number wins. Labels meet
+    numbers in bands of the page.
+    """
+    band, middle = 12.0, (F.col("min_y") + F.col("max_y")) / 2
+    floor = F.lower(F.regexp_extract("text", FLOOR_LABEL, 1))
+    label = F.when(F.col("text").rlike(SITE_LABEL), "site_area").when(floor != "", F.concat(floor, F.lit("_floor")))
+    tall = F.greatest(F.col("max_y") - F.col("min_y"), F.lit(8.0)) * 1.5
+    at = lambda y: F.floor(y / band).cast("long")
+    names = texts.select(*keys, "pos", label.alias("label"), middle.alias("y"), tall.alias("tall"), F.col("min_x").alias("left")).where("label is not null")
+    names = names.withColumn("band", F.explode(F.sequence(at(F.col("y") - F.col("tall")), at(F.col("y") + F.col("tall")))))
+    number = F.regexp_extract("text", AREA_NUMBER, 1)
+    metres = F.when(F.regexp_extract("text", AREA_NUMBER, 2).rlike("(?i)ft"), F.round(number.try_cast("double") / SQUARE_FEET, 6)).otherwise(number.try_cast("double"))
+    cells = texts.where(number != "").select(*keys, at(middle).alias("band"), middle.alias("cy"), F.col("min_x").alias("cx"), F.col("pos").alias("cpos"), metres.alias("square_metres"))
+    met = names.join(cells, [*keys, "band"]).where((F.abs(F.col("cy") - F.col("y")) <= F.col("tall")) & (F.col("cx") >= F.col("left") - F.col("tall")))
+    return met.groupBy(*keys, "label").agg(F.min_by("square_metres", F.struct("pos", "cx", "cpos")).alias("square_metres"))

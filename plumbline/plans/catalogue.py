@@ -833,6 +833,42 @@ def roads_by_adjacency(spark, sf_dir):
     return drawing.roads(b, b, ["sheet"]).select("sheet", "plot", "road", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("micro"))
 
 
+@query(f"""WITH {p.SQL_BOXES}, q AS (SELECT id, min_x * 20 AS x2, min_y * 30 AS y1, max_x * 20 AS x1, max_y * 30 AS y2, CASE WHEN id % 3 <> 0 THEN 720.0::DOUBLE ELSE 216.0::DOUBLE END AS w, CASE WHEN id % 5 <> 0 THEN 540.0::DOUBLE ELSE 0.0::DOUBLE END AS h FROM boxes),
+g AS (SELECT *, h > 0 AND greatest(w, h) / 72.0::DOUBLE * 200.0::DOUBLE > 1024 AND greatest(x1, y2) <= 1024 AS grid FROM q)
+SELECT id, CASE WHEN grid THEN x2 / 1000.0::DOUBLE * w ELSE x2 * (72.0::DOUBLE / 200.0::DOUBLE) END AS min_x, CASE WHEN grid THEN y2 / 1000.0::DOUBLE * h ELSE y2 * (72.0::DOUBLE / 200.0::DOUBLE) END AS max_y FROM g""")
+def vision_boxes(spark, sf_dir):
+    b = p.boxes(spark, sf_dir)
+    box = F.array(F.col("max_x") * 20, F.col("min_y") * 30, F.col("min_x") * 20, F.col("max_y") * 30)
+    width, height = F.when(F.col("id") % 3 != 0, 720.0).otherwise(216.0), F.when(F.col("id") % 5 != 0, 540.0).otherwise(0.0)
+    return b.select("id", geometry.vision_box(box, width, height).alias("v")).select("id", "v.min_x", "v.max_y")
+
+
+_ROWS = ("Site Area", "Ground Floor", "First floor gross", "notes")
+
+
+@query(f"""WITH {_SQL_BRANDS}, l AS (SELECT sheet, id, {p.sql_pick(_ROWS, "id % 4")} AS text, min_x, (min_y + max_y) / 2 AS y, greatest(max_y - min_y, 8.0::DOUBLE) * 1.5::DOUBLE AS tall FROM brands),
+c AS (SELECT sheet, id AS cid, min_x AS cx, (min_y + max_y) / 2 + 0.5::DOUBLE AS cy, id / 4.0::DOUBLE AS v, id % 2 = 0 AS feet FROM brands)
+SELECT sheet, CASE text WHEN 'Site Area' THEN 'site_area' WHEN 'Ground Floor' THEN 'ground_floor' ELSE 'first_floor' END AS label, CAST(floor(arg_min(CASE WHEN feet THEN v / 10.7639104167::DOUBLE ELSE v END, id * 1e12::DOUBLE + cx * 1e8::DOUBLE + cid) * 1e3 + 0.5) AS BIGINT) AS milli
+FROM l JOIN c USING (sheet) WHERE text <> 'notes' AND abs(cy - y) <= tall AND cx >= min_x - tall GROUP BY ALL""")
+def area_statement(spark, sf_dir):
+    b = _brands(spark, sf_dir)
+    labels = b.withColumn("pos", F.col("id")).withColumn("text", p.pick(_ROWS, F.col("id") % 4))
+    shown = F.concat(F.format_string("%.2f", F.col("id") / 4.0), F.when(F.col("id") % 2 == 0, " sq.ft").otherwise(" sqm"))
+    cells = b.withColumn("pos", F.col("id") + 1000000000).withColumn("text", shown).withColumns({"min_y": F.col("min_y") + 0.5, "max_y": F.col("max_y") + 0.5})
+    found = spatial.area_statement(labels.unionByName(cells), ["sheet"])
+    return found.select("sheet", "label", F.floor(F.col("square_metres") * 1e3 + 0.5).cast("long").alias("milli"))
+
+
+@query(f"WITH {p.SQL_BOXES}, m AS (SELECT *, max_x - min_x AS w, max_y - min_y AS h FROM boxes) SELECT id, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN w * h ELSE w * h / 2 END AS area, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM m")
+def plot_area_field(spark, sf_dir):
+    # Every fourth plot is a triangle, every fifth has no printed width.
+    ring = geometry.box_ring()
+    b = p.boxes(spark, sf_dir).withColumns({"w": F.col("max_x") - F.col("min_x"), "h": F.col("max_y") - F.col("min_y")})
+    b = b.withColumn("shape", geometry.shoelace_area(F.when(F.col("id") % 4 * (F.col("id") % 5) == 0, F.slice(ring, 1, 3)).otherwise(ring)))
+    area, level = gates.area_from_shape(F.when(F.col("id") % 5 != 0, F.col("w")), F.col("h"), F.col("shape"), geometry.rectangularity(F.col("shape"), F.col("w"), F.col("h")))
+    return b.select("id", area.alias("area"), level.alias("level"))
+
+
 @query()
 def drawing_regions(spark, sf_dir):
     return drawing.regions(_brands(spark, sf_dir).select("sheet", "id", geometry.box_ring().alias("points")), ["sheet"])
