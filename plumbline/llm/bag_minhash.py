@@ -78,7 +78,8 @@ def signatures(b: Bags) -> np.ndarray:
     equal elements see equal points whatever their counts. A point falls into one
     register at random and lowers its minimum; an element is done when its next
     point is later than all its document's minima. Two registers agree with the
-    probability of the weighted Jaccard similarity.
+    probability of the weighted Jaccard similarity. A multiset's minima are the
+    same to the last bit whatever others are signed with it.
     """
     n = b.at.size - 1
     minima = np.full((n, REGISTERS), np.inf)
@@ -97,7 +98,8 @@ def signatures(b: Bags) -> np.ndarray:
             part = slice(first, first + POINTS * 8)
             point = mix(seed[part, None] + np.arange(step + 1, step + k + 1, dtype=np.uint64) * _STEP)
             u = ((point >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            times = time[part, None] + np.cumsum(-np.log(u) / width[part, None], axis=1)
+            # Added one after another from the time reached, so that rounding doesn't depend on how many are drawn at once.
+            times = np.cumsum(np.concatenate([time[part, None], -np.log(u) / width[part, None]], axis=1), axis=1)[:, 1:]
             point = mix(point ^ _SALT)
             height = low[part, None] + width[part, None] * ((point >> np.uint64(12)).astype(np.float64) / 2.0**52)
             register = doc[part, None] * REGISTERS + (point & np.uint64(REGISTERS - 1)).astype(np.int64)

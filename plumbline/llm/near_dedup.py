@@ -36,19 +36,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in slices(batch.column(1), CHUNK):
             b = bag.bags(docs)
             some = np.diff(b.at) > 0
-            keys = bag.bands(bag.signatures(b))
+            minima = bag.signatures(b)
+            keys = bag.bands(minima)
             at = np.concatenate([[0], np.cumsum(np.where(some, bag.BANDS, 0))])
+            registers = pa.array([r.tobytes() if s else None for r, s in zip(bag.registers(minima), some.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(docs.first, docs.n) for c in (0, 2)), _nodes(*bag.identity(b), some), _lists(keys[some].ravel(), at)],
-                names=["doc_id", "text_hash", "node", "bands"],
+                [*(batch.column(c).slice(docs.first, docs.n) for c in (0, 2)), _nodes(*bag.identity(b), some), _lists(keys[some].ravel(), at), registers],
+                names=["doc_id", "text_hash", "node", "bands", "registers"],
             )
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs in slices(batch.column(1), CHUNK):
-            registers = bag.registers(bag.signatures(bag.bags(docs)))
-            rows = [batch.column(0).slice(docs.first, docs.n), pa.array([r.tobytes() for r in registers], pa.binary()), _lists(*bag.elements(docs))]
+            rows = [*(batch.column(c).slice(docs.first, docs.n) for c in (0, 2)), _lists(*bag.elements(docs))]
             yield pa.RecordBatch.from_arrays(rows, names=["node", "registers", "elements"])
 
 
@@ -175,18 +176,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     node = T.StructType().add("a", T.LongType()).add("b", T.LongType())
     longs = T.ArrayType(T.LongType())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    signed = T.StructType().add("doc_id", kind).add("text_hash", T.LongType()).add("node", node).add("bands", longs)
+    signed = T.StructType().add("doc_id", kind).add("text_hash", T.LongType()).add("node", node).add("bands", longs).add("registers", T.BinaryType())
     members = store(map_arrow(rows, _sign, signed), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = store(members.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = store(members.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
 
     met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     centre = met.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = store(met.join(centre.select(F.col("band").alias("c_band"), F.col("key").alias("c_key"), F.col("centre.node").alias("centre"), "size"), (F.col("key") == F.col("c_key")) & (F.col("band") == F.col("c_band"))).select("band", "key", "node", "centre", "size"), "buckets")
 
-    wanted = buckets.select("node").distinct().join(nodes.select(F.col("node").alias("n_node"), "first.doc_id", "first.text_hash"), F.col("node") == F.col("n_node"))
-    wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_hash").eqNullSafe(F.col("w_hash"))).select("node", "text")
+    wanted = buckets.select("node").distinct().join(nodes.select(F.col("node").alias("n_node"), "first.doc_id", "first.text_hash", "registers"), F.col("node") == F.col("n_node"))
+    wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "registers")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_hash").eqNullSafe(F.col("w_hash"))).select("node", "text", "registers")
     sets = T.StructType().add("node", node).add("registers", T.BinaryType()).add("elements", longs)
     sets = store(map_arrow(texts, _elements, sets).dropDuplicates(["node"]), "sets")
 

@@ -86,6 +86,16 @@ def test_signatures_estimate_weighted_jaccard_without_bias():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_signatures_do_not_depend_on_what_is_signed_with_them():
+    rng = random.Random(4)
+    texts = [helpers.prose(rng, n) for n in (5, 12, 16, 24, 34, 60)]
+    want = [bag_minhash.signatures(bag_minhash.bags(d))[0] for t in texts for d in vectors.slices(pa.array([t]))]
+    for others in (0, 3, 40, 700):
+        (docs,) = vectors.slices(pa.array([*texts, *(helpers.prose(rng, 50) for _ in range(others))]))
+        got = bag_minhash.signatures(bag_minhash.bags(docs))[: len(texts)]
+        assert (got == np.stack(want)).all(axis=1).tolist() == [True] * len(texts)
+
+
 def test_similarity_of_multisets_is_exact():
     rng = random.Random(2)
     texts = [helpers.prose(rng, 30, "a b c") for _ in range(12)] + ["", "a", "a b"]
