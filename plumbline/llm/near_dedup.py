@@ -49,8 +49,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs in slices(batch.column(1), CHUNK):
-            rows = [*(batch.column(c).slice(docs.first, docs.n) for c in (0, 2)), _lists(*bag.elements(docs))]
-            yield pa.RecordBatch.from_arrays(rows, names=["node", "registers", "elements"])
+            rows = [*(batch.column(c).slice(docs.first, docs.n) for c in (0, 2, 3)), _lists(*bag.elements(docs))]
+            yield pa.RecordBatch.from_arrays(rows, names=["node", "registers", "bands", "elements"])
 
 
 def _closing(threshold: float):
@@ -61,6 +61,7 @@ def _closing(threshold: float):
         left, right = table["i"][0].as_py(), table["j"][0].as_py()
         band, block = table["band"][0].as_py(), table["block"].to_numpy()
         signed = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(table), bag.REGISTERS)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), bag.BANDS)
         _, root = np.unique(np.stack([np.asarray(table["root"].combine_chunks().field(f)) for f in ("a", "b")]), axis=1, return_inverse=True)
         root = root.ravel()
         xs = np.flatnonzero(block == left)
@@ -69,11 +70,9 @@ def _closing(threshold: float):
         for x in xs.tolist():
             near = ys[ys > x] if left == right else ys
             near = near[root[near] != root[x]]
-            equal = signed[near] == signed[x]
-            share = equal.mean(axis=1)
-            common = equal.reshape(near.size, bag.BANDS, bag.ROWS).all(axis=2)
+            share = (signed[near] == signed[x]).mean(axis=1)
             # A pair that meets in several buckets is compared in that of its first common band.
-            use = (share >= threshold - PRUNE) & ~common[:, :band].any(axis=1)
+            use = (share >= threshold - PRUNE) & ~(keys[near, :band] == keys[x, :band]).any(axis=1)
             if use.any():
                 found.append(np.stack([np.full(use.sum(), x), near[use], -share[use] * bag.REGISTERS]).astype(np.int64))
         links: list[tuple[int, int, float]] = []
@@ -185,14 +184,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     centre = met.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = store(met.join(centre.select(F.col("band").alias("c_band"), F.col("key").alias("c_key"), F.col("centre.node").alias("centre"), "size"), (F.col("key") == F.col("c_key")) & (F.col("band") == F.col("c_band"))).select("band", "key", "node", "centre", "size"), "buckets")
 
-    wanted = buckets.select("node").distinct().join(nodes.select(F.col("node").alias("n_node"), "first.doc_id", "first.text_hash", "registers"), F.col("node") == F.col("n_node"))
-    wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "registers")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_hash").eqNullSafe(F.col("w_hash"))).select("node", "text", "registers")
-    sets = T.StructType().add("node", node).add("registers", T.BinaryType()).add("elements", longs)
+    wanted = buckets.select("node").distinct().join(nodes.select(F.col("node").alias("n_node"), "first.doc_id", "first.text_hash", "registers", "bands"), F.col("node") == F.col("n_node"))
+    wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "registers", "bands")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_hash").eqNullSafe(F.col("w_hash"))).select("node", "text", "registers", "bands")
+    sets = T.StructType().add("node", node).add("registers", T.BinaryType()).add("bands", longs).add("elements", longs)
     sets = store(map_arrow(texts, _elements, sets).dropDuplicates(["node"]), "sets")
 
     pairs = buckets.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    stars = store(linked(pairs, sets.drop("registers"), threshold), "stars")
+    stars = store(linked(pairs, sets.drop("registers", "bands"), threshold), "stars")
     root = components(stars, "star")
 
     # Buckets of three or more in which several components are left.

@@ -10,15 +10,16 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from plumbline.llm import language, quality
+from plumbline.llm import bag_minhash, language, quality
 from plumbline.llm.decontaminate import contamination, decontaminate
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.licenses import license_scan
 from plumbline.llm.mixing import mix_sources, repeat_by_copies, source_targets
-from plumbline.llm.near_dedup import components, drop_near_duplicates, near_duplicates
+from plumbline.llm.near_dedup import _closing, components, drop_near_duplicates, near_duplicates
 from plumbline.llm.scratch import new_path
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import read_token_files, write_token_files
@@ -105,6 +106,17 @@ def test_near_duplicates_chains_and_a_large_group(spark):
     assert got == want
 
 
+def test_pairs_are_compared_where_their_band_keys_first_agree():
+    """Registers whose 16 bits agree by chance in an earlier band don't make a pair skipped."""
+    keys = np.arange(2 * bag_minhash.BANDS).reshape(2, bag_minhash.BANDS)
+    keys[1, 5:] = keys[0, 5:]
+    node = [{"a": 1, "b": 1}, {"a": 2, "b": 2}]
+    table = {"band": [5, 5], "i": [0, 0], "j": [0, 0], "block": [0, 0], "root": node, "node": node, "registers": [bytes(2 * bag_minhash.REGISTERS)] * 2, "bands": keys.tolist(), "elements": [[1, 2, 3]] * 2}
+    found = _closing(0.8)(pa.table(table))
+    assert [(r["u"]["a"], r["v"]["a"], r["similarity"]) for r in found.to_pylist()] == [(1, 2, 1.0)]
+    assert _closing(0.8)(pa.table(table | {"band": [6, 6]})).num_rows == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
