@@ -23,7 +23,7 @@ from plumbline.llm.near_dedup import _closing, components, drop_near_duplicates,
 from plumbline.llm.scratch import new_path
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import read_token_files, write_token_files
-from plumbline.llm.url_filter import judge_urls
+from plumbline.llm.url_filter import ORDER, gram_counts, judge_urls
 from tests.llm import helpers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -290,6 +290,22 @@ def test_url_models_tell_the_kinds_apart(spark):
     assert got[5000] == "allow" and got[5001] == "block"
 
 
+def test_url_counts_are_exact_however_many_there_are(spark):
+    """More distinct n-grams than any fixed table of some 100,000 slots holds, each counted by itself."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-_./?=&%", k=80)) for _ in range(6000)]
+    rows = spark.createDataFrame([(t, i % 3 > 0) for i, t in enumerate(texts)], "text string, accepted boolean")
+    want = Counter()
+    for i, t in enumerate(texts):
+        for k in range(ORDER + 1):
+            for j in range(len(t) - k):
+                want["gram", t[j : j + k + 1], i % 3 > 0] += 1
+                want["context", k, t[j : j + k], i % 3 > 0] += 1
+    got = gram_counts(rows).collect()
+    assert len(got) == len({key[:-1] for key in want}) > 1 << 18
+    assert sorted(n for r in got for n in (r.yes, r.no) if n) == sorted(want.values())
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     rows = [(i, helpers.prose(rng, 60) if i % 3 else "!! ".join(["SPAM"] * 40) + helpers.prose(rng, 5).upper(), "en", "a", 0) for i in range(600)]
