@@ -75,12 +75,14 @@ def _blocks(docs: Docs) -> tuple[np.ndarray, np.ndarray]:
 class Templates:
     """Template sets, their words ordered by how many blocks of the corpus have them, rarest first."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], containment: float) -> None:
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], containment: float, wrapped: bool = False) -> None:
         self.vocabulary = Vocabulary.of([*(t for _, t in templates), *PHRASES])
         number = {name: i for i, name in enumerate(self.vocabulary.names)}
         self.labels = [label for label, _ in templates]
         sets = [sorted({number[w] for w in text.split()}, key=lambda k: (frequency.get(self.vocabulary.names[k], 0), k)) for _, text in templates]
         self.size = np.array([len(s) for s in sets])
+        # Words of a window: as many as the template's, and as much slack as the containment leaves.
+        self.window = [math.ceil(len(text.split()) / containment - 1e-9) if wrapped else 0 for _, text in templates]
         self.need = np.array([math.ceil(len(s) * containment - 1e-9) for s in sets])
         # place[t, w]: position of word w in the order of template t, or past its end.
         self.place = np.full((len(sets), len(number)), 1 << 20)
@@ -92,6 +94,20 @@ class Templates:
         self.rare = self.prefix.any(axis=0)
         self.phrases = [([number[w] for w in p.split()], label) for p, label in PHRASES.items()]
 
+    def _windows(self, t: int, window: int, at: np.ndarray, number: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """How many words of template t stand in the window of a text that ends at each place, 0 where no prefix word is near."""
+        share = np.zeros(at.size, np.int64)
+        mine = np.flatnonzero(self.has[t][number])
+        rare = at[mine[self.prefix[t][number[mine]]]]
+        # Prefix filter: only windows that can reach a prefix word.
+        near = np.searchsorted(rare, at[mine] + window, "left") > np.searchsorted(rare, at[mine] - window, "right")
+        mine = mine[near]
+        first = np.maximum(at[mine] - window + 1, floor[mine])
+        for w in np.flatnonzero(self.has[t]).tolist():
+            last = np.maximum.accumulate(np.where(number[mine] == w, at[mine], -1)) if mine.size else first
+            share[mine] += last >= first
+        return share
+
     def match(self, docs: Docs) -> dict[str, list]:
         w = words(docs)
         at, number = self.vocabulary.find(docs.data, w)
@@ -132,6 +148,14 @@ class Templates:
                     score[of[r]] = max(score[of[r]], o / self.size[t])
                     if o >= self.need[t]:
                         labels[of[r]].add(self.labels[t])
+        for t, window in enumerate(self.window):
+            if not window:
+                continue
+            share = self._windows(t, window, at, number, w.at[doc])
+            met = np.flatnonzero(share)
+            np.maximum.at(score, doc[met], share[met] / self.size[t])
+            for i in np.unique(doc[share >= self.need[t]]).tolist():
+                labels[i].add(self.labels[t])
         return {
             "n_words": np.diff(w.at),
             "n_base": [len(s) for s in starts],
@@ -162,13 +186,15 @@ def template_frequencies(docs: DataFrame, templates: list[tuple[str, str]], text
     return {r.word: r.n for r in counts.collect()}
 
 
-def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
     """License phrases and statements in every whole text, a row for each row of docs.
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word
     (their smallest and largest start, else null), base_labels, labels (the
     phrases' and those of templates whose words a line contains to the threshold
-    `containment`), score (1 with a phrase, else the best containment met). Null
+    `containment`), score (1 with a phrase, else the best containment met). With
+    wrapped, statements that run over several lines count too: a run of words
+    about as long as the template is then a block as well as each line. Null
     and empty texts have no words and no labels; repeated rows get equal
     results; an empty table gives an empty one; other columns are not read.
 
@@ -176,7 +202,7 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", te
     for each word and task), then the join. The templates are a fixed, small list.
     """
     templates = TEMPLATES if templates is None else templates
-    table = Templates(templates, template_frequencies(docs, templates, text), containment)
+    table = Templates(templates, template_frequencies(docs, templates, text), containment, wrapped)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 

@@ -62,7 +62,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_table(spark, sf_dir, "documents"))
+    return license_scan(_table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from plumbline.llm import bag_minhash, language, quality
 from plumbline.llm.decontaminate import contamination, decontaminate
 from plumbline.llm.exact_dedup import exact_dedup
-from plumbline.llm.licenses import license_scan
+from plumbline.llm.licenses import TEMPLATES, license_scan
 from plumbline.llm.mixing import mix_sources, repeat_by_copies, source_targets
 from plumbline.llm.near_dedup import _closing, components, drop_near_duplicates, near_duplicates
 from plumbline.llm.scratch import new_path
@@ -269,6 +270,20 @@ def test_license_join_finds_every_block_over_the_threshold(spark):
         assert got[i] == ",".join(sorted(want))
 
 
+def test_licenses_wrapped_over_lines(spark):
+    """Every template, broken at each narrow width and behind comment marks, is found; one spread over a text isn't."""
+    found = []
+    for i, (label, text) in enumerate(TEMPLATES):
+        for width in (20, 40, 72):
+            found.append((len(found), label, "before it\n * " + "\n * ".join(textwrap.wrap(text, width)) + "\n\nafter it"))
+    spread = [(1000 + i, "", " \n".join(f"{w} " + "filler " * 5 for w in text.split())) for i, (_, text) in enumerate(TEMPLATES)]
+    halves = [(2000, "", "released under the"), (2001, "", "mit license")]
+    rows = spark.createDataFrame([(i, t) for i, _, t in found + spread + halves], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(rows, wrapped=True).collect()}
+    assert [i for i, label, _ in found if label not in got[i]] == []
+    assert all(got[i] == {""} for i, _, _ in spread + halves)
+
+
 def test_urls(spark):
     urls = ["http://A.Example.com/en/1", "https://www.example.com/en/2?x=/es/", "ftp://x.net/es/#a", "http://net/fr/1", "http://notcom/", "com/x", "", None, "http://shop.com", "http://shop.com/a?b", "x://h?en"]
     pages = spark.createDataFrame([(i, u, i) for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host long")
