@@ -80,7 +80,7 @@ def nearest_right(labels: DataFrame, cells: DataFrame, keys: list[str], toleranc
 def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
     """The smallest node id of each node's component: ids spread along links, then labels jump to their labels.
 
-    Stops when nothing changes; each round is written through a checkpoint where one is set.
+    Stops when nothing changes, and raises if that takes more than `rounds` rounds; each round is written through a checkpoint where one is set.
     """
     both = links.select(*keys, "a", "b").union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select(*keys, "id", F.col("id").alias("root"))
@@ -93,8 +93,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], ro
         changed = new.where("root < old").limit(1).count()
         label = new.select(*keys, "id", "root")
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 #: Labels of rows in a table of areas, and a number with its unit.

@@ -158,3 +158,13 @@ def test_correction_stream(spark, tmp_path):
     job = logs.pending_sink(logs.correction_stream(spark, str(tmp_path / "log")), promoted, str(tmp_path / "out"), str(tmp_path / "check"))
     job.awaitTermination()
     assert sorted(r.correction_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["c1", "c3"]
+
+
+def test_components_that_do_not_settle_raise(spark):
+    from plumbline.operators import spatial
+
+    nodes = spark.createDataFrame([("s", i) for i in range(12)], "sheet string, id long")
+    links = spark.createDataFrame([("s", i, i + 1) for i in range(11)], "sheet string, a long, b long")
+    with pytest.raises(RuntimeError):
+        spatial.connected_components(nodes, links, ["sheet"], rounds=1)
+    assert {r.root for r in spatial.connected_components(nodes, links, ["sheet"]).collect()} == {0}
