@@ -79,7 +79,7 @@ def truth_tolerance(expected: Column) -> Column:
     return F.greatest(F.lit(0.15), F.abs(expected) * 0.05)
 
 
-def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the 95 % Wilson interval of k of n; null for n = 0."""
     n = F.when(n > 0, n.cast("double"))
     p = k / n

@@ -20,47 +20,46 @@ def num(name: str) -> Column:
     return F.col(f"`{name}`")["num"]
 
 
-def _missing() -> Column:
-    return F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit("MISSING").alias("level"))
-
-
-def _withdraw(plans: DataFrame, names: tuple[str, ...], when: Column) -> DataFrame:
-    """Set fields to MISSING where the condition holds, and note those that had a value."""
-    plans = plans.withColumn("_hit", F.coalesce(when, F.lit(False)))
-    gone = F.filter(F.array(*[F.when(F.col("_hit") & num(n).isNotNull(), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-    plans = plans.withColumn("withdrawn", F.concat("withdrawn", gone))
-    lost = F.col("_hit")
-    return plans.withColumns({n: F.when(lost & num(n).isNotNull(), _missing()).otherwise(F.col(f"`{n}`")) for n in names}).drop("_hit")
-
-
-def _outside(x: Column, bounds: tuple[float, float]) -> Column:
-    return (x < bounds[0]) | (x > bounds[1])
+def _outside(x: str, bounds: tuple[float, float]) -> str:
+    return f"coalesce({x} < {bounds[0]!r}D OR {x} > {bounds[1]!r}D, false)"
 
 
 def physical_bounds(plans: DataFrame) -> DataFrame:
     """Withdraw what is physically impossible, step by step; later steps see earlier withdrawals.
 
-    Adds `withdrawn`, the fields that lost a value, in order. Projections only.
+    Adds `withdrawn`, the fields that lost a value, in order. Projections only:
+    as a step can only take values away, what it sees follows from the original
+    values and from which of the few steps before it struck.
     """
-    p = plans.withColumn("withdrawn", F.array().cast("array<string>"))
-    p = _withdraw(p, GEOMETRY_CHAIN, _outside(num("plot.area"), PLOT_AREA))
-    for name in ("plot.width", "plot.depth"):
-        p = _withdraw(p, (name,), _outside(num(name), SITE_SIDE))
-    for name in ("building.width", "building.depth"):
-        p = _withdraw(p, (name,), _outside(num(name), BUILDING_SIDE))
-    footprint, plot = num("building.footprint_area"), num("plot.area")
-    odd = F.coalesce(_outside(footprint, FOOTPRINT), F.lit(False))
-    same = ~odd & (plot != 0) & (footprint >= SAME_POLYGON * plot)
-    p = p.withColumns({"_odd": odd, "_same": F.coalesce(same, F.lit(False))})
-    p = _withdraw(p, BUILDING_CHAIN, F.col("_odd"))
-    p = _withdraw(p, GEOMETRY_CHAIN, F.col("_same")).drop("_odd", "_same")
-    closed = sum((F.when(num(s) <= CLOSED_SETBACK, 1).otherwise(0) for s in SIDES), F.lit(0))
-    p = _withdraw(p, BUILDING_CHAIN, closed >= CLOSED_SIDES)
-    longest = F.greatest(num("plot.width"), num("plot.depth"))
-    for side in SIDES:
-        p = _withdraw(p, (side,), (num(side) < 0) | (num(side) > longest))
-    p = _withdraw(p, ("coverage", "far"), _outside(num("coverage"), COVERAGE))
-    return _withdraw(p, ("far",), _outside(num("far"), (0.0, FAR_MAX)))
+    v = lambda n: f"v.`{n}`"
+    rows = plans.withColumn("v", F.explode(F.array(F.expr("named_struct(" + ", ".join(f"'{n}', `{n}`.num" for n in GEOMETRY_CHAIN) + ")"))))
+    odd, foot = _outside(v("building.footprint_area"), FOOTPRINT), v("building.footprint_area")
+    first = {
+        "area": _outside(v("plot.area"), PLOT_AREA),
+        "odd": odd,
+        "same": f"NOT {odd} AND coalesce({v('plot.area')} <> 0 AND {foot} >= {SAME_POLYGON!r}D * {v('plot.area')}, false)",
+        "closed": " + ".join(f"CASE WHEN {v(s)} <= {CLOSED_SETBACK!r}D THEN 1 ELSE 0 END" for s in SIDES) + f" >= {CLOSED_SIDES}",
+    }
+    rows = rows.withColumn("s", F.explode(F.array(F.expr("named_struct(" + ", ".join(f"'{n}', {c}" for n, c in first.items()) + ")"))))
+    alive = "NOT s.area"
+    shape = f"{alive} AND NOT s.odd AND NOT s.same"  # the building's fields are still there after the footprint's steps
+    built = f"{shape} AND NOT s.closed"
+    own = {n: f"{alive} AND {_outside(v(n), SITE_SIDE)}" for n in ("plot.width", "plot.depth")} | {n: f"{alive} AND {_outside(v(n), BUILDING_SIDE)}" for n in ("building.width", "building.depth")}
+    sides = [f"CASE WHEN NOT ({own[n]}) THEN {v(n)} END" for n in ("plot.width", "plot.depth")]
+    sides = {s: f"{built} AND coalesce({v(s)} < 0 OR {v(s)} > greatest({', '.join(sides)}), false)" for s in SIDES}
+    covered = f"{built} AND {_outside(v('coverage'), COVERAGE)}"
+    # Steps in their order: when each strikes, and whom. A field goes with the first step that takes it.
+    steps = [("s.area", GEOMETRY_CHAIN), *((c, (n,)) for n, c in own.items()), (f"{alive} AND s.odd", BUILDING_CHAIN), (f"{alive} AND s.same", GEOMETRY_CHAIN), (f"{shape} AND s.closed", BUILDING_CHAIN)]
+    steps += [*((c, (n,)) for n, c in sides.items()), (covered, ("coverage", "far")), (f"{built} AND NOT ({covered}) AND {_outside(v('far'), (0.0, FAR_MAX))}", ("far",))]
+    rows = rows.withColumn("h", F.explode(F.array(F.expr(f"array({', '.join(c for c, _ in steps)})"))))
+    takes = {n: [i for i, (_, names) in enumerate(steps) if n in names] for n in GEOMETRY_CHAIN}
+    lost = {n: f"{v(n)} IS NOT NULL AND ({' OR '.join(f'h[{i}]' for i in takes[n])})" for n in GEOMETRY_CHAIN}
+    rows = rows.withColumn("l", F.explode(F.array(F.expr("named_struct(" + ", ".join(f"'{n}', {c}" for n, c in lost.items()) + ")"))))
+    gone = [f"CASE WHEN l.`{n}` AND h[{i}]{''.join(f' AND NOT h[{j}]' for j in takes[n] if j < i)} THEN '{n}' END" for i, (_, names) in enumerate(steps) for n in names]
+    names = F.expr(f"concat_ws(',', {', '.join(gone)})")
+    missing = "named_struct('num', CAST(NULL AS DOUBLE), 'str', CAST(NULL AS STRING), 'level', 'MISSING')"
+    kept = [F.expr(f"CASE WHEN l.`{n}` THEN {missing} ELSE `{n}` END").alias(n) if n in lost else F.col(f"`{n}`") for n in plans.columns]
+    return rows.select(*kept, F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ",")).alias("withdrawn"))
 
 
 def coverage_and_far(plans: DataFrame) -> DataFrame:

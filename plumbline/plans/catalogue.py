@@ -37,28 +37,33 @@ def _leaf(field: str, test: str) -> str:
     return _LEAF.format(f=field.replace(".", "_"), test=test)
 
 
-def _status(when: str, result: str, fields: list[str], error: str = "FALSE") -> str:
+def _rule(target: str, when: str, result: str, fields: list[str], required: str, error: str = "FALSE") -> tuple[str, str, str, str]:
+    """target, and SQL for status, required and observed of a rule."""
     names = [f.replace(".", "_") for f in fields]
     conflict = " OR ".join(f"{n}_l = 'CONFLICTING'" for n in names)
     low = " OR ".join(f"({n}_l = 'LOW' AND {n} IS NOT NULL)" for n in names)
-    return f"""CASE WHEN NOT ({when}) THEN 'NOT_APPLICABLE' WHEN ({when}) IS NULL THEN 'INSUFFICIENT_DATA' WHEN {error} THEN 'INSUFFICIENT_DATA' WHEN {conflict} THEN 'CONFLICTING_EVIDENCE'
+    status = f"""CASE WHEN NOT ({when}) THEN 'NOT_APPLICABLE' WHEN ({when}) IS NULL THEN 'INSUFFICIENT_DATA' WHEN {error} THEN 'INSUFFICIENT_DATA' WHEN {conflict} THEN 'CONFLICTING_EVIDENCE'
         WHEN {low} THEN 'REQUIRES_REVIEW' WHEN ({result}) IS NULL THEN 'INSUFFICIENT_DATA' WHEN {result} THEN 'PASS' ELSE 'FAIL' END"""
+    reached = f"coalesce(({when}) AND NOT ({error}), FALSE)"
+    observed = " || ';' || ".join(f"'{f}=' || coalesce(CAST({n} AS VARCHAR), '') || '@' || {n}_l" for f, n in zip(fields, names, strict=True))
+    return target, status, f"CASE WHEN {reached} THEN {required} END", f"CASE WHEN {reached} THEN {observed} END"
 
 
 _FRONT_OK, _REAR_OK = (f"{s} IS NOT NULL AND {s}_l NOT IN ('MISSING', 'CONFLICTING')" for s in ("setbacks_front", "setbacks_rear"))
+_HALF = "CASE WHEN {rear} AND {front} THEN setbacks_rear >= setbacks_front * 0.5::DOUBLE + 0.0::DOUBLE END".format(rear=_REAR_OK, front=_FRONT_OK)
 _RULES_SQL = {
-    "R01-front": ("setback", _status(_leaf("plot.area", "> 150.0::DOUBLE"), _leaf("setbacks.front", ">= 2.0::DOUBLE"), ["setbacks.front"])),
-    "R02-coverage": ("coverage", _status("building_use = 'residential'", _leaf("coverage", "<= 65.0::DOUBLE"), ["coverage"])),
-    "R03-far": ("far", _status("development_area IN ('A', 'B')", f"({_leaf('far', '<= 2.5::DOUBLE')}) AND ({_leaf('building.floor_count', '<= 4')})", ["far", "building.floor_count"])),
-    "R04-rear-half-front": ("setback", _status("TRUE", f"CASE WHEN {_REAR_OK} AND {_FRONT_OK} THEN setbacks_rear >= setbacks_front * 0.5::DOUBLE + 0.0::DOUBLE END", ["setbacks.rear"])),
-    "R05-side-or-road": (
-        "setback",
-        _status("TRUE", f"({_leaf('setbacks.left', '>= 1.5::DOUBLE')}) OR ({_leaf('road.width', 'BETWEEN 9.0::DOUBLE AND 12.0::DOUBLE')}) OR NOT ({_leaf('building.width', '> 15.0::DOUBLE')})", ["setbacks.left", "road.width", "building.width"]),
+    "R01-front": _rule("setback", _leaf("plot.area", "> 150.0::DOUBLE"), _leaf("setbacks.front", ">= 2.0::DOUBLE"), ["setbacks.front"], "'setbacks.front >= 2.0'"),
+    "R02-coverage": _rule("coverage", "building_use = 'residential'", _leaf("coverage", "<= 65.0::DOUBLE"), ["coverage"], "'coverage <= 65.0'"),
+    "R03-far": _rule("far", "development_area IN ('A', 'B')", f"({_leaf('far', '<= 2.5::DOUBLE')}) AND ({_leaf('building.floor_count', '<= 4')})", ["far", "building.floor_count"], "'(far <= 2.5 AND building.floor_count <= 4)'"),
+    "R04-rear-half-front": _rule("setback", "TRUE", _HALF, ["setbacks.rear"], f"'setbacks.rear >= ' || CASE WHEN {_FRONT_OK} THEN CAST(setbacks_front * 0.5::DOUBLE AS VARCHAR) ELSE '0.5 × setbacks.front' END"),
+    "R05-side-or-road": _rule(
+        "setback", "TRUE", f"({_leaf('setbacks.left', '>= 1.5::DOUBLE')}) OR ({_leaf('road.width', 'BETWEEN 9.0::DOUBLE AND 12.0::DOUBLE')}) OR NOT ({_leaf('building.width', '> 15.0::DOUBLE')})",
+        ["setbacks.left", "road.width", "building.width"], "'(setbacks.left >= 1.5 OR road.width between [9.0, 12.0] OR NOT (building.width > 15.0))'",
     ),
-    "R06-height": ("height", _status("building_use <> 'hospital'", _leaf("building_height_excluding_stilt", "< 15.0::DOUBLE"), ["building_height_excluding_stilt"])),
-    "R07-text-order": ("other", _status("TRUE", "NULL::BOOLEAN", ["plot.width"], "plot_width IS NOT NULL AND plot_width_l NOT IN ('MISSING', 'CONFLICTING')")),
-}
-_RESULTS_SQL = f"WITH {p.SQL_PLANS}, results AS (" + " UNION ALL ".join(f"SELECT plan_id, '{r}' AS rule_id, '{t}' AS target, {s} AS status FROM plans" for r, (t, s) in _RULES_SQL.items()) + ")"
+    "R06-height": _rule("height", "building_use <> 'hospital'", _leaf("building_height_excluding_stilt", "< 15.0::DOUBLE"), ["building_height_excluding_stilt"], "'building_height_excluding_stilt < 15.0'"),
+    "R07-text-order": _rule("other", "TRUE", "NULL::BOOLEAN", ["plot.width"], "'plot.width < wide'", "coalesce(plot_width IS NOT NULL AND plot_width_l NOT IN ('MISSING', 'CONFLICTING'), FALSE)"),
+}
+_RESULTS_SQL = f"WITH {p.SQL_PLANS}, results AS (" + " UNION ALL ".join(f"SELECT plan_id, '{r}' AS rule_id, '{t}' AS target, {s} AS status, {q} AS required, {o} AS observed FROM plans" for r, (t, s, q, o) in _RULES_SQL.items()) + ")"
 _RANKED = "CASE status " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(rules.SEVERITY)) + " END"
 _DECODED = f"([{', '.join(repr(s) for s in rules.SEVERITY)}])[min({_RANKED}) + 1]"
 
@@ -69,7 +74,22 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_RESULTS_SQL} SELECT * FROM results")
 def rule_eval(spark, sf_dir):
-    return _results(spark, sf_dir).select("plan_id", "rule_id", "target", "status")
+    seen = F.array_join(F.transform("observed", lambda o: F.concat(o["field"], F.lit("="), F.coalesce(o["value"], F.lit("")), F.lit("@"), o["level"])), ";")
+    return _results(spark, sf_dir).select("plan_id", "rule_id", "target", "status", "required", seen.alias("observed"))
+
+
+def _family_sql(n: int) -> str:
+    leaf = lambda r: _leaf(r.threshold["field"], f"{r.threshold['op']} {float(r.threshold['value'])}::DOUBLE")
+    when = lambda r: _leaf("plot.area", "BETWEEN {}::DOUBLE AND {}::DOUBLE".format(*r.applies_when["value"]))
+    made = [(r.rule_id, _rule(r.target, when(r), leaf(r), [r.threshold["field"]], "''")[1]) for r in rulesets.family(n)]
+    rows = " UNION ALL ".join(f"SELECT plan_id, '{i}' AS rule_id, {status} AS status FROM plans" for i, status in made)
+    return f"WITH {p.SQL_PLANS}, results AS ({rows}) SELECT rule_id, status, count(*) AS n FROM results GROUP BY rule_id, status"
+
+
+@query(_family_sql(60))
+def rule_family(spark, sf_dir):
+    results = rules.evaluate(p.plans(spark, sf_dir), rulesets.family(60))
+    return results.groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_RESULTS_SQL} SELECT plan_id, {_DECODED} AS overall, count(*) AS n_rules FROM results GROUP BY plan_id")
@@ -477,7 +497,7 @@ def mcnemar(spark, sf_dir):
     return tested.select("field", "g", F.floor(F.col("p_value") * 1e6 + 0.3).cast("long").alias("p_micro"))
 
 
-@query(f"""WITH {p.SQL_SCORES}, g AS (SELECT field, count(*) FILTER (status = 'CORRECT') AS k, count(*)::DOUBLE AS n FROM scores WHERE truth IS NOT NULL GROUP BY field), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS q FROM g)
+@query(f"""WITH {p.SQL_SCORES}, g AS (SELECT field, count(*) FILTER (status = 'CORRECT') AS k, count(*)::DOUBLE AS n FROM scores WHERE truth IS NOT NULL GROUP BY field), z AS (SELECT *, 1.96::DOUBLE AS z, k / n AS q FROM g)
 SELECT field, CAST(floor(((q + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(q * (1 - q) / n + z * z / (4 * n * n)) / (1 + z * z / n)) * 1e6 + 0.5) AS BIGINT) AS low, CAST(floor(((q + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(q * (1 - q) / n + z * z / (4 * n * n)) / (1 + z * z / n)) * 1e6 + 0.5) AS BIGINT) AS high FROM z""")
 def wilson(spark, sf_dir):
     g = _scores(spark, sf_dir).where("truth is not null").groupBy("field").agg(F.count_if(F.col("status") == "CORRECT").alias("k"), F.count(F.lit(1)).alias("n"))
