@@ -11,12 +11,14 @@ special token's string, go through the library whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 from plumbline.llm.vectors import Docs, hash_spans, slices
@@ -32,6 +34,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 SLOTS, WIDTH = 1 << 20, 10
 #: Bytes of text encoded at once; small, as an executor may keep more workers than cores.
 CHUNK = 1 << 17
+#: Strings of the vocabulary proved at once.
+PROVED = 2048
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 
 
@@ -50,10 +54,34 @@ def whole_tokens(vocabulary: str) -> dict[str, int]:
     """
     tokenizer = Tokenizer.from_str(vocabulary)
     pattern = regex.compile(PATTERN)
-    texts = tokenizer.decode_batch([[i] for i in range(tokenizer.get_vocab_size())], skip_special_tokens=False)
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    texts = [t for t in dict.fromkeys(texts) if t and "�" not in t and t not in special and pattern.findall(t) == [t]]
-    return {t: e.ids[0] for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1}
+    out: dict[str, int] = {}
+    for first in range(0, tokenizer.get_vocab_size(), PROVED):
+        ids = range(first, min(first + PROVED, tokenizer.get_vocab_size()))
+        texts = tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False)
+        texts = [t for t in dict.fromkeys(texts) if t and "\ufffd" not in t and t not in special and pattern.findall(t) == [t]]
+        encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        out |= {t: e.ids[0] for t, e in zip(texts, encoded, strict=True) if len(e.ids) == 1}
+    return out
+
+
+def proved_vocabulary(spark: SparkSession, path: str) -> tuple[str, pa.Array, pa.Array]:
+    """What the encoders need: the vocabulary file's text, and the strings that are whole tokens with their ids.
+
+    The proof runs in a task of its own, so the driver never holds a tokenizer;
+    it gets at most a row for each string of a file of bounded size.
+    """
+    vocabulary = read_vocabulary(path)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            whole = whole_tokens(shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([*whole], pa.string()), pa.array([*whole.values()], pa.int64())], names=["text", "id"])
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(prove, "text string, id long").toArrow().combine_chunks()
+    shared.destroy()
+    return vocabulary, pa.array(found["text"].combine_chunks()), pa.array(found["id"].combine_chunks())
 
 
 def _classes() -> np.ndarray:
@@ -158,17 +186,16 @@ def _identity(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 class Encoder:
     """Ids of texts; one per worker and vocabulary. Its memory is of fixed size."""
 
-    def __init__(self, vocabulary: str, whole: dict[str, int]) -> None:
+    def __init__(self, vocabulary: str, texts: pa.Array, ids: pa.Array) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.special = regex.compile(b"|".join(regex.escape(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.classes = _classes()
         n = self.tokenizer.get_vocab_size()
         self.whole, self.seen = Memory.of(1 << 18, 1, n), Memory.of(SLOTS, WIDTH, n)
-        texts = [t.encode() for t in whole]
-        ends = np.cumsum([len(t) for t in texts])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.whole.put(*_identity(data, np.concatenate([[0], ends[:-1]]), ends), np.array([*whole.values()], np.uint32), np.ones(len(texts), np.int64))
+        if len(texts):
+            (docs,) = slices(texts, 1 << 62, len(texts))
+            self.whole.put(*_identity(docs.data, docs.at[:-1], docs.at[1:]), np.asarray(ids, np.uint32), np.ones(len(texts), np.int64))
 
     def slice(self, docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a slice of documents, each document's offset among them, and its number of whole tokens."""
@@ -223,10 +250,10 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(vocabulary: str, whole: dict[str, int]) -> Encoder:
-    """The worker's encoder for this vocabulary."""
+def encoder(vocabulary: str, texts: pa.Array, ids: pa.Array) -> Encoder:
+    """The worker's encoder for this vocabulary and its whole tokens."""
     key = hash(vocabulary)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary, whole)
+        _ENCODERS[key] = Encoder(vocabulary, texts, ids)
     return _ENCODERS[key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.scratch import map_arrow
-from plumbline.llm.vectors import LOWER, Docs, hash_spans, maxima, slices, spans, sums, words
+from plumbline.llm.vectors import LOWER, Docs, gram_spans, hash_spans, maxima, slices, spans, sums, words
 
-#: Labelled documents that training uses at most: those with the smallest hashes of their ids.
+#: Labelled documents that training uses at most, to the row: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 120, 5, 64, 0.1, 10, 1.0
 
@@ -59,8 +60,16 @@ def _distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.diff(to), maxima(run, to)
 
 
+def _repeats(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each value is that before it in its document."""
+    out = np.zeros(values.size, dtype=bool)
+    out[1:] = values[1:] == values[:-1]
+    out[at[:-1][at[:-1] < values.size]] = False
+    return out
+
+
 def statistics(docs: Docs) -> np.ndarray:
-    """A row of NAMES for each document; texts without bytes give zeros."""
+    """A row of NAMES for each document, whatever stands beside it; texts without bytes give zeros."""
     data, at, size = docs.data, docs.at, np.diff(docs.at)
     per_byte = 1 / np.maximum(size, 1)
     out = {name: sums(table[data], at) * per_byte for name, table in CLASSES.items()}
@@ -72,19 +81,17 @@ def statistics(docs: Docs) -> np.ndarray:
     capital = (first >= 65) & (first <= 90)
     loud = np.concatenate([[0], np.cumsum(CLASSES["upper"][data], dtype=np.int64)])
     distinct, top = _distinct(w.hash, w.at)
-    pair = w.hash[:-1] * np.uint64(3) + w.hash[1:] if n.sum() > 1 else np.empty(0, np.uint64)
-    same = np.zeros(w.hash.size)
-    same[1:] = w.hash[1:] == w.hash[:-1]
-    pairs, _ = _distinct(pair, np.minimum(w.at, pair.size))
+    where, to = gram_spans(w.at, 2)
+    pairs, _ = _distinct(w.hash[where] * np.uint64(3) + w.hash[where + 1], to)
+    same = _repeats(w.hash, w.at)
     begin, end = spans(data != 10, at)
     of = np.searchsorted(begin, at)
     lines = np.diff(of)
     per_line = 1 / np.maximum(lines, 1)
     line_mean = sums(end - begin, of) * per_line
     different, _ = _distinct(hash_spans(LOWER[data], begin, end), of)
-    equal = np.zeros(data.size, dtype=bool)
-    equal[1:] = data[1:] == data[:-1]
-    ends = np.append(data, np.uint8(32))[w.end] if w.end.size else np.empty(0, np.uint8)
+    equal = _repeats(data, at)
+    ends = np.where(w.end < np.repeat(at[1:], n), np.append(data, np.uint8(32))[w.end], np.uint8(32))
     out |= {
         "bytes": np.log1p(size),
         "words": np.log1p(n),
@@ -176,29 +183,37 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, learn=None) -> Trees:
-    """Fit on at most about sample_rows labelled documents of those that `learn` (a condition on the id) admits."""
+    """Fit on at most sample_rows labelled documents of those that `learn` (a condition on the id) admits.
+
+    A document is a doc_id: of rows that repeat one, that with the smallest
+    statistics counts. Statistics are taken where the texts are, and the trees
+    grow in a task of their own, so the driver gets the model alone.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.where(learn(F.col(doc_id))) if learn is not None else known
     known = known.groupBy(F.col(doc_id).alias("label_id")).agg(F.max(label).cast("double").alias("y"))
-    share = sample_rows / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    order = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
+    share = 1.2 * sample_rows / max(known.count(), 1)
+    known = known.withColumn("order", order).where(F.col("order") <= share * (1 << 30)).orderBy("order", "label_id").limit(sample_rows)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = featurise(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
+            x = featurise(batch.column(3))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["label_id", "order", "y", "x"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("label_id", "ascending")]).combine_chunks()
+        x = np.asarray(table["x"].combine_chunks().flatten()).reshape(len(table), -1)
+        return pa.table({"model": pa.array([pickle.dumps(fit(x, table["y"].to_numpy()))], pa.binary())})
 
-    # The sampled labels are at most about sample_rows pairs of numbers.
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id")).select("y", "text")
-    got = map_arrow(rows, measured, "y double, x array<float>").toArrow()
-    if not len(got):
-        return fit(np.empty((0, len(NAMES))), np.empty(0))
-    x = np.asarray(got["x"].combine_chunks().flatten()).reshape(len(got), -1)
-    y = got["y"].to_numpy()
-    order = np.lexsort((*x.T[:4], y))  # the order in which tasks end doesn't matter
-    return fit(x[order], y[order])
+    # The sampled labels are at most sample_rows rows of three numbers.
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id")).select("label_id", "order", "y", "text")
+    kind = labels.schema[doc_id].dataType.simpleString()
+    one = map_arrow(rows, measured, f"label_id {kind}, order long, y double, x array<float>").groupBy("label_id", "order", "y").agg(F.min("x").alias("x"))
+    got = one.groupBy().applyInArrow(grow, "model binary").collect()
+    return pickle.loads(got[0].model) if got else fit(np.empty((0, len(NAMES))), np.empty(0))
 
 
 def with_quality(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
@@ -221,8 +236,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     Learns from labels (doc_id, quality 0/1; others and null ids are left out, a
     doc_id labelled twice counts once with its larger label) of documents that
     `learn` admits; without usable labels every score is 0.5. Only texts enter a
-    score, so repeated rows get equal ones; an empty table gives an empty one;
-    all columns of docs are kept in the struct `row`.
+    score, so repeated rows get equal ones and rows of equal statistics tie;
+    null, empty and wordless texts are scored as they are, long ones whole, in a
+    slice of their own. An empty table gives an empty one; all columns of docs,
+    whatever their names, are kept in the struct `row`.
     """
     model = train(docs, labels, text, doc_id, learn=learn)
     return with_quality(docs, model, text).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

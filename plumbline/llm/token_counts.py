@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plumbline.llm.pretokens import encoder, read_vocabulary, whole_tokens
+from plumbline.llm.pretokens import encoder, proved_vocabulary
 from plumbline.llm.scratch import map_arrow
 
 
@@ -19,12 +19,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text:
     Returns doc_id, n_bytes, n_tokens, n_whole (pre-tokens that are one token by
     the offline proof) and over_limit, a row for each row of docs. Null and
     empty texts have 0 tokens; repeated rows are counted alike; an empty table
-    gives an empty one; other columns, whatever their names, are not read.
-    No shuffle: each task counts its own rows.
+    gives an empty one; other columns, whatever their names, are not read. A
+    long text is counted whole, in a slice of its own. No ties arise. No
+    shuffle: each task counts its own rows.
     """
-    vocabulary = read_vocabulary(vocabulary_path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
+    shared = spark.sparkContext.broadcast(proved_vocabulary(spark, vocabulary_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(*shared.value)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import simple8b
-from plumbline.llm.pretokens import encoder, read_vocabulary, whole_tokens
+from plumbline.llm.pretokens import encoder, proved_vocabulary
 from plumbline.llm.scratch import map_arrow
 
 #: Bytes of text in a block; one document is never split, so a long one makes a block of its own.
 BLOCK_BYTES = 1 << 17
+#: Characters of a text that help to deal out rows of one doc_id; texts are written whole.
+HEAD = 32
 
 
 def _schema(doc_id: T.DataType) -> T.StructType:
@@ -37,12 +39,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     """Encode every whole text, append end_id, and write blocks of words below path.
 
     Null texts count as empty and hold end_id alone; rows that repeat a doc_id
-    are all written, in the order of their texts; null ids come first. Only
-    doc_id and text are read. The texts are shuffled once, by ranges of doc_id;
-    encoding follows the shuffle, so that no id is encoded twice.
+    are all written, in the order of their texts; null ids come first. A long
+    text makes a block of its own, an empty table writes no block. Only doc_id
+    and text are read, so other columns may have any name. The texts are
+    shuffled once, by ranges of doc_id and of the first characters, so that a
+    doc_id with many texts is spread as well; encoding follows the shuffle, so
+    that no id is encoded twice.
     """
-    vocabulary = read_vocabulary(vocabulary_path)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast(proved_vocabulary(docs.sparkSession, vocabulary_path))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, bucket, block, before = encoder(*shared.value), TaskContext.get().partitionId(), 0, 0
@@ -66,14 +70,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
                 block, before = block + 1, before + values.size
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(F.col("doc_id"), F.left("text", F.lit(HEAD))).sortWithinPartitions("doc_id", "text")
     map_arrow(rows, blocks, _schema(docs.schema[doc_id].dataType)).write.option("compression", "zstd").parquet(path)
+    shared.destroy()
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    start counts the ids of all documents before it. Only the totals of buckets
+    start counts the ids of all documents before it; rows that repeat a doc_id
+    have a row each, in the order of their texts. Files of an empty table give
+    no rows; a text of any length is decoded whole. Only the totals of buckets
     meet in one place, and there are as many buckets as tasks wrote files.
     """
     files = spark.read.parquet(path)

@@ -61,8 +61,8 @@ class Docs(NamedTuple):
         return self.last - self.first
 
 
-def slices(texts: pa.Array, chunk: int = CHUNK) -> Iterator[Docs]:
-    """The documents of a string column in slices; null counts as empty."""
+def slices(texts: pa.Array, chunk: int = CHUNK, most: int = 4096) -> Iterator[Docs]:
+    """The documents of a string column in slices of about chunk bytes and at most `most` rows; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return
@@ -72,7 +72,7 @@ def slices(texts: pa.Array, chunk: int = CHUNK) -> Iterator[Docs]:
     first = 0
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + chunk, "right")) - 1
-        last = min(max(last, first + 1), first + 4096, len(texts))
+        last = min(max(last, first + 1), first + most, len(texts))
         yield Docs(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

@@ -54,7 +54,8 @@ def test_code_points(text):
 @pytest.fixture(scope="module")
 def coder():
     vocabulary = pretokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return pretokens.Encoder(vocabulary, pretokens.whole_tokens(vocabulary))
+    whole = pretokens.whole_tokens(vocabulary)
+    return pretokens.Encoder(vocabulary, pa.array([*whole]), pa.array([*whole.values()]))
 
 
 def test_ids_are_the_librarys(coder):
@@ -133,3 +134,11 @@ def test_statistics_of_odd_texts_are_finite():
     x = quality.featurise(texts)
     assert x.shape == (len(texts), len(quality.NAMES)) and np.isfinite(x).all()
     assert quality.featurise(pa.array([], pa.string())).shape == (0, len(quality.NAMES))
+
+
+def test_statistics_do_not_depend_on_the_texts_beside():
+    rng = random.Random(3)
+    texts = [helpers.prose(rng, rng.randint(1, 30)) for _ in range(40)] + ["a", "a", "a!", "!a", "a a", "", "aa", "a\n", "\na", *(r[1] for r in helpers.odd_rows())]
+    rng.shuffle(texts)
+    alone = np.concatenate([quality.featurise(pa.array([t], pa.string())) for t in texts])
+    assert (quality.featurise(pa.array(texts, pa.string())) == alone).all()
