@@ -108,16 +108,17 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     docs. Sources rank by code point, null last, and weigh `weights` in
     turn. A source takes copies floor(f) or ceil(f) of each document, f =
     target / source_size, so that its words miss the target by half a
-    document at most. Texts that are null or have no words are never taken. Rows that
-    repeat are separate rows; an empty table gives an empty one; other columns
-    are not read. Draws hang on hashes of doc_id and size alone, and groups on
-    the same hashes, so a rerun over the same rows agrees.
+    document at most. Texts that are null or have no words are never taken; long
+    ones are counted whole. Rows that repeat are separate rows; an empty table
+    gives an empty one; other columns are not read. Draws hang on hashes of
+    doc_id and text alone, and groups on the same hashes, so a rerun over the
+    same rows agrees; rows whose hashes tie are alike in all that is read.
 
     A source's rows are dealt over groups of about GROUP_ROWS rows; each group
     leaves at most one unrounded row, and FAN_IN groups at a time meet in a
     reduction tree until one row is left for each source.
     """
-    key = F.xxhash64(F.col(doc_id).cast("string"), text_size(F.col(text)))
+    key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
     sizes = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), text_size(F.col(text)).alias("size"), key.alias("key")), "sizes")
     targets = source_targets(sizes, weights)
     counts = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
@@ -156,12 +157,14 @@ def _rounds(rows: DataFrame, last: bool) -> DataFrame:
 
 
 def repeat_by_copies(docs: DataFrame, mixed: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs as often as mix_sources took them, all columns kept.
+    """The rows of docs as often as mix_sources took them, all columns kept, whatever their names.
 
-    Rows of one source with the same doc_id and size share their copies: each
-    gets the same number, and the remainder goes to the first of them by text.
+    Rows of one source with the same doc_id and text share their copies: each
+    gets the same number, and the remainder goes to the first of them. Rows of
+    null, empty and wordless texts are never taken, long ones whole or not at
+    all; an empty table gives an empty one.
     """
-    key = F.xxhash64(F.col(doc_id).cast("string"), text_size(F.col(text)))
+    key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
     per = mixed.groupBy(F.col("source").alias("m_source"), F.col("key").alias("m_key")).agg(F.sum("copies").alias("m_copies"), F.count(F.lit(1)).alias("m_rows"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("r_source"), key.alias("r_key"))
     met = row.join(per, (F.col("r_key") == F.col("m_key")) & F.col("r_source").eqNullSafe(F.col("m_source")))
