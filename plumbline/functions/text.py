@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 DIMENSION_WORDS = r"(?i)\b(road|wide|widening|setback|set\s*-?back|plot|site|building|width|depth|length|clear|ht|height|dia|mtr|mts|metre|meter|feet|foot|inch|sq|smt|mm|cm|m|ft|in)\b"
 DIMENSION_MARKS = r"[0-9\s.,;:/()\[\]{}<>~=+*&%@#$^_|\\'\"×xX-]"
 MAX_CHARS, MAX_LETTERS = 32, 3
-UNITS = r"mm|cm|m|ft|feet|in|inch"
+#: How feet with inches and numbers with a unit are printed, spellings of units, the largest bare number.
+FEET_INCHES = r"(\d+(?:\.\d+)?)\s*'\s*-?\s*(\d+(?:\.\d+)?)\s*\"?"
+NUMBER_UNIT = r"(?i)(\d*\.\d+|\d+)\s*(mm|cm|m|ft|feet|in|inch|inches|sq\.?\s?ft|sqft|sq\.?\s?m|sqm|sq\.?\s?mt|'|\")?"
+UNIT_SPELLINGS = {"feet": "ft", "inch": "in", "inches": "in", "'": "ft", '"': "in", "sqft": "sq_ft", "sq.ft": "sq_ft", "sqm": "sq_m", "sq.m": "sq_m", "sq.mt": "sq_m"}
+MOST_BARE = 1000.0
 
 
 def tokens(text: Column) -> Column:
@@ -31,41 +35,73 @@ def looks_like_dimension(text: Column) -> Column:
     return (t != "") & (F.length(t) <= MAX_CHARS) & ~t.rlike(r"^\s*[0-9]+\s*[.)]\s*[A-Za-z]") & (F.length(left) <= MAX_LETTERS)
 
 
-def dimension_value(text: Column) -> tuple[Column, Column]:
-    """Metres of the first feet-inches or number with unit, and a confidence; a bare number over 1000 is none."""
-    feet = F.regexp_extract(text, r"([0-9]+)\s*'\s*-?\s*([0-9]+(?:\.[0-9]+)?)\s*\"", 1)
-    inches = F.regexp_extract(text, r"([0-9]+)\s*'\s*-?\s*([0-9]+(?:\.[0-9]+)?)\s*\"", 2)
-    number = F.regexp_extract(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*({UNITS})?\b", 1)
-    unit = F.lower(F.regexp_extract(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*({UNITS})?\b", 2))
-    factor = F.when(unit == "mm", 0.001).when(unit == "cm", 0.01).when(unit.isin("ft", "feet"), 0.3048).when(unit.isin("in", "inch"), 0.0254).otherwise(1.0)
-    in_feet = (feet.try_cast("double") + inches.try_cast("double") / 12.0) * 0.3048
-    fits = (feet != "") & (inches.try_cast("double") < 12)
-    value = F.when(fits, in_feet).when((number != "") & ~((unit == "") & (number.try_cast("double") > 1000)), number.try_cast("double") * factor)
-    confidence = F.when(fits, 0.85).when(unit != "", 0.75).otherwise(0.55)
-    return value, F.when(value.isNotNull(), confidence)
+def unit_token(raw: Column) -> Column:
+    """The usual name of a printed unit, itself if it has no other; null for none."""
+    key = F.replace(F.lower(F.trim(raw)), F.lit(" "), F.lit(""))
+    table = F.create_map(*[F.lit(v) for kv in UNIT_SPELLINGS.items() for v in kv])
+    return F.when(key != "", F.coalesce(F.element_at(table, key), key))
 
 
-def scale_note(text: Column) -> Column:
-    """Denominators of ``1:N`` notes with 10 <= N <= 5000 that are no part of a three-term ratio."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9:.])1\s*:\s*([0-9]{2,4})(?![0-9]|\s*:|\.[0-9])"), F.lit(1))
-    return F.filter(F.transform(found, lambda n: n.cast("int")), lambda n: (n >= 10) & (n <= 5000))
+def candidate_confidence(unit: Column, feet_inches: Column, ocr: Column | None = None) -> Column:
+    """0.85 for feet with inches, 0.75 with a unit, else 0.55; the mean with the confidence of the reading, where it was read by OCR."""
+    base = F.when(feet_inches, 0.85).when(unit.isNotNull(), 0.75).otherwise(0.55)
+    blended = base if ocr is None else F.coalesce((base + ocr) / 2.0, base)
+    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), blended)), 3)
+
+
+def dimension_candidate(text: Column, ocr: Column | None = None) -> Column:
+    """struct(value, unit, confidence) of a text that is a printed dimension, else null.
+
+    Feet with inches below 12 come first, in decimal feet and the unit ft_in; else
+    the first number with the unit behind it. A bare number over MOST_BARE is none.
+    """
+    t = F.trim(text)
+    feet, inches, number = (F.regexp_extract(t, p, g).try_cast("double") for p, g in ((FEET_INCHES, 1), (FEET_INCHES, 2), (NUMBER_UNIT, 1)))
+    unit = unit_token(F.regexp_extract(t, NUMBER_UNIT, 2))
+    mixed = F.coalesce((inches >= 0) & (inches < 12), F.lit(False))
+    made = F.struct(
+        F.when(mixed, feet + inches / 12.0).otherwise(number).alias("value"), F.when(mixed, "ft_in").otherwise(unit).alias("unit"), candidate_confidence(unit, mixed, ocr).alias("confidence")
+    )
+    fits = mixed | (number.isNotNull() & (unit.isNotNull() | (number <= MOST_BARE)))
+    return F.when(looks_like_dimension(text) & fits, made)
+
+
+#: A drawing scale as printed, contexts in which such a ratio is none, and its denominators.
+SCALE_NOTE = r"(?i)(\bscale\b\s*[:\-]?\s*)?\b1\s*[:=]\s*(\d{1,4})\b(?!\s*[:=]\s*\d)"
+NO_SCALE = r"(?i)\b(far|f\.a\.r|ratio|floor\s+area|coverage|date|version|ward|no\.?\s*of)\b"
+MIXTURE = r"(?i)\b(c\.?m|c\.?c|p\.?c\.?c|r\.?c\.?c|r\.?r|mix|mortar|cement|concrete|brick|block\s*work|plaster|screed|grout|proportion)\b"
+DENOMINATORS = (10, 5000)
+
+
+def scale_notes(text: Column) -> Column:
+    """array of struct(denominator, keyword): the scales ``1:N`` of a text, and whether each says so; none in other contexts."""
+    words, numbers = (F.regexp_extract_all(text, F.lit(SCALE_NOTE), F.lit(i)) for i in (1, 2))
+    notes = F.zip_with(numbers, words, lambda n, w: F.struct(n.cast("int").alias("denominator"), (w != "").alias("keyword")))
+    kept = F.filter(notes, lambda s: s["denominator"].between(*DENOMINATORS))
+    return F.when(text.rlike(NO_SCALE) | text.rlike(MIXTURE), F.slice(kept, 1, 0)).otherwise(kept)
 
 
 def points_per_metre(denominator: Column) -> Column:
     return F.lit(72000.0) / (F.lit(25.4) * denominator)
 
 
+#: Fixed value: a reference to rows of a table.
+ROW_FORMULA = r"\(\s*\d+(?:\.\d+)?(?:\s*[-+*/x×]\s*\d+(?:\.\d+)?)+\s*\)"
+
+
 def without_row_formula(text: Column) -> Column:
-    """Without references such as ``(1-2)`` to table rows."""
-    return F.trim(F.regexp_replace(text, r"\(\s*[0-9A-Za-z]{1,2}(?:\s*[-+*/]\s*[0-9A-Za-z]{1,2})+\s*\)", ""))
+    """With a blank instead of references such as ``(1-2)`` to table rows."""
+    return F.regexp_replace(text, ROW_FORMULA, " ")
+
+
+#: Fixed value: ways to print a number of floors.
+FLOOR_COUNT = r"(?i)\b(?:g(?:round|f)?\s*\+\s*(\d+)|no\.?\s*of\s*floors?\s*[:\-]?\s*(\d+)|(\d+)\s*(?:storey|story|floors?)\b(?!\s*plans?\b))"
 
 
 def floor_count(text: Column) -> Column:
-    """Floors from G+N, `no. of floors: N`, or `N storey`; null without."""
-    plus = F.regexp_extract(text, r"(?i)\bG\s*\+\s*([0-9]{1,2})\b", 1).try_cast("int") + 1
-    named = F.regexp_extract(text, r"(?i)\bno\.?\s*of\s*floors?\s*[:=-]?\s*([0-9]{1,2})\b", 1).try_cast("int")
-    storeys = F.regexp_extract(text, r"(?i)\b([0-9]{1,2})\s*(?:storey|storeys|floors)\b(?!\s*plan)", 1).try_cast("int")
-    return F.coalesce(plus, named, storeys)
+    """Floors from the leftmost G+N (one more), `no. of floors: N` or `N storey` that is no caption of a plan; null without."""
+    plus, named, storeys = (F.regexp_extract(text, FLOOR_COUNT, i).try_cast("int") for i in (1, 2, 3))
+    return F.coalesce(plus + 1, named, storeys)
 
 
 def development_area(text: Column) -> Column:
@@ -105,7 +141,8 @@ USE_ALIASES = {
 def building_use(raw: Column) -> Column:
     """The use that a text names, null if it names none."""
     name = F.trim(F.regexp_replace(F.replace(F.lower(raw), F.lit("-"), F.lit(" ")), r"\s+", " "))
-    return reduce(lambda rest, kv: F.when(name == kv[0], kv[1]).otherwise(rest), USE_ALIASES.items(), F.when(name.isin(*USES), name))
+    table = {u: u for u in USES} | USE_ALIASES
+    return F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), name)
 
 
 def first_keyword(text: Column, table: list[tuple[str, str]], default: str) -> Column:
@@ -115,19 +152,140 @@ def first_keyword(text: Column, table: list[tuple[str, str]], default: str) -> C
 
 
 def json_answer(text: Column) -> Column:
-    """The JSON object in a model's answer: without reasoning and fences, else from the first brace to the last."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", ""))
+    """The JSON of a model's answer: without reasoning and fences at its ends if that can be parsed, else from the first brace
+    to the last; null if neither can."""
+    ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    clean = ends(F.regexp_replace(ends(text), r"(?is)<think>.*?</think>", ""))
+    clean = F.when(clean.startswith("```"), F.regexp_replace(F.regexp_replace(clean, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(clean)
     begin, end = F.instr(clean, "{"), F.length(clean) - F.instr(F.reverse(clean), "}") + 1
-    return F.when((begin > 0) & (end > begin), F.substr(clean, begin, end - begin + 1))
+    inner = F.when((begin > 0) & (end > begin), F.substr(clean, begin, end - begin + 1))
+    return F.when(F.try_parse_json(clean).isNotNull(), clean).when(F.try_parse_json(inner).isNotNull(), inner)
+
+
+def _short(value: Column) -> Column:
+    """Six significant digits without trailing zeros, null where that takes an exponent."""
+    digits = 5 - F.floor(F.log10(F.abs(value)))
+    text = F.lit(None).cast("string")
+    for d in range(10):
+        text = F.when(digits == d, F.format_string(f"%.{d}f", value)).otherwise(text)
+    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")).otherwise(text)
+    return F.when(value == 0, "0").when((F.abs(value) >= 1e-4) & (F.abs(value) < 1e6), text)
 
 
 def value_forms(value: Column) -> Column:
-    """The ways in which a number may be printed: two decimals, one, and without trailing zeros."""
+    """The ways in which a number may be printed: two decimals, one, six digits at most, and below 1 with a leading dot."""
     two, one = F.format_string("%.2f", value), F.format_string("%.1f", value)
-    short = F.regexp_replace(F.regexp_replace(two, r"0+$", ""), r"\.$", "")
-    return F.array_distinct(F.array(two, one, short))
+    dot = lambda c: F.when((value > 0) & (value < 1), F.substr(c, F.lit(2)))
+    return F.array_distinct(F.array_compact(F.array(two, one, _short(value), dot(two), dot(one))))
+
+
+#: Fixed value: numbers of a native text, as they are compared.
+NUMBER_TOKEN = r"\d+\.?\d*"
+
+
+def number_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(0))
 
 
 def grounded(value: Column, text: Column) -> Column:
     """Whether a number is printed in the text as a token of its own."""
-    return F.arrays_overlap(value_forms(value), F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
+    return F.arrays_overlap(value_forms(value), number_tokens(text))
+
+
+def grounding(value: Column, evidence: Column, tokens_: Column) -> Column:
+    """struct(value, grounded, keep) of a number that a model claims to have read.
+
+    A value that is missing or 0 is taken from the first number of its evidence.
+    Without any value it is kept, grounded null; on a page without text (no
+    tokens) it is kept, grounded false; else it is kept if it is printed there.
+    """
+    read = F.regexp_extract(evidence, r"\d+(?:\.\d+)?", 0).try_cast("double")
+    v = F.when(value.isNull() | (value == 0), F.coalesce(read, value)).otherwise(value)
+    printed = F.coalesce(F.size(tokens_) > 0, F.lit(False)) & F.arrays_overlap(value_forms(v), tokens_)
+    bare = F.coalesce(F.size(tokens_), F.lit(0)) == 0
+    return F.struct(v.alias("value"), F.when(v.isNotNull(), printed).alias("grounded"), (v.isNull() | bare | printed).alias("keep"))
+
+
+def token_in_text(value: Column, text: Column) -> Column:
+    """Whether one of the three plain forms of a number stands anywhere in the text."""
+    return F.coalesce(text.contains(F.format_string("%.2f", value)) | text.contains(F.format_string("%.1f", value)) | text.contains(_short(value)), F.lit(False))
+
+
+#: Ordered words of file names, and the kind of document and the city that they tell.
+DOC_TYPES = [
+    ("nbc", "NBC"), ("national_building", "NBC"), ("amendment", "AMENDMENT"), ("amendments", "AMENDMENT"), ("notification", "AMENDMENT"), ("gazette", "AMENDMENT"), ("revised setback", "AMENDMENT"), ("parking", "PARKING"), ("fire", "FIRE"),
+    ("dcr", "DCR"), ("byelaw", "DCR"), ("bye-law", "DCR"), ("bylaw", "DCR"), ("building_bylaw", "DCR"), ("zoning", "DCR"), ("master_plan", "DCR"),
+]
+CITIES = [
+    ("nbc", "NATIONAL"), ("national_building", "NATIONAL"), ("bbmp", "Bengaluru"), ("bangalore", "Bengaluru"), ("bengaluru", "Bengaluru"), ("mcgm", "Mumbai"), ("mumbai", "Mumbai"), ("dda", "Delhi"), ("delhi", "Delhi"), ("pmc", "Pune"), ("pune", "Pune"), ("gvmc", "Vizag"),
+]
+
+
+def document_kind(file_name: Column) -> Column:
+    return first_keyword(file_name, DOC_TYPES, "UNKNOWN")
+
+
+def document_city(file_name: Column) -> Column:
+    return first_keyword(file_name, CITIES, "UNKNOWN")
+
+
+# ---------------------------------------------------------------- values beside their labels
+
+#: Labels of values in one text, most special first, their fields and units; qualifiers of what is built, and of limits.
+LABELLED = [
+    ("plot.net_area", r"(?i)NET\s+(?:AREA\s+OF\s+)?PLOT[^0-9\-]{0,20}(\d+(?:\.\d+)?)", "m2"),
+    ("plot.area", r"(?i)(?:AREA\s+OF\s+PLOT|PLOT\s+AREA|SITE\s+AREA)[^0-9\-]{0,20}(\d+(?:\.\d+)?)", "m2"),
+    ("building.footprint_area", r"(?i)(?:PROPOSED\s+COVERAGE\s+AREA|GROUND\s+COVERAGE\s+AREA|GROUND\s+FLOOR\s+AREA|PLINTH\s+AREA)[^0-9\-]{0,20}(\d+(?:\.\d+)?)", "m2"),
+    ("coverage", r"(?i)COVERAGE[^0-9\-%]{0,20}(\d+(?:\.\d+)?)\s*%", "%"),
+    ("far", r"(?i)\bFAR\b[^0-9\-%]{0,20}(\d+(?:\.\d+)?)", "ratio"),
+    ("building.gross_built_up_area", r"(?i)(?:TOTAL|GROSS)\s+BUILT[- ]?UP\s+AREA[^0-9\-]{0,20}(\d+(?:\.\d+)?)", "m2"),
+]
+BUILT, LIMIT = r"(?i)ACHIEVED|\bNET\b|PROPOSED", r"(?i)PERMISSIBLE|ALLOWABLE|\bMAX\b|\bPERM\b|BALANCE|\bTDR\b|PREMIUM|\bTOTAL\b"
+#: A road's width, units of it, and words of the sides of a plot.
+ROAD_WIDTH = r"(?i)(\d+(?:\.\d+)?)\s*(m|mt|mtr|metres?|meters?|ft|feet|foot)?\s*(?:WIDE\s+)?R\s*O\s*A\s*D\b"
+SIDE_WORDS = {"front": "FRONT", "rear": "REAR|BACK", "left": "LEFT", "right": "RIGHT"}
+
+
+def labelled_values(text: Column) -> Column:
+    """array of struct(field, value, unit): the labelled values of one text, row references left out."""
+    clean = without_row_formula(text)
+    found = [F.struct(F.lit(n).alias("field"), F.regexp_extract(clean, p, 1).try_cast("double").alias("value"), F.lit(u).alias("unit")) for n, p, u in LABELLED]
+    return F.filter(F.array(*found), lambda s: s["value"].isNotNull())
+
+
+def label_rank(text: Column) -> Column:
+    """0 for a label of what is built, 1 for one without qualifier, 2 for a limit or a remainder."""
+    return F.when(text.rlike(BUILT), 0).when(text.rlike(LIMIT), 2).otherwise(1)
+
+
+def road_width(text: Column) -> Column:
+    """Metres of a text such as ``9.14 M WIDE ROAD``; null without."""
+    unit = F.lower(F.regexp_extract(text, ROAD_WIDTH, 2))
+    return F.regexp_extract(text, ROAD_WIDTH, 1).try_cast("double") * F.when(unit.isin("ft", "feet", "foot"), 0.3048).otherwise(1.0)
+
+
+def setback_label(text: Column, side: str) -> Column:
+    """The number behind ``FRONT SETBACK`` and its like; null without."""
+    return F.regexp_extract(text, rf"(?i)\b(?:{SIDE_WORDS[side]})\s*SETBACK\b[^0-9\-]{{0,15}}(\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
+#: Kinds of dimensions by the words of their labels.
+DIMENSION_LABELS = {
+    "PLOT_WIDTH": r"(?i)\b(plot|site|property)\b.*\b(width|frontage)\b",
+    "PLOT_DEPTH": r"(?i)\b(plot|site|property)\b.*\b(depth|length)\b",
+    "BUILDING_WIDTH": r"(?i)\b(building|house|block)\b.*\b(width)\b",
+    "BUILDING_DEPTH": r"(?i)\b(building|house|block)\b.*\b(depth|length)\b",
+    "ROAD_WIDTH": r"(?i)\broad\b",
+}
+SETBACK_WORD, SIDE_LABELS = r"(?i)\bset\s*-?back\b", {"front": r"(?i)\bfront\b", "rear": r"(?i)\b(rear|back)\b", "left": r"(?i)\bleft\b", "right": r"(?i)\bright\b"}
+ROOM_WORD = r"(?i)\b(bed\s*room|bedroom|kitchen|hall|toilet|bath(room)?|w\.?c\.?|living|dining|store|balcony|passage|room|verandah|veranda|puja|study)\b"
+
+
+def keyword_scores(label: Column) -> Column:
+    """map kind -> score of a label's words: 1 for a named setback (0.25 each where no side is named), 0.6 for the others."""
+    label = F.coalesce(label, F.lit(""))
+    setback, named = label.rlike(SETBACK_WORD), [label.rlike(p) for p in SIDE_LABELS.values()]
+    some = reduce(lambda a, b: a | b, named)
+    parts = [F.when(setback & hit, F.struct(F.lit(f"{s.upper()}_SETBACK").alias("key"), F.lit(1.0).alias("value"))).when(setback & ~some, F.struct(F.lit(f"{s.upper()}_SETBACK").alias("key"), F.lit(0.25).alias("value"))) for s, hit in zip(SIDE_LABELS, named, strict=True)]
+    parts += [F.when(label.rlike(p), F.struct(F.lit(k).alias("key"), F.lit(0.6).alias("value"))) for k, p in [("ROOM_DIMENSION", ROOM_WORD), *DIMENSION_LABELS.items()]]
+    return F.map_from_entries(F.filter(F.array(*parts), lambda s: s.isNotNull()))

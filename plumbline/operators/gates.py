@@ -62,27 +62,29 @@ def physical_bounds(plans: DataFrame) -> DataFrame:
     return rows.select(*kept, F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ",")).alias("withdrawn"))
 
 
-def coverage_and_far(plans: DataFrame) -> DataFrame:
-    """coverage, coverage_level, far, far_level from footprint, plot area and floors; full precision.
+def ratios(foot: Column, plot: Column, floors: Column) -> dict[str, Column]:
+    """coverage and far as structs (num, str, level) from three fields; full precision.
 
     A footprint over PLAUSIBLE_RATIO of the plot is CONFLICTING. Levels are those
     of the weaker input; FAR is never HIGH, and without floors it counts one at LOW.
     """
-    foot, plot, floors = num("building.footprint_area"), num("plot.area"), num("building.floor_count")
-    foot_level, plot_level, floor_level = (F.col(f"`{n}`")["level"] for n in ("building.footprint_area", "plot.area", "building.floor_count"))
-    known = foot.isNotNull() & plot.isNotNull() & (plot > 0)
-    ratio = foot / F.when(plot > 0, plot)
-    weaker = cap_level(foot_level, plot_level)
-    counted = floors > 0
-    far_level = F.when(counted, cap_level(F.lit("MEDIUM"), floor_level)).otherwise("LOW")
-
-    def out(value: Column, level: Column) -> tuple[Column, Column]:
-        fine = known & (ratio <= PLAUSIBLE_RATIO)
-        return F.when(fine, value), F.when(fine, level).when(known, "CONFLICTING").otherwise("MISSING")
-
-    coverage, coverage_level = out(ratio * 100.0, weaker)
-    far, far_level = out(F.when(counted, foot * floors).otherwise(foot) / F.when(plot > 0, plot), cap_level(far_level, weaker))
-    return plans.select("plan_id", coverage.alias("coverage"), coverage_level.alias("coverage_level"), far.alias("far"), far_level.alias("far_level"))
+    known = foot["num"].isNotNull() & plot["num"].isNotNull() & (plot["num"] > 0)
+    area = F.when(plot["num"] > 0, plot["num"])
+    fine = known & (foot["num"] / area <= PLAUSIBLE_RATIO)
+    weaker = cap_level(foot["level"], plot["level"])
+    counted = floors["num"] > 0
+    far_level = F.when(counted, cap_level(F.lit("MEDIUM"), floors["level"])).otherwise("LOW")
+
+    def out(value: Column, level: Column) -> Column:
+        return F.struct(F.when(fine, value).alias("num"), F.lit(None).cast("string").alias("str"), F.when(fine, level).when(known, "CONFLICTING").otherwise("MISSING").alias("level"))
+
+    return {"coverage": out(foot["num"] / area * 100.0, weaker), "far": out(F.when(counted, foot["num"] * floors["num"]).otherwise(foot["num"]) / area, cap_level(far_level, weaker))}
+
+
+def coverage_and_far(plans: DataFrame) -> DataFrame:
+    """plan_id, coverage, coverage_level, far, far_level from footprint, plot area and floors (see ratios)."""
+    made = ratios(*(F.col(f"`{n}`") for n in ("building.footprint_area", "plot.area", "building.floor_count")))
+    return plans.select("plan_id", *[made[n][part].alias(n + suffix) for n in ("coverage", "far") for part, suffix in (("num", ""), ("level", "_level"))])
 
 
 def consistency_conflicts(plans: DataFrame, tolerance: float = 0.05, rectangular: Column | None = None) -> DataFrame:

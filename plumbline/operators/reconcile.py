@@ -61,14 +61,15 @@ def mad_outliers(samples: DataFrame, keys: list[str], value: str = "value") -> D
 
 
 def scale_estimate(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Median and relative spread of the samples that are no outliers, and a level by both."""
+    """Median and relative spread (deviation by median) of the samples that are no outliers, and a level by number and spread."""
     kept = mad_outliers(samples, keys, value)
+    used = F.when(F.col("kept"), F.col(value))
     g = kept.groupBy(*keys).agg(
-        F.percentile(F.when(F.col("kept"), F.col(value)), F.lit(0.5)).alias("scale"),
-        F.count(F.when(F.col("kept"), 1)).alias("n_used"),
-        F.count(F.when(~F.col("kept"), 1)).alias("n_rejected"),
+        F.percentile(used, F.lit(0.5)).alias("scale"), F.stddev_pop(used).alias("deviation"), F.count(used).alias("n_used"), F.count(F.when(~F.col("kept"), 1)).alias("n_rejected")
     )
-    level = F.when(F.col("n_used") >= 3, "HIGH").when(F.col("n_used") == 2, "MEDIUM").otherwise("LOW")
+    spread = F.when(F.col("n_used") < 2, 0.0).otherwise(F.coalesce(F.try_divide("deviation", "scale"), F.lit(1.0)))
+    g = g.withColumn("spread", spread).drop("deviation")
+    level = F.when((F.col("n_used") >= 3) & (F.col("spread") < 0.05), "HIGH").when((F.col("n_used") >= 2) & (F.col("spread") < 0.15), "MEDIUM").otherwise("LOW")
     return g.withColumn("level", level)
 
 

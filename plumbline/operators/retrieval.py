@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import tokens
+from plumbline.functions.text import token_estimate, tokens
 
 #: Constants of the ranking function, of rank fusion, and of the over-fetch.
 K1, B, EPSILON, RRF, OVERFETCH = 1.5, 0.75, 0.25, 60, 4
@@ -91,38 +91,67 @@ def changed_files(pages: DataFrame, known: DataFrame) -> DataFrame:
     return pages.join(known, ["source_file", "sha256"], "left_anti")
 
 
-#: How clauses begin, in order of precedence.
-CLAUSE_STARTS = (r"^\s*([0-9]+(?:\.[0-9]+){1,4})\s+[A-Z]", r"^\s*(?:Section|Chapter|Rule|Regulation)\s+([0-9]+[A-Z]?)\b", r"^\s*([0-9]{1,3})\.\s+[A-Z]")
+#: How clauses begin, in order of precedence (reference, heading), and how large a chunk and its overlap are.
+CLAUSE_STARTS = (
+    r"(?dm)^(\d{1,2}(?:\.\d{1,3}){1,4})\s{1,4}([A-Z][^\n]{3,})",
+    r"(?dmi)^((?:Section|Regulation|Clause|Rule|Chapter|Article|Part)\s+[\dIVXivx]+[A-Za-z]?\.?)\s*([^\n]*)",
+    r"(?dm)^(\d{1,3}\.)\s+([A-Z][^\n]{5,})",
+)
+MAX_TOKENS, OVERLAP = 512, 50
+_MARK = "\x01"
 
 
-def chunk_clauses(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, idx, clause_ref, text: page texts cut where lines begin a clause.
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
-    Text before the first clause is left out; a page without any is one chunk
-    UNCATEGORISED.
+
+def clause_starts(text: Column) -> Column:
+    """array of struct(start, ref): where clauses begin (from 0) and their reference with heading; at one place the first form counts.
+
+    Each form is found in its own copy of the text, marked in front of every
+    match, so that matches of one form don't overlap while those of two may. A
+    control character 1 of the text reads as a blank in references.
     """
-    ref = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in CLAUSE_STARTS])
-    lines = pages.select(*keys, F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("ref", ref)
-    order = Window.partitionBy(*keys).orderBy("n")
-    lines = lines.withColumn("clause", F.count("ref").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("n_clauses", F.max("clause").over(Window.partitionBy(*keys)))
-    lines = lines.where("clause > 0 or n_clauses = 0")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"])
-    g = lines.groupBy(*keys, "clause").agg(F.coalesce(F.max("ref"), F.lit("UNCATEGORISED")).alias("clause_ref"), F.trim(F.array_join(parts, "\n")).alias("text"))
-    return g.where("text != ''").withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("clause")) - 1).drop("clause")
+    clean = F.translate(text, _MARK, " ")
+    found = []
+    for rank, pattern in enumerate(CLAUSE_STARTS):
+        pieces = F.slice(F.split(F.regexp_replace(clean, pattern, _MARK + "$0"), _MARK), 1, 1 << 30)
+        lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
+        starts = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, v: s + v))  # noqa: B023
+        refs, headings = (F.regexp_extract_all(clean, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        named = F.zip_with(refs, headings, lambda r, h: _stripped(F.concat(_stripped(r), F.lit(" "), _stripped(h))))
+        found.append(F.zip_with(starts, named, lambda p, r: F.struct(p.alias("start"), F.lit(rank).alias("rank"), r.alias("ref"))))  # noqa: B023
+    ordered = F.array_sort(F.concat(*found))
+    return F.filter(ordered, lambda s, i: (i == 0) | (s["start"] != F.get(ordered, i - 1)["start"]))
+
+
+def chunk_clauses(pages: DataFrame, keys: list[str], max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """keys, clause, clause_ref, idx, text: page texts cut where clauses begin, long clauses split once more.
+
+    Text before the first clause is left out; a page without any is UNCATEGORISED
+    and split as a whole. idx numbers the parts of a clause.
+    """
+    rows = pages.select(*keys, "text", F.explode(F.array(clause_starts(F.col("text")))).alias("starts"))
+    ends = F.transform("starts", lambda s, i: F.coalesce(F.get("starts", i + 1)["start"], F.length("text")))
+    cut = F.zip_with("starts", ends, lambda s, e: F.struct(s["ref"].alias("clause_ref"), _stripped(F.substr("text", s["start"] + 1, e - s["start"])).alias("clause_text")))
+    whole = F.array(F.struct(F.lit("UNCATEGORISED").alias("clause_ref"), F.col("text").alias("clause_text")))
+    rows = rows.select(*keys, F.posexplode(F.when(F.size("starts") > 0, cut).otherwise(whole)).alias("clause", "c")).select(*keys, "clause", "c.*").where("clause_text != ''")
+    short = (F.col("clause_ref") != "UNCATEGORISED") & (token_estimate(F.col("clause_text")) <= max_tokens)
+    parts = F.when(short, F.array("clause_text")).otherwise(split_parts(F.col("clause_text"), max_tokens, overlap))
+    return rows.select(*keys, "clause", "clause_ref", F.posexplode(parts).alias("idx", "text")).where("trim(text) != ''")
 
 
 def chunk_id(*parts: Column) -> Column:
     return F.concat_ws("::", *parts)
 
 
-def sub_split(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
-    """Pack the paragraphs of each text into parts of at most max_tokens, each beginning with the last paragraphs of
-    the one before as far as they fit into overlap. A single long paragraph is not split. All columns kept; adds part, part_text.
+def split_parts(text: Column, max_tokens: int, overlap: int) -> Column:
+    """The paragraphs of a text packed into parts of at most max_tokens, each beginning with the last paragraphs of the
+    one before as far as they fit into overlap. A long paragraph is not split; a text without any is one part.
     """
     size = lambda p: F.floor(F.length(p) / 4)
     total = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda s, p: s + size(p).cast("long"))
-    paragraphs = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), _stripped), lambda p: p != "")
     kind = "struct<done: array<array<string>>, now: array<string>>"
     none = F.array().cast("array<string>")
 
@@ -141,4 +170,25 @@ def sub_split(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
 
     start = F.from_json(F.lit('{"done": [], "now": []}'), kind)
     parts = F.aggregate(paragraphs, start, step, lambda s: F.concat(s["done"], F.when(F.size(s["now"]) > 0, F.array(s["now"])).otherwise(F.array().cast("array<array<string>>"))))
-    return chunks.select("*", F.posexplode(parts).alias("part", "_p")).withColumn("part_text", F.array_join("_p", "\n\n")).drop("_p")
+    return F.when(F.size(paragraphs) == 0, F.array(_stripped(text))).otherwise(F.transform(parts, lambda ps: F.array_join(ps, "\n\n")))
+
+
+def sub_split(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
+    """All columns of chunks with part and part_text: a row for each part of the text (see split_parts)."""
+    return chunks.select("*", F.posexplode(split_parts(F.col("text"), max_tokens, overlap)).alias("part", "part_text"))
+
+
+def resolve_chunks(fused: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The fused ranks with the chunks they stand for."""
+    return fused.join(chunks, "pos")
+
+
+def municipality_listing(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunks and distinct source files of each municipality."""
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source_file").alias("n_files"))
+
+
+def sparse_pages(pages: DataFrame, share: float = 0.3) -> DataFrame:
+    """Pages (source_file, page_num, text) whose text is shorter than a share of their file's mean."""
+    mean = pages.groupBy("source_file").agg(F.avg(F.length("text")).alias("mean"))
+    return pages.join(mean, "source_file").where(F.length("text") < share * F.col("mean")).drop("mean")

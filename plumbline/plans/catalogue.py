@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, levels, measures, text
 from plumbline.operators import corpus, decisions, drawing, gates, reconcile, retrieval, rules, scoring, spatial
 from plumbline.plans import projections as p
 from plumbline.plans import rulesets
+from plumbline.plans.registry import ORACLES, QUERIES, query
 from plumbline.streaming import logs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # ---------------------------------------------------------------- rules
@@ -142,11 +129,12 @@ def mad_outliers(spark, sf_dir):
 
 
 @query(f"""WITH {p.SQL_CANDIDATES.replace('l_orderkey AS plan_id', 'l_suppkey AS plan_id')}, {_SPREAD}, k AS (SELECT *, n < 3 OR mad < 1e-9 OR 0.6745 * dev / nullif(mad, 0) <= 3.5 AS kept FROM r),
-g AS (SELECT plan_id, field, median(value) FILTER (kept) AS scale, count(*) FILTER (kept) AS n_used, count(*) FILTER (NOT kept) AS n_rejected FROM k GROUP BY ALL)
-SELECT *, CASE WHEN n_used >= 3 THEN 'HIGH' WHEN n_used = 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM g""")
+g AS (SELECT plan_id, field, median(value) FILTER (kept) AS scale, stddev_pop(value) FILTER (kept) AS sd, count(*) FILTER (kept) AS n_used, count(*) FILTER (NOT kept) AS n_rejected FROM k GROUP BY ALL),
+h AS (SELECT *, CASE WHEN n_used < 2 THEN 0.0::DOUBLE ELSE coalesce(sd / nullif(scale, 0), 1.0::DOUBLE) END AS spread FROM g)
+SELECT plan_id, field, scale, n_used, n_rejected, CAST(floor(spread * 1e6 + 0.5) AS BIGINT) AS spread_micro, CASE WHEN n_used >= 3 AND spread < 0.05 THEN 'HIGH' WHEN n_used >= 2 AND spread < 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM h""")
 def scale_estimate(spark, sf_dir):
     rows = p.candidates(spark, sf_dir).withColumn("plan_id", F.floor(F.col("pos") / 100) % 10000)
-    return reconcile.scale_estimate(rows, ["plan_id", "field"])
+    return reconcile.scale_estimate(rows, ["plan_id", "field"]).withColumn("spread_micro", F.floor(F.col("spread") * 1e6 + 0.5).cast("long")).drop("spread")
 
 
 @query(f"WITH {p.SQL_CANDIDATES} SELECT pos, plan_id, CASE WHEN confidence >= 0.85::DOUBLE THEN 'HIGH' WHEN confidence > 0.75::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS level FROM candidates")
@@ -263,7 +251,7 @@ def _measured(spark, sf_dir) -> DataFrame:
 _NEAR = "abs(m.value - c.value) <= greatest(0.05::DOUBLE, 0.01::DOUBLE * greatest(abs(m.value), abs(c.value)))"
 _EVIDENCE = f"""WITH {p.SQL_CANDIDATES}, cv AS ({_CV}), vi AS ({_VISION}), c AS (SELECT plan_id, field, 'cv' AS side, value FROM cv UNION ALL SELECT plan_id, field, 'vision', value FROM vi),
 e AS (SELECT c.plan_id, c.field, side, c.value, coalesce(bool_or(kind = 'NATIVE_TEXT'), false) AS printed, coalesce(bool_or(grounded), false) AS dimension_line, coalesce(bool_or(region = 'A'), false) AS semantic, coalesce(bool_or(kind = 'OCR'), false) AS ocr,
-    coalesce(bool_or(kind = 'VECTOR_GEOMETRY'), false) AS geometry, count(*) FILTER (kind = 'NATIVE_TEXT') > 1 AS repeated, count(m.value) > 0 AS cv, side = 'vision' AS vision
+    coalesce(bool_or(kind = 'VECTOR_GEOMETRY'), false) AS geometry, FALSE AS repeated, count(m.value) > 0 AS cv, side = 'vision' AS vision
     FROM c LEFT JOIN candidates m ON m.plan_id = c.plan_id AND m.field = c.field AND {_NEAR} GROUP BY ALL),
 evidence AS (SELECT *, printed::INT * 5 + dimension_line::INT * 4 + semantic::INT * 3 + ocr::INT * 3 + geometry::INT * 3 + repeated::INT * 2 + cv::INT + vision::INT AS score, printed OR ocr OR geometry AS direct FROM e)"""
 
@@ -281,19 +269,40 @@ def evidence_score(spark, sf_dir):
     return decisions.evidence(sides, _measured(spark, sf_dir), ["plan_id", "field"])
 
 
-@query(f"""{_EVIDENCE}, g AS (SELECT plan_id, field, max(value) FILTER (side = 'cv') AS a, max(value) FILTER (side = 'vision') AS b, coalesce(max(score) FILTER (side = 'cv'), 0) AS sa, coalesce(max(score) FILTER (side = 'vision'), 0) AS sb,
+def _decided_sql(evidence: str) -> str:
+    """CTE decided over the CTE evidence: the verdicts on all keys."""
+    return f"""{evidence}, g AS (SELECT plan_id, field, max(value) FILTER (side = 'cv') AS a, max(value) FILTER (side = 'vision') AS b, coalesce(max(score) FILTER (side = 'cv'), 0) AS sa, coalesce(max(score) FILTER (side = 'vision'), 0) AS sb,
     coalesce(bool_or(direct) FILTER (side = 'cv'), false) AS da, coalesce(bool_or(direct) FILTER (side = 'vision'), false) AS db FROM evidence GROUP BY ALL),
 w AS (SELECT *, CASE WHEN abs(a - b) <= greatest(0.05::DOUBLE, 0.01::DOUBLE * greatest(abs(a), abs(b))) THEN 'cv+vision' WHEN b IS NULL THEN 'cv' WHEN a IS NULL THEN 'vision'
-    WHEN (sa >= 6 AND da) AND NOT (sb >= 6 AND db) THEN 'cv' WHEN (sb >= 6 AND db) AND NOT (sa >= 6 AND da) THEN 'vision' WHEN (sa >= 6 AND da) AND (sb >= 6 AND db) AND sa > sb THEN 'cv' WHEN (sa >= 6 AND da) AND (sb >= 6 AND db) AND sa < sb THEN 'vision' END AS winner FROM g),
+    WHEN (sa >= 6 AND da) AND NOT (sb >= 6 AND db) THEN 'cv' WHEN (sb >= 6 AND db) AND NOT (sa >= 6 AND da) THEN 'vision' WHEN (sa >= 6 AND da) AND (sb >= 6 AND db) AND sa > sb THEN 'cv' WHEN (sa >= 6 AND da) AND (sb >= 6 AND db) AND sa < sb THEN 'vision' END AS winner,
+    (sa >= 6 AND da) AND (sb >= 6 AND db) AS tied FROM g),
 s AS (SELECT *, CASE WHEN winner IS NULL THEN 'UNRESOLVED_CONFLICT' WHEN winner = 'cv+vision' THEN CASE WHEN da THEN 'AGREED_DOCUMENT_VERIFIED' ELSE 'AGREED_UNVERIFIED' END
-    WHEN b IS NULL THEN CASE WHEN da THEN 'CV_ONLY_DOCUMENT_VERIFIED' ELSE 'CV_ONLY_UNVERIFIED' END WHEN a IS NULL THEN CASE WHEN db THEN 'VISION_ONLY_DOCUMENT_VERIFIED' ELSE 'VISION_ONLY_UNVERIFIED' END ELSE 'CONFLICT_RESOLVED_BY_DOCUMENT_EVIDENCE' END AS status FROM w)
-SELECT plan_id, field, status, winner, CASE winner WHEN 'cv+vision' THEN (a + b) / 2 WHEN 'cv' THEN a WHEN 'vision' THEN b END AS value, CASE WHEN winner IS NULL THEN 'CONFLICT' ELSE 'ACCEPT' END AS decision,
-    CASE WHEN winner IS NULL THEN 'CONFLICTING' WHEN status = 'AGREED_UNVERIFIED' THEN 'MEDIUM' WHEN status LIKE '%_UNVERIFIED' THEN 'LOW' ELSE 'HIGH' END AS level FROM s""")
+    WHEN b IS NULL THEN CASE WHEN da THEN 'CV_ONLY_DOCUMENT_VERIFIED' ELSE 'CV_ONLY_UNVERIFIED' END WHEN a IS NULL THEN CASE WHEN db THEN 'VISION_ONLY_DOCUMENT_VERIFIED' ELSE 'VISION_ONLY_UNVERIFIED' END ELSE 'CONFLICT_RESOLVED_BY_DOCUMENT_EVIDENCE' END AS status FROM w),
+decided AS (SELECT plan_id, field, status, winner, CASE winner WHEN 'cv+vision' THEN round_even((a + b) / 2, 4) WHEN 'cv' THEN a WHEN 'vision' THEN b END AS value, CASE WHEN winner IS NOT NULL THEN 'ACCEPT' WHEN tied THEN 'CONFLICT' ELSE 'ABSTAIN' END AS decision,
+    CASE WHEN winner IS NULL THEN CASE WHEN tied THEN 'CONFLICTING' ELSE 'MISSING' END WHEN status = 'AGREED_UNVERIFIED' THEN 'MEDIUM' WHEN status LIKE '%_UNVERIFIED' THEN 'LOW' ELSE 'HIGH' END AS level,
+    CASE winner WHEN 'vision' THEN sb WHEN 'cv' THEN sa WHEN 'cv+vision' THEN sa + 1 END / 22.0::DOUBLE AS evidence FROM s)"""
+
+
+_DECIDED = _decided_sql(_EVIDENCE)
+
+
+@query(f"{_DECIDED} SELECT * FROM decided")
 def decide_field(spark, sf_dir):
     cv, vision = _two(spark, sf_dir)
     return decisions.resolve(cv, vision, _measured(spark, sf_dir), ["plan_id", "field"])
 
 
+_PRINTED_EVIDENCE = _EVIDENCE.replace("evidence AS (SELECT *, printed::INT", "n AS (SELECT c.plan_id, c.field, c.side, count(*) AS n_printed FROM c JOIN candidates m ON m.plan_id = c.plan_id AND m.region = 'R' AND abs(m.value - c.value) <= 0.01::DOUBLE GROUP BY ALL),\ne2 AS (SELECT e.* REPLACE (printed OR n_printed IS NOT NULL AS printed, coalesce(n_printed, 0) > 1 AS repeated) FROM e LEFT JOIN n USING (plan_id, field, side)),\nevidence AS (SELECT *, printed::INT").replace("AS direct FROM e)", "AS direct FROM e2)")
+
+
+@query(f"{_decided_sql(_PRINTED_EVIDENCE)} SELECT * FROM decided")
+def decide_field_with_texts(spark, sf_dir):
+    # Numbers of one region are what the document's texts print.
+    cv, vision = _two(spark, sf_dir)
+    numbers = p.candidates(spark, sf_dir).where("region = 'R'").select("plan_id", "value")
+    return decisions.resolve(cv, vision, _measured(spark, sf_dir), ["plan_id", "field"], numbers=numbers, document=["plan_id"])
+
+
 @query(f"""WITH {p.SQL_CANDIDATES}, g AS (SELECT plan_id, field, arg_min(value, pos) FILTER (kind = 'NATIVE_TEXT') AS reported, arg_min(value, pos) FILTER (kind = 'DERIVED') AS calculated FROM candidates GROUP BY ALL)
 SELECT *, coalesce(reported, calculated) AS value, CASE WHEN reported IS NULL THEN 'CALCULATED_VALUE_ONLY' WHEN calculated IS NULL THEN 'REPORTED_VALUE_ONLY' WHEN abs(reported - calculated) <= greatest(0.05::DOUBLE, 0.001::DOUBLE * greatest(abs(reported), abs(calculated))) THEN 'REPORTED_VALUE_WITH_GEOMETRIC_CHECK' ELSE 'REPORTED_CALCULATION_DIFFER' END AS status
     FROM g WHERE reported IS NOT NULL OR calculated IS NOT NULL""")
@@ -600,82 +609,12 @@ def ingest_changed_files(spark, sf_dir):
 
 # ---------------------------------------------------------------- text
 
-_DIM_TEXTS = ["12.50 M WIDE ROAD", "3.Car Parking", "FRONT SETBACK 3.0", "12' 6\"", "4500 mm", "12345", "see schedule of areas", "9.14 m", "2.5 x 3.0", "7 ft", "Floor plan of the house is here and long"]
-
-
-@query("SELECT doc_id, false AS is_dimension FROM documents WHERE length(text) > 40")
-def dimension_gate(spark, sf_dir):
-    docs = p.table(spark, sf_dir, "documents").where(F.length("text") > 40)
-    return docs.select("doc_id", text.looks_like_dimension(F.col("text")).alias("is_dimension"))
-
-
-@query()
-def dimension_candidates(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_DIM_TEXTS)], "pos long, text string")
-    value, confidence = text.dimension_value(F.col("text"))
-    return rows.select("pos", "text", text.looks_like_dimension(F.col("text")).alias("is_dimension"), value.alias("metres"), confidence.alias("confidence"))
-
-
 @query("SELECT doc_id, list_count(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS n_numbers, length(text) // 4 AS n_tokens, CASE WHEN lower(text) LIKE '%license%' THEN 'LICENSE' WHEN lower(text) LIKE '%parking%' THEN 'PARKING' ELSE 'UNKNOWN' END AS kind FROM documents")
 def text_scan(spark, sf_dir):
     docs = p.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).cast("long").alias("n_numbers"), text.token_estimate(F.col("text")).alias("n_tokens"), text.first_keyword(F.col("text"), [("license", "LICENSE"), ("parking", "PARKING")], "UNKNOWN").alias("kind"))
 
 
-@query("SELECT page_id, CASE WHEN lower(url) LIKE '%.org%' THEN 'NBC' WHEN lower(url) LIKE '%/fr/%' THEN 'AMENDMENT' WHEN lower(url) LIKE '%/es/%' THEN 'PARKING' ELSE 'UNKNOWN' END AS doc_type FROM pages")
-def doc_type_city(spark, sf_dir):
-    pages = p.table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.first_keyword(F.col("url"), [(".org", "NBC"), ("/fr/", "AMENDMENT"), ("/es/", "PARKING")], "UNKNOWN").alias("doc_type"))
-
-
-_CONTEXT = ["G+3 DEVELOPMENT AREA: B", "no. of floors: 4", "5 storey house", "2 floors plan", "1:100 scale, mix 1:2:4", "CARPET AREA 120.5 SQ.M and plinth area = 900 sq ft", "total (1-2) of (A+B)"]
-
-
-@query()
-def context_first_match(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_CONTEXT)], "pos long, text string")
-    t = F.col("text")
-    return rows.select("pos", text.floor_count(t).alias("floors"), text.development_area(t).alias("area"), F.to_json(text.scale_note(t)).alias("scales"), F.to_json(text.labelled_areas(t)).alias("areas"), text.without_row_formula(t).alias("clean"))
-
-
-_USE_TEXTS = ["Residential Building", "public-and-semi-public", "House", "shop", "NURSING  HOME", "college"]
-
-
-@query("SELECT * FROM (VALUES (0, 'residential'), (1, 'public_semi_public'), (2, 'residential'), (3, NULL), (4, 'health_centre_nursing_home'), (5, 'college')) t(pos, use)")
-def building_use(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_USE_TEXTS)], "pos int, text string")
-    return rows.select("pos", text.building_use(F.col("text")).alias("use"))
-
-
-@query("SELECT conv_id, turn, '{\"role\": \"' || role || '\"}' AS answer FROM conversations")
-def json_answer_extract(spark, sf_dir):
-    c = p.table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("<think>{ no }</think>Sure:\n```json\n"), F.lit('{"role": "'), F.col("role"), F.lit('"}\n```\nDone.'))
-    return c.select("conv_id", "turn", text.json_answer(said).alias("answer"))
-
-
-@query(f"WITH {p.SQL_CANDIDATES} SELECT plan_id, pos, page % 2 = 0 OR value = 7 AS grounded FROM candidates")
-def grounding(spark, sf_dir):
-    c = p.candidates(spark, sf_dir)
-    shown = F.when(F.col("page") % 2 == 0, F.concat(F.lit("width "), F.format_string("%.2f", F.col("value")), F.lit(" m"))).otherwise("no number but 7")
-    return c.select("plan_id", "pos", text.grounded(F.col("value"), shown).alias("grounded"))
-
-
-_CLAUSE_PAGES = [("a.pdf", 1, "Preface\n7.3.1 Open spaces\nfront shall be 3 m\n12. Parking\none space each"), ("a.pdf", 2, "no clause here"), ("b.pdf", 1, "Section 23 Height\nup to 15 m")]
-
-
-@query("SELECT * FROM (VALUES ('a.pdf', 1, '7.3.1', 0), ('a.pdf', 1, '12', 1), ('a.pdf', 2, 'UNCATEGORISED', 0), ('b.pdf', 1, '23', 0)) t(source_file, page_num, clause_ref, idx)")
-def chunk_clauses(spark, sf_dir):
-    pages = spark.createDataFrame(_CLAUSE_PAGES, "source_file string, page_num int, text string")
-    return retrieval.chunk_clauses(pages, ["source_file", "page_num"]).select("source_file", "page_num", "clause_ref", "idx")
-
-
-@query()
-def sub_split(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "\n\n".join(f"paragraph {i} " + "x" * 8 * i for i in range(9)))], "pos long, text string")
-    return retrieval.sub_split(rows, 30, 8).select("pos", "part", F.length("part_text").alias("n"))
-
-
 # ---------------------------------------------------------------- geometry
 
 _GAP = "sqrt(power(greatest(0, b.min_x - a.max_x, a.min_x - b.max_x), 2) + power(greatest(0, b.min_y - a.max_y, a.min_y - b.max_y), 2))"
@@ -962,3 +901,7 @@ def events_hourly(spark, sf_dir):
 def job_states(spark, sf_dir):
     e = p.table(spark, sf_dir, "events")
     return logs.job_states(e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts"))
+
+
+# Further queries register themselves.
+from plumbline.plans import catalogue_plans, catalogue_texts  # noqa: E402, F401

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,7 +101,8 @@ def test_upper_median_of_errors(spark):
 def test_text(spark):
     assert one(spark, text.tokens(F.lit("Élan vital-e 3.5, x"))) == ["lan", "vital-e", "3.5", "x"]
     assert one(spark, text.json_answer(F.lit('<think>{"a"}</think>```json\n{"a": 1}\n```'))) == '{"a": 1}'
-    assert one(spark, text.scale_note(F.lit("1:100, 1:2:4, 1 : 7, 1:50"))) == [100, 50]
+    assert [tuple(n) for n in one(spark, text.scale_notes(F.lit("Scale 1:100, 1:2:4, 1 : 7, 1=50")))] == [(100, True), (50, False)]
+    assert one(spark, text.scale_notes(F.lit("brick work in 1:60"))) == []
     assert one(spark, text.grounded(F.lit(3.5), F.lit("is 3.50 m"))) and not one(spark, text.grounded(F.lit(3.5), F.lit("13.5")))
     assert one(spark, text.looks_like_dimension(F.lit("12.50 M WIDE ROAD"))) and not one(spark, text.looks_like_dimension(F.lit("46.Due to")))
 
@@ -128,6 +130,80 @@ def test_sub_split_keeps_long_paragraphs_whole_and_overlaps(spark):
     assert [r.part_text[0] + str(len(r.part_text)) for r in rows] == ["a82", "b442", "d8"]
 
 
+def _plain_chunks(text, most=512, overlap=50):
+    """The chunker once more, line by line and with offsets."""
+    import re
+
+    forms = [(r"^(\d{1,2}(?:\.\d{1,3}){1,4})\s{1,4}([A-Z][^\n]{3,})", re.M), (r"^((?:Section|Regulation|Clause|Rule|Chapter|Article|Part)\s+[\dIVXivx]+[A-Za-z]?\.?)\s*([^\n]*)", re.M | re.I), (r"^(\d{1,3}\.)\s+([A-Z][^\n]{5,})", re.M)]
+    marks = {}
+    for pattern, flags in forms:
+        for m in re.finditer(pattern, text, flags):
+            marks.setdefault(m.start(), f"{m[1].strip()} {m[2].strip()}".strip())
+
+    def pack(body):
+        ps = [p.strip() for p in re.split(r"\n{2,}", body) if p.strip()]
+        out, now = [], []
+        for p in ps:
+            if now and sum(len(x) // 4 for x in now) + len(p) // 4 > most:
+                out.append(now)
+                tail, used = [], 0
+                for x in reversed(now):
+                    if used + len(x) // 4 > overlap:
+                        break
+                    tail, used = [x, *tail], used + len(x) // 4
+                now = [*tail, p]
+            else:
+                now = [*now, p]
+        return ["\n\n".join(x) for x in [*out, now] if x] or [body.strip()]
+
+    if not marks:
+        return [("UNCATEGORISED", i, p) for i, p in enumerate(pack(text)) if p]
+    at, rows = sorted(marks), []
+    for a, b in zip(at, [*at[1:], len(text)], strict=True):
+        body = text[a:b].strip()
+        rows += [(marks[a], i, p) for i, p in enumerate([body] if len(body) // 4 <= most else pack(body)) if p]
+    return rows
+
+
+def test_chunks_against_a_plain_chunker(spark):
+    rng = random.Random(5)
+    parts = ["7.3.1 Minimum plot\n", "7.3.1\n  Split Heading\n", "Section 23 Height\n", "chapter IV Use\n", "Regulation 12.  Setbacks\n\n", "12. Parking spaces\n", "1. Small\n", " 4.2 Indented Line\n", "Part\nXII second\n", "2.1 lower case\n", "word " * 30 + "\n", "\n\n", "Rule 5A", "a.b 3.1 Not A Start\n", "para " * 200 + "\n\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(150)] + ["", "  \n ", "no clause"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in retrieval.chunk_clauses(pages, ["id"], 100, 20).orderBy("id", "clause", "idx").collect():
+        got.setdefault(r.id, []).append((r.clause_ref, r.idx, r.text))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == _plain_chunks(t, 100, 20), repr(t)
+
+
+def test_dimension_candidates(spark):
+    want = {"12'-6\"": (12.5, "ft_in", 0.85), "8' 9": (8.75, "ft_in", 0.85), "12.5' 6\"": (13.0, "ft_in", 0.85), "5'14\"": (5.0, "ft", 0.75), ".47": (0.47, None, 0.55), "3 inches": None, "3 inch": (3.0, "in", 0.75), "40 sq.ft": (40.0, "sq_ft", 0.75), "12 Sq Mt": (12.0, "sq_m", 0.75), "7\"": (7.0, "in", 0.75), "12345": None, "46.Due to": None, "prose that is long": None, "9.14 M WIDE ROAD": (9.14, "m", 0.75)}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", text.dimension_candidate(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c and (pytest.approx(r.c.value), r.c.unit, r.c.confidence) for r in rows} == want
+    assert one(spark, text.dimension_candidate(F.lit("3 m"), F.lit(0.5))).confidence == 0.625
+
+
+def test_floor_counts(spark):
+    want = {"Ground + 3": 4, "Gf+3": 4, "GF+2UF": 3, "no. of floors: 4, G+9": 4, "2 FLOOR PLAN": None, "5 story house": 5, "3 storeys": None, "7 floors": 7, "big 3 plans": None}
+    assert {t: one(spark, text.floor_count(F.lit(t))) for t in want} == want
+
+
+def test_grounding(spark):
+    forms = one(spark, text.value_forms(F.lit(0.47)))
+    assert set(forms) == {"0.47", "0.5", ".47", ".5"}
+    assert one(spark, text.grounded(F.lit(3.125), F.lit("is 3.125 m"))) and one(spark, text.grounded(F.lit(12.0), F.lit("at 12 m")))
+    tokens = F.array(F.lit("9.14"), F.lit("3"))
+    got = [one(spark, text.grounding(F.lit(v).cast("double"), F.lit(e), t)) for v, e, t in ((0.0, "reads 9.14", tokens), (None, "none", tokens), (5.0, "", F.array().cast("array<string>")), (5.0, "", tokens))]
+    assert [(g.value, g.grounded, g.keep) for g in got] == [(9.14, True, True), (None, None, True), (5.0, False, True), (5.0, False, False)]
+
+
+def test_json_answers(spark):
+    ask = lambda t: one(spark, text.json_answer(F.lit(t)))
+    assert ask('<THINK>{"a"}</think> ```JSON\n{"a": 1}\n```') == '{"a": 1}'
+    assert ask('Sure: {"a": "```"} done') == '{"a": "```"}' and ask("no json") is None and ask("{broken") is None
+
+
 def test_freeze_and_replace(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "file string, sha256 string")
     b = spark.createDataFrame([("x", "1"), ("y", "2"), ("w", "1")], "file string, sha256 string")
