@@ -44,12 +44,10 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, row.alias("_once")).select(*kept, "_once.*")
 
 
-def _fields_once(df: DataFrame, **fields: Column) -> DataFrame:
-    """df with fields computed once, their parts as plain columns of the generated row."""
-    flat = F.struct(*[c[part].alias(f"{n}|{part}") for n, c in fields.items() for part in ("num", "level")])
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in fields]
-    df = df.select(*kept, F.explode(F.array(flat)).alias("_once"))
-    return df.select(*kept, *[field(F.col(f"_once.`{n}|num`"), F.col(f"_once.`{n}|level`")).alias(n) for n in fields])
+def _parts_once(df: DataFrame, **fields: Column) -> DataFrame:
+    """df with the fields computed once, each as two plain columns `<name>|num` and `<name>|level` (nested ones confuse column pruning)."""
+    flat = {f"{n}|{part}": c[part] for n, c in fields.items() for part in ("num", "level")}
+    return _once(df, **flat)
 
 
 def by_field(rows: DataFrame, values: list[str], fields: tuple[str, ...]) -> DataFrame:
@@ -84,31 +82,35 @@ def apply_agreement(plans: DataFrame, fused: DataFrame, shapes: DataFrame | None
     plot_printed, building_printed (the plan's area is from a printed table).
     """
     wide = by_field(fused, ["status", "value", "level"], SHIPPABLE)
-    p = plans.join(wide, "plan_id", "left")
     if shapes is None:
-        p = p.withColumns({n: F.lit(None).cast(k) for n, k in (("plot_shape", "double"), ("building_shape", "double"), ("plot_printed", "boolean"), ("building_printed", "boolean"))})
-    else:
-        p = p.join(shapes, "plan_id", "left")
+        shapes = plans.select("plan_id", *[F.lit(None).cast(k).alias(n) for n, k in (("plot_shape", "double"), ("building_shape", "double"), ("plot_printed", "boolean"), ("building_printed", "boolean"))])
+    used = (*SHIPPABLE, "building.floor_count")
+    rows = plans.join(wide, "plan_id", "left").join(shapes, "plan_id", "left")
+    rows = rows.select(
+        *[F.col(f"`{c}`") for c in plans.columns if c not in SHIPPABLE], *shapes.drop("plan_id").columns,
+        *[F.col(f"`{n}`.{part}").alias(f"{n}|{part}") for n in used for part in ("num", "level")], *[F.col(f"`f_{n}`.{part}").alias(f"f_{n}|{part}") for n in SHIPPABLE for part in ("status", "value", "level")],
+    )
+    own = lambda n: field(F.col(f"`{n}|num`"), F.col(f"`{n}|level`"))
+    fuse = lambda n, part: F.col(f"`f_{n}|{part}`")
 
     def final(name: str, fallback: Column) -> Column:
-        f = F.col(f"`f_{name}`")
-        return F.when(f["status"] == "CONFLICT", conflicting()).when(f["status"].isin(*SHIPPED) & f["value"].isNotNull(), field(F.bround(f["value"], 4), f["level"])).otherwise(fallback)
+        usable = fuse(name, "status").isin(*SHIPPED) & fuse(name, "value").isNotNull()
+        return F.when(fuse(name, "status") == "CONFLICT", conflicting()).when(usable, field(F.bround(fuse(name, "value"), 4), fuse(name, "level"))).otherwise(fallback)
 
-    own = lambda n: F.col(f"`{n}`")
     plain = [n for n in SHIPPABLE if n not in (*DERIVED, "plot.area", "building.footprint_area")]
-    p = _fields_once(p, **{n: final(n, own(n)) for n in plain})
+    rows = _parts_once(rows, **{n: final(n, own(n)) for n in plain})
     for part, area in (("plot", "plot.area"), ("building", "building.footprint_area")):
         printed = F.coalesce(f"{part}_printed", F.lit(False))
-        read = final(area, F.when(printed, own(area)))
+        rows = _parts_once(rows, read=final(area, F.when(printed, own(area))))
         # A printed area of the plan itself is only asked for where nothing was fused.
-        printed = printed & ~F.coalesce(own(f"f_{area}")["status"].isin(*SHIPPED, "CONFLICT"), F.lit(False))
-        p = _fields_once(p, **{area: reconciled_area(read, own(f"{part}.width"), own(f"{part}.depth"), F.col(f"{part}_shape"), own(area), printed)})
+        printed = printed & ~F.coalesce(fuse(area, "status").isin(*SHIPPED, "CONFLICT"), F.lit(False))
+        rows = _parts_once(rows, **{area: reconciled_area(own("read"), own(f"{part}.width"), own(f"{part}.depth"), F.col(f"{part}_shape"), own(area), printed)})
     foot, plot = own("building.footprint_area"), own("plot.area")
-    p = _fields_once(p, **{"building.footprint_area": F.when(F.coalesce((plot["num"] > 0) & (foot["num"] / plot["num"] > PLAUSIBLE_RATIO), F.lit(False)), conflicting()).otherwise(foot)})
-    p = _fields_once(p, **{f"r_{n}": c for n, c in ratios(foot, plot, own("building.floor_count")).items()})
-    p = _fields_once(p, **{n: final(n, F.when(F.col(f"r_{n}.num").isNotNull(), F.col(f"r_{n}")).otherwise(own(n))) for n in DERIVED})
-    conflicts = F.array_compact(F.array(*[F.when(own(n)["level"] == "CONFLICTING", F.lit(n)) for n in SHIPPABLE]))
-    return p.select(*[own(c) for c in plans.columns], conflicts.alias("conflicts"))
+    rows = _parts_once(rows, **{"building.footprint_area": F.when(F.coalesce((plot["num"] > 0) & (foot["num"] / plot["num"] > PLAUSIBLE_RATIO), F.lit(False)), conflicting()).otherwise(foot)})
+    rows = _parts_once(rows, **{f"r_{n}": c for n, c in ratios(foot, plot, own("building.floor_count")).items()})
+    rows = _parts_once(rows, **{n: final(n, F.when(own(f"r_{n}")["num"].isNotNull(), own(f"r_{n}")).otherwise(own(n))) for n in DERIVED})
+    conflicts = F.array_compact(F.array(*[F.when(F.col(f"`{n}|level`") == "CONFLICTING", F.lit(n)) for n in SHIPPABLE]))
+    return rows.select(*[own(c).alias(c) if c in SHIPPABLE else F.col(f"`{c}`") for c in plans.columns], conflicts.alias("conflicts"))
 
 
 def vision_only_plans(ids: DataFrame, vision: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -904,4 +904,4 @@ def job_states(spark, sf_dir):
 
 
 # Further queries register themselves.
-from plumbline.plans import catalogue_plans, catalogue_texts  # noqa: E402, F401
+from plumbline.plans import catalogue_drawings, catalogue_plans, catalogue_texts  # noqa: E402, F401
