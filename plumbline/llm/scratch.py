@@ -48,11 +48,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+def store(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; then the stored table `instead_of` is deleted."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if instead_of is not None:
+        forget(df.sparkSession, {instead_of.stored_at})
+    return out
+
+
+def made() -> set[str]:
+    """The paths handed out and not yet deleted."""
+    return {path for _, path in _MADE}
+
+
+def forget(spark: SparkSession, paths: set[str]) -> None:
+    """Delete tables that are no longer read."""
+    for path in paths:
+        drop(spark, path)
+    _MADE[:] = [m for m in _MADE if m[1] not in paths]
 
 
 def drop(spark: SparkSession, path: str) -> None:
