@@ -129,6 +129,12 @@ def setback_flags(plans: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return plans.select("plan_id", F.inline(rows))
 
 
+def setback_rows(plans: DataFrame) -> DataFrame:
+    """plan_id, side, distance for each setback that a plan has."""
+    rows = F.array(*[F.struct(F.lit(s.split(".")[1]).alias("side"), num(s).alias("distance")) for s in SIDES])
+    return plans.select("plan_id", F.inline(rows)).where("distance is not null")
+
+
 #: Fixed value: the share of its box from which a plot counts as a rectangle.
 RECTANGULAR = 0.9
 

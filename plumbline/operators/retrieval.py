@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import token_estimate, tokens
+from plumbline.sources.work import kept
 
 #: Constants of the ranking function, of rank fusion, and of the over-fetch.
 K1, B, EPSILON, RRF, OVERFETCH = 1.5, 0.75, 0.25, 60, 4
+#: Query vectors that are broadcast at once, about twice as many at most.
+QUERY_BLOCK = 4096
+
+
+def tokenised(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """pos, length, t: the words of each chunk."""
+    return chunks.select("pos", tokens(F.col(text)).alias("t")).select("pos", F.size("t").cast("long").alias("length"), "t")
 
 
 def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """pos, term, tf, length: the postings of all chunks."""
-    words = chunks.select("pos", tokens(F.col(text)).alias("t")).withColumn("length", F.size("t").cast("long"))
-    return words.select("pos", "length", F.explode("t").alias("term")).groupBy("pos", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """pos, length, term, tf: the postings of all chunks."""
+    return tokenised(chunks, text).select("pos", "length", F.explode("t").alias("term")).groupBy("pos", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, pos, score of every chunk that shares a term with a query.
 
     Negative idf becomes EPSILON times the mean idf. Only postings of the
-    queries' terms are scored; the statistics are over the whole corpus.
+    queries' terms are scored; the statistics are over the whole corpus. Chunks
+    are tokenised once, into a stored table.
     """
-    words = chunks.select("pos", tokens(F.col(text)).alias("t"))
-    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean_length"))
+    words = kept(tokenised(chunks, text), "tokens")
+    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     idf = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
     idf = idf.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg(F.avg("raw").alias("mean"))  # one row
@@ -32,12 +42,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     weight = asked.join(idf, "term").crossJoin(F.broadcast(floor))
     weight = weight.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))).select("query_id", "term", "idf", "mean_length")
     # Only words that some query has are counted for each chunk.
-    posted = words.select("pos", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    posted = words.select("pos", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     hit = posted.groupBy("pos", "length", "term").agg(F.count(F.lit(1)).alias("tf")).join(weight, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return hit.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
 
 
+def _best() -> tuple[Column, Column]:
+    """Best score first, to nine decimals, as sums in another order differ beyond; of equals the first in the corpus."""
+    return F.round("score", 9).desc(), F.col("pos").asc()
+
+
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query, with their rank from 0; Spark keeps k rows a task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
@@ -49,7 +64,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, city: str | None =
     scored = bm25(chunks, queries).where("score > 0")
     if city is not None:
         scored = scored.join(chunks.where(F.col("city").isin(city, "NATIONAL")).select("pos"), "pos")
-    return top_k(scored, k, F.col("score").desc(), F.col("pos"))
+    return top_k(scored, k, *_best())
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -61,17 +76,27 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, city: str | None = None) -> DataFrame:
-    """Exact inner-product neighbours; with a city, only the first OVERFETCH * k are looked at before the filter.
+def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, pos, score of every chunk for every query of a stated set.
 
-    The queries are a stated, small set that every chunk is compared with.
+    Queries are broadcast in blocks of QUERY_BLOCK vectors at most; a larger set
+    takes one pass over the chunks for each block.
     """
-    scored = chunks.select("pos", "vec").crossJoin(F.broadcast(queries.select("query_id", "qvec"))).select("query_id", "pos", inner_product(F.col("vec"), F.col("qvec")).alias("score"))
+    asked = queries.select("query_id", "qvec")
+    n = -(-asked.count() // QUERY_BLOCK) or 1
+    parts = [asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == b) for b in range(1 if n == 1 else 2 * n)]
+    scored = [chunks.select("pos", "vec").crossJoin(F.broadcast(q)).select("query_id", "pos", inner_product(F.col("vec"), F.col("qvec")).alias("score")) for q in parts]
+    return reduce(DataFrame.union, scored)
+
+
+def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, city: str | None = None) -> DataFrame:
+    """Exact inner-product neighbours; with a city, only the first OVERFETCH * k are looked at before the filter."""
+    scored = dense_scores(chunks, queries)
     if city is None:
-        return top_k(scored, k, F.col("score").desc(), F.col("pos"))
-    wide = top_k(scored, OVERFETCH * k, F.col("score").desc(), F.col("pos")).drop("rank")
+        return top_k(scored, k, *_best())
+    wide = top_k(scored, OVERFETCH * k, *_best()).drop("rank")
     inside = wide.join(chunks.where(F.col("city").isin(city, "NATIONAL")).select("pos"), "pos")
-    return top_k(inside, k, F.col("score").desc(), F.col("pos"))
+    return top_k(inside, k, *_best())
 
 
 def reciprocal_rank_fusion(dense: DataFrame, keyword: DataFrame, k: int) -> DataFrame:

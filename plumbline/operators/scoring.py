@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,19 +142,35 @@ def outcome(truth: Column, predicted: Column) -> Column:
     )
 
 
-#: Most differences of one group that the exact sign-flip test takes: it forms 2 ** n sums.
-MOST_FLIPS = 20
+#: Differences count in steps of this size; the largest product of their number and the steps of their sum that a test takes.
+STEP, MOST_WORK = 1e-6, 4_000_000_000
 
 
 def sign_flip(rows: DataFrame, difference: str, *keys: str) -> DataFrame:
-    """Exact randomisation test of paired differences: keys, n, observed, p_value (null over MOST_FLIPS differences).
+    """Exact randomisation test of paired differences: keys, n, observed, p_value.
 
     p is the share of all sign choices whose sum is at least as far from 0 as the
-    observed one. Each difference doubles the array of sums. Sums of whole numbers are
-    exact in any order; a slack of 1e-9 covers the others.
+    observed one. Differences are fixed decimals, in steps of STEP. They are first
+    counted by their size, and the distribution of the sum grows by one difference
+    after another over the sums that can be reached; a group that is too large
+    for that raises.
     """
-    g = rows.where(F.col(difference).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(difference).cast("double")).alias("observed"), F.collect_list(F.col(difference).cast("double")).alias("d"))
-    double = lambda sums, d: F.concat(F.transform(sums, lambda s: s + d), F.transform(sums, lambda s: s - d))
-    sums = F.aggregate("d", F.array(F.lit(0.0)), double)
-    p = F.size(F.filter(sums, lambda s: F.abs(s) >= F.abs(F.col("observed")) - 1e-9)) / F.pow(F.lit(2.0), "n")
-    return g.select(*keys, "n", "observed", F.when(F.col("n") <= MOST_FLIPS, p).alias("p_value"))
+    d = F.bround(F.col(difference).cast("double") / STEP).cast("long")
+    per = rows.where(F.col(difference).isNotNull()).select(*keys, d.alias("d")).groupBy(*keys, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+
+    def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        size, n, total = part["size"].to_numpy(), part["n"].to_numpy(), int(part["total"].sum())
+        step = int(np.gcd.reduce(size)) or 1
+        size, reach = size // step, int((size // step * n).sum())
+        if reach * int(n.sum()) > MOST_WORK:
+            raise ValueError("the differences of a group are too many and too fine for the exact test")
+        chance = np.zeros(2 * reach + 1)
+        chance[reach] = 1.0
+        for s, times in zip(size.tolist(), n.tolist(), strict=True):
+            for _ in range(times if s else 0):
+                chance = (np.concatenate([chance[s:], np.zeros(s)]) + np.concatenate([np.zeros(s), chance[:-s]])) / 2
+        far = np.abs(np.arange(-reach, reach + 1)) >= abs(total) // step
+        return pd.DataFrame([(*key, int(n.sum()), total * STEP, float(chance[far].sum()))], columns=[*keys, "n", "observed", "p_value"])
+
+    return per.groupBy(*keys).applyInPandas(test, f"{types}, n long, observed double, p_value double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.sources.work import kept
 
 CORNERS = ("min_x", "min_y", "max_x", "max_y")
 
@@ -80,7 +81,7 @@ def nearest_right(labels: DataFrame, cells: DataFrame, keys: list[str], toleranc
 def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
     """The smallest node id of each node's component: ids spread along links, then labels jump to their labels.
 
-    Stops when nothing changes, and raises if that takes more than `rounds` rounds; each round is written through a checkpoint where one is set.
+    Stops when nothing changes, and raises if that takes more than `rounds` rounds; each round is a stored table.
     """
     both = links.select(*keys, "a", "b").union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select(*keys, "id", F.col("id").alias("root"))
@@ -89,7 +90,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], ro
         hop = label.join(around, [*keys, "id"], "left").select(*keys, "id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = hop.select(*keys, F.col("id").alias("root"), F.col("root").alias("up"))
         new = hop.join(jump, [*keys, "root"], "left").select(*keys, "id", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = kept(new, "labels")
         changed = new.where("root < old").limit(1).count()
         label = new.select(*keys, "id", "root")
         if not changed:

@@ -553,8 +553,14 @@ def bm25_scores(spark, sf_dir):
 
 @query(f"{_BM25} SELECT query_id, pos, rank FROM ranked WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
-    scored = retrieval.bm25(p.chunks(spark, sf_dir), _questions(spark)).where("score > 0")
-    return retrieval.top_k(scored, 10, F.round("score", 9).desc(), F.col("pos")).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+    found = retrieval.bm25_top_k(p.chunks(spark, sf_dir), _questions(spark), 10)
+    return found.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{_BM25}, w AS (SELECT score.* FROM score JOIN chunks USING (pos) WHERE score > 0 AND city IN ('FR', 'NATIONAL')) SELECT query_id, pos, rank FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) - 1 AS rank FROM w) WHERE rank < 10")
+def bm25_city_topk(spark, sf_dir):
+    found = retrieval.bm25_top_k(p.chunks(spark, sf_dir), _questions(spark), 10, "FR")
+    return found.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -567,32 +573,28 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return chunks, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
-def _dense(spark, sf_dir, k: int) -> DataFrame:
-    chunks, asked = _vectors(spark, sf_dir)
-    scored = chunks.select("pos", "vec").crossJoin(F.broadcast(asked)).select("query_id", "pos", retrieval.inner_product(F.col("vec"), F.col("qvec")).alias("score"))
-    return retrieval.top_k(scored, k, F.round("score", 9).desc(), F.col("pos"))
+def _dense(spark, sf_dir, k: int, city: str | None = None) -> DataFrame:
+    return retrieval.dense_top_k(*_vectors(spark, sf_dir), k, city).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, pos, rank FROM dense WHERE rank < 10")
 def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir, 10).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+    return _dense(spark, sf_dir, 10)
 
 
 @query(f"WITH {_DENSE}, w AS (SELECT * FROM dense WHERE rank < 40 AND (label < 3 OR label = 5)) SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM w) WHERE rank < 10")
 def dense_city_overfetch(spark, sf_dir):
-    chunks, _ = _vectors(spark, sf_dir)
-    wide = _dense(spark, sf_dir, 40).withColumnRenamed("rank", "wide")
-    inside = wide.join(chunks.where(F.col("city").isin("C5", "NATIONAL")).select("pos"), "pos")
-    return retrieval.top_k(inside, 10, F.col("wide")).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+    return _dense(spark, sf_dir, 10, "C5")
 
 
-@query(f"""{_BM25}, {_DENSE}, u AS (SELECT query_id // 100 AS query_id, pos, 0 AS list, rank FROM dense WHERE rank < 20 AND query_id < 400 UNION ALL SELECT query_id, pos, 1, rank FROM ranked WHERE rank < 20),
+# Every dense query is fused with the question that its number names.
+@query(f"""{_BM25}, {_DENSE}, u AS (SELECT query_id, pos, 0 AS list, rank FROM dense WHERE rank < 20 UNION ALL SELECT q.query_id, r.pos, 1, r.rank FROM (SELECT DISTINCT query_id FROM dense) q JOIN ranked r ON r.query_id = q.query_id // 100 % {len(QUESTIONS)} WHERE r.rank < 20),
 f AS (SELECT query_id, pos, sum(1.0::DOUBLE / (61 + rank)) AS rrf, min(list * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT query_id, pos, rank FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) - 1 AS rank FROM f) WHERE rank < 10""")
 def rrf_topk(spark, sf_dir):
-    dense = _dense(spark, sf_dir, 20).where("query_id < 400").withColumn("query_id", F.floor(F.col("query_id") / 100))
-    scored = retrieval.bm25(p.chunks(spark, sf_dir), _questions(spark)).where("score > 0")
-    keyword = retrieval.top_k(scored, 20, F.round("score", 9).desc(), F.col("pos"))
-    fused = retrieval.reciprocal_rank_fusion(dense.select("query_id", "pos", "rank"), keyword.select("query_id", "pos", "rank"), 10)
+    dense = _dense(spark, sf_dir, 20)
+    keyword = retrieval.bm25_top_k(p.chunks(spark, sf_dir), _questions(spark), 20).select(F.col("query_id").alias("question"), "pos", "rank")
+    asked = dense.select("query_id").distinct().withColumn("question", F.floor(F.col("query_id") / 100) % len(QUESTIONS))
+    fused = retrieval.reciprocal_rank_fusion(dense, asked.join(keyword, "question").select("query_id", "pos", "rank"), 10)
     return fused.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
@@ -645,13 +647,15 @@ def plot_role(spark, sf_dir):
     return spatial.plot_role(p.boxes(spark, sf_dir), ["sheet"], 0.05)
 
 
-@query(f"WITH {p.SQL_BOXES}, w AS (SELECT *, max_x - min_x AS w, max_y - min_y AS h FROM boxes) SELECT id, w * h AS area, 2 * (w + h) AS perimeter, greatest(w, h) / least(w, h) AS aspect, 1.0::DOUBLE AS rectangularity FROM w")
+@query(f"WITH {p.SQL_BOXES}, w AS (SELECT *, max_x - min_x AS w, max_y - min_y AS h FROM boxes) SELECT id, CASE WHEN id % 3 = 0 THEN w * h / 2 ELSE w * h END AS area, CAST(floor(CASE WHEN id % 3 = 0 THEN w + h + sqrt(w * w + h * h) ELSE 2 * (w + h) END * 1e6 + 0.5) AS BIGINT) AS perimeter, greatest(w, h) / least(w, h) AS aspect, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS rectangularity FROM w")
 def polygon_measures(spark, sf_dir):
     b = p.boxes(spark, sf_dir)
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    b = b.withColumn("pts", F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y")))
+    ring = F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y"))
+    b = b.withColumn("pts", F.when(F.col("id") % 3 == 0, F.slice(ring, 1, 3)).otherwise(ring))  # every third is a triangle
     w, h, area = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), geometry.shoelace_area(F.col("pts"))
-    return b.select("id", area.alias("area"), geometry.perimeter(F.col("pts")).alias("perimeter"), geometry.aspect_ratio(w, h).alias("aspect"), geometry.rectangularity(area, w, h).alias("rectangularity"))
+    perimeter = F.floor(geometry.perimeter(F.col("pts")) * 1e6 + 0.5).cast("long")
+    return b.select("id", area.alias("area"), perimeter.alias("perimeter"), geometry.aspect_ratio(w, h).alias("aspect"), geometry.rectangularity(area, w, h).alias("rectangularity"))
 
 
 @query(f"WITH {p.SQL_BOXES} SELECT id, min_x < 20.5 AND 20.5 < max_x AND min_y < 15.5 AND 15.5 < max_y AS inside FROM boxes")
@@ -712,14 +716,15 @@ def min_area_rectangles(spark, sf_dir):
 
 
 def _dashes(spark, sf_dir) -> DataFrame:
-    """Points on the four sides of each box, with gaps, as a sheet of its own."""
+    """Points on the sides of each box, or of half of every third, with gaps, as a sheet of its own."""
     along = F.explode(F.array(*[F.lit(t) for t in (0.0, 0.1, 0.3, 0.35, 0.6, 0.65, 0.9, 1.0)]))
-    b = p.boxes(spark, sf_dir).select(F.col("id").alias("sheet"), F.posexplode(geometry.edges(geometry.box_ring())).alias("side", "e"))
+    ring = F.when(F.col("id") % 3 == 0, F.slice(geometry.box_ring(), 1, 3)).otherwise(geometry.box_ring())
+    b = p.boxes(spark, sf_dir).select(F.col("id").alias("sheet"), F.posexplode(geometry.edges(ring)).alias("side", "e"))
     b = b.withColumn("t", along)
     return b.select("sheet", *[(F.col(f"e.{c}1") + (F.col(f"e.{c}2") - F.col(f"e.{c}1")) * F.col("t")).alias(c) for c in ("x", "y")])
 
 
-@query(f"WITH {p.SQL_BOXES} SELECT id AS sheet, 4::INT AS n_sides, CAST(floor((max_x - min_x) * (max_y - min_y) * 1e3 + 0.5) AS BIGINT) AS milli FROM boxes")
+@query(f"WITH {p.SQL_BOXES} SELECT id AS sheet, CASE WHEN id % 3 = 0 THEN 3 ELSE 4 END::INT AS n_sides, CASE WHEN id % 3 > 0 OR least(max_x - min_x, max_y - min_y) / greatest(max_x - min_x, max_y - min_y) >= tan(radians(5)) THEN CAST(floor((max_x - min_x) * (max_y - min_y) / CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END * 1e3 + 0.5) AS BIGINT) END AS milli FROM boxes")
 def fragment_boundaries(spark, sf_dir):
     found = drawing.boundaries(_dashes(spark, sf_dir), ["sheet"], off_share=0.005)
     return found.select("sheet", "n_sides", F.floor(geometry.shoelace_area(F.col("boundary")) * 1e3 + 0.5).cast("long").alias("milli"))
@@ -774,12 +779,13 @@ def front_sides(spark, sf_dir):
     return found.select("id", "front", "rear", "evidence", "level", F.size("lefts").alias("n_left"), F.size("rights").alias("n_right"))
 
 
-@query(f"WITH {p.SQL_BOXES} SELECT id, 1.0::DOUBLE AS \"front\", 3.0::DOUBLE AS rear, 4.0::DOUBLE AS \"left\", 2.0::DOUBLE AS \"right\" FROM boxes")
+@query(f"WITH {p.SQL_BOXES} SELECT id, (1 + id % 5) / 2.0::DOUBLE AS \"front\", (2 + id % 7) / 2.0::DOUBLE AS rear, CASE WHEN id % 4 <> 0 THEN (3 + id % 3) / 2.0::DOUBLE END AS \"left\", (id % 6) / 2.0::DOUBLE AS \"right\" FROM boxes")
 def setback_distances(spark, sf_dir):
-    # The plot is the box with margins of 1 at the bottom, 2 at the right, 3 at the top and 4 at the left; 2 units are a metre.
-    b = p.boxes(spark, sf_dir)
-    plots = b.select("id", (F.col("min_x") - 8).alias("min_x"), (F.col("min_y") - 2).alias("min_y"), (F.col("max_x") + 4).alias("max_x"), (F.col("max_y") + 6).alias("max_y"))
-    sides = plots.select("id", F.lit(0).alias("front"), F.lit(2).alias("rear"), F.array(F.lit(3)).alias("lefts"), F.array(F.lit(1)).alias("rights"))
+    # The plot is the box with margins that its number gives, at the right none in every sixth; every fourth has no left side; 2 units are a metre.
+    b, k = p.boxes(spark, sf_dir), F.col("id")
+    plots = b.select("id", (F.col("min_x") - 3 - k % 3).alias("min_x"), (F.col("min_y") - 1 - k % 5).alias("min_y"), (F.col("max_x") + k % 6).alias("max_x"), (F.col("max_y") + 2 + k % 7).alias("max_y"))
+    left = F.when(k % 4 != 0, F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
+    sides = plots.select("id", F.lit(0).alias("front"), F.lit(2).alias("rear"), left.alias("lefts"), F.array(F.lit(1)).alias("rights"))
     return drawing.setbacks(b.select("id", geometry.box_ring().alias("points")), plots.select("id", geometry.box_ring().alias("points")), sides, "id", F.lit(2.0))
 
 
@@ -833,16 +839,19 @@ def drawing_regions(spark, sf_dir):
     return drawing.regions(_brands(spark, sf_dir).select("sheet", "id", geometry.box_ring().alias("points")), ["sheet"])
 
 
-@query(f"WITH {p.SQL_BOXES}, s AS (SELECT id, max_x - min_x AS w, max_y - min_y AS h FROM boxes) SELECT id, 1::BIGINT AS n_loops, 4::BIGINT AS n_segments, w * h AS area FROM s WHERE greatest(w, h) <= 10 * least(w, h)")
+@query(f"""WITH {p.SQL_BOXES}, s AS (SELECT id // 2 AS sheet, id % 2 AS k, max_x - min_x AS w, max_y - min_y AS h FROM boxes), v AS (SELECT *, count(*) OVER (PARTITION BY sheet) * 4 AS n_segments, greatest(w, h) / least(w, h) AS aspect FROM s),
+o AS (SELECT *, 1 / (1 + aspect) + CASE WHEN sheet % 2 = 0 THEN 1 - abs(0.25::DOUBLE - 0.5::DOUBLE) ELSE 0 END AS score FROM v WHERE aspect <= 10 AND (sheet % 2 = 1 OR k = 0))
+SELECT sheet, count(*) AS n_loops, max(n_segments) AS n_segments, arg_max(w * h, score * 1e6 - k) AS area FROM o GROUP BY sheet""")
 def building_outlines(spark, sf_dir):
-    b = p.boxes(spark, sf_dir)
-    # The plot is twice as wide and deep as the box.
+    # Two boxes make a sheet, the second far to the right; in every other sheet a plot twice as wide and deep holds the first.
+    b = p.boxes(spark, sf_dir).withColumn("sheet", F.floor(F.col("id") / 2)).withColumn("k", F.col("id") % 2)
+    b = b.withColumns({"min_x": F.col("min_x") + 1000 * F.col("k"), "max_x": F.col("max_x") + 1000 * F.col("k")})
     w, h = (F.col("max_x") - F.col("min_x")) / 2, (F.col("max_y") - F.col("min_y")) / 2
-    wide = b.select("id", (F.col("min_x") - w).alias("min_x"), (F.col("min_y") - h).alias("min_y"), (F.col("max_x") + w).alias("max_x"), (F.col("max_y") + h).alias("max_y"))
-    segments = b.select("id", F.inline(geometry.edges(geometry.box_ring()))).withColumn("layer", F.lit("WALL"))
+    wide = b.where("k = 0 and sheet % 2 = 0").select("sheet", (F.col("min_x") - w).alias("min_x"), (F.col("min_y") - h).alias("min_y"), (F.col("max_x") + w).alias("max_x"), (F.col("max_y") + h).alias("max_y"))
+    segments = b.select("sheet", F.inline(geometry.edges(geometry.box_ring()))).withColumn("layer", F.lit("WALL"))
     noise = segments.withColumn("layer", F.lit("A-DIMS")).withColumn("x2", F.col("x1") + 1)
-    found = drawing.building_outlines(segments.unionByName(noise), wide.select("id", geometry.box_ring().alias("points")), ["id"])
-    return found.select("id", "n_loops", "n_segments", geometry.shoelace_area(F.col("outline")).alias("area"))
+    found = drawing.building_outlines(segments.unionByName(noise), wide.select("sheet", geometry.box_ring().alias("points")), ["sheet"])
+    return found.select("sheet", "n_loops", "n_segments", geometry.shoelace_area(F.col("outline")).alias("area"))
 
 
 @query(f"""WITH {p.SQL_SCORES}, d AS (SELECT plan_id // 8 AS g, plan_id, count(*) FILTER (status = 'CORRECT') - count(*) FILTER (level = 'HIGH') AS d FROM scores WHERE truth IS NOT NULL GROUP BY ALL),
@@ -904,4 +913,4 @@ def job_states(spark, sf_dir):
 
 
 # Further queries register themselves.
-from plumbline.plans import catalogue_drawings, catalogue_plans, catalogue_texts  # noqa: E402, F401
+from plumbline.plans import catalogue_drawings, catalogue_plans, catalogue_sources, catalogue_texts  # noqa: E402, F401
