@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from plumbline.llm.scratch import map_arrow
 from plumbline.llm.vectors import Docs, codepoints, slices, sums
 
-#: Documents that training uses at most, by the smallest hashes of their texts; a fifth of them calibrate.
+#: Documents that training uses (about; never more than twice as many), by the smallest hashes of their texts; a fifth of them calibrate.
 SAMPLE_ROWS = 6_000
+#: Languages that can be learned, the most frequent; and n-gram counts that training holds at most.
+MOST_LANGUAGES, MOST_COUNTS = 256, 1 << 24
 ORDERS, SLOTS = (1, 2, 3), 1 << 16
 #: Follow-the-regularised-leader: step, its smoothing, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
@@ -103,14 +106,16 @@ def _leader(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def fit(texts: pa.Array, y: np.ndarray, classes: list[str], idf: np.ndarray) -> Model:
-    """Train by minibatches on four fifths of the rows; the rest sets the temperature."""
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in slices(texts):
-        slot, to = ngrams(part)
-        for a, b in zip(to, to[1:], strict=False):
-            at, n = np.unique(slot[a:b], return_counts=True)
-            rows.append((at.astype(np.int32), (SCALE * n / max(b - a, 1) * idf[at]).astype(np.float32)))
+def counts(docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's different slots in ascending order, how often each occurs, and each document's offset among them."""
+    slot, to = ngrams(docs)
+    key, n = np.unique(np.repeat(np.arange(docs.n, dtype=np.int64), np.diff(to)) * SLOTS + slot, return_counts=True)
+    return (key % SLOTS).astype(np.int32), n.astype(np.int32), np.searchsorted(key, np.arange(docs.n + 1, dtype=np.int64) * SLOTS)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: list[str], idf: np.ndarray) -> Model:
+    """Train by minibatches on four fifths of the rows (slots, counts); the rest sets the temperature."""
+    rows = [(at, (SCALE * n / max(int(n.sum()), 1) * idf[at]).astype(np.float32)) for at, n in rows]
     k = len(classes)
     z, n = np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k))
     held = np.arange(len(rows)) % 5 == 0
@@ -135,35 +140,78 @@ def fit(texts: pa.Array, y: np.ndarray, classes: list[str], idf: np.ndarray) ->
     w = _leader(z, n)
     model = Model(classes, w[:SLOTS] * idf[:, None], w[SLOTS])
     if held.any() and k > 1:
-        logits = np.concatenate([model.logits(part) for part in slices(texts)])[held]
+        logits = np.stack([rows[i][1] @ w[rows[i][0]] + w[SLOTS] for i in np.flatnonzero(held)])
         losses = {t: -np.log(_softmax(logits / t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 121)}
         model.temperature = min(losses, key=losses.get)
     return model
 
 
+def _trainer(idf: np.ndarray, most_rows: int):
+    """Fit in one task on rows (lang, slots, counts) in their order, as far as they fit into MOST_COUNTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, names, held = [], [], 0
+        for batch in batches:
+            slots, n = batch.column(1), batch.column(2)
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                pair = np.asarray(slots[i].values), np.asarray(n[i].values)
+                held += pair[0].size
+                if held <= MOST_COUNTS and len(rows) < most_rows:
+                    rows.append((pair[0].copy(), pair[1].copy()))
+                    names.append(name)
+        if rows:
+            classes = sorted(set(names))
+            place = {c: i for i, c in enumerate(classes)}
+            model = fit(rows, np.array([place[c] for c in names]), classes, idf)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the rows of docs: document frequencies from all of them, weights from a bounded sample."""
+    """Learn from the rows of docs: document frequencies from all of them, weights from a bounded sample.
+
+    Half of the sample is dealt evenly over the languages and half by their
+    numbers of rows, so a rare language is learned whatever the table's size.
+    Rows of a language count by the hash of their text, repeated ones once. The
+    n-grams are counted where the texts are and the weights fitted in a task of
+    their own; the driver gets counts by slot and language, and the model. Rows
+    without text or language teach nothing; with none left, all is `und`.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not per:
+        return Model(["und"], np.zeros((SLOTS, 1)), np.zeros(1))
     df, n = document_frequencies(known, "text")
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    share = min(1.0, sample_rows / max(n, 1))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates().orderBy("text").limit(2 * sample_rows).toArrow() if n else None
-    if sample is None or not len(sample):
-        return Model(["und"], np.zeros((SLOTS, 1)), np.zeros(1))
-    classes = sorted(set(sample["lang"].to_pylist()))
-    place = {c: i for i, c in enumerate(classes)}
-    order = np.random.default_rng(7).permutation(len(sample))
-    y = np.array([place[c] for c in sample["lang"].to_pylist()])[order]
-    return fit(sample["text"].combine_chunks().take(pa.array(order)), y, classes, idf)
+    share = {r.lang: min(1.0, sample_rows / 2 * (1 / len(per) / r.n + 1 / n)) for r in per}
+    limit = F.element_at(F.create_map(*[F.lit(v) for name, part in share.items() for v in (name, int(part * (1 << 30)))]), F.col("lang"))
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    sample = known.where(F.col("lang").isin(*share)).withColumn("order", order).where(F.col("order") < limit).dropDuplicates(["text", "lang"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                slot, times, at = counts(part)
+                offsets = pa.array(at.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (slot, times)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, part.n) for c in (1, 2)), *lists], names=["lang", "order", "slots", "counts"])
+
+    rows = map_arrow(sample.select("text", "lang", "order"), counted, "lang string, order long, slots array<int>, counts array<int>")
+    # At most some thousand rows meet here, in the order of their hashes.
+    rows = rows.repartition(1).sortWithinPartitions("order", "lang").select("lang", "slots", "counts")
+    got = map_arrow(rows, _trainer(idf, 2 * sample_rows), "model binary").collect()
+    return pickle.loads(got[0].model) if got else Model(["und"], np.zeros((SLOTS, 1)), np.zeros(1))
 
 
 def languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """row (all columns of docs), lang_pred and score for every row.
 
     Null texts and texts without a letter are `und` with score 0; other scores
-    are the calibrated probability of the language named. Repeated rows get
-    equal results; an empty table gives an empty one. If nothing was to learn
-    from, every text is `und`.
+    are the calibrated probability of the language named; of languages that
+    tie, the first by name. Repeated rows get equal results; a long text is read
+    whole, in a slice of its own; an empty table gives an empty one; columns of
+    docs may have any names. If nothing was to learn from, every text is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
