@@ -148,3 +148,27 @@ def municipalities(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.union(t.select("municipality"))
     return out.distinct()
+
+
+def run_eval(truth: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("plan_id", "field")) -> DataFrame:
+    """The aggregates of every modality: overall, by field and by plan, in one pass over the scores.
+
+    predictions: modality, keys, value, level, flagged. Columns modality, plan_id
+    and field are null where a row stands for all of them. A plan counts for a
+    modality if that predicts anything for it.
+    """
+    seen = predictions.select("modality", "plan_id").distinct()
+    asked = truth.join(seen, "plan_id")
+    scores = scoring.score_fields(asked, predictions, ["modality", *keys])
+    views = F.array(*[F.struct(*[(F.col(k) if k in kept else F.lit(None).cast(scores.schema[k].dataType)).alias(f"v_{k}") for k in keys]) for kept in ((), ("field",), ("plan_id",))])
+    rows = scores.select("modality", "status", "level", "flagged", F.inline(views))
+    found = scoring.aggregate(rows, "modality", *[f"v_{k}" for k in keys])
+    return found.withColumnsRenamed({f"v_{k}": k for k in keys})
+
+
+def text_report(evaluated: DataFrame) -> DataFrame:
+    """A line of text for each row of run_eval."""
+    share = lambda c: F.coalesce(F.format_string("%.1f%%", F.col(c) * 100), F.lit("n/a"))
+    name = F.concat_ws(" ", "modality", F.coalesce("field", F.col("plan_id").cast("string"), F.lit("overall")))
+    counts = F.format_string("correct %d wrong %d missing %d spurious %d", "n_correct", "n_wrong", "n_missing", "n_spurious")
+    return evaluated.select("modality", "plan_id", "field", F.concat(name, F.lit(": "), counts, F.lit(", answer rate "), share("answer_rate"), F.lit(", accuracy "), share("accuracy")).alias("line"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, text
-from plumbline.operators import candidates, dimensions, evaluation
+from plumbline.operators import candidates, dimensions, evaluation, plans, sheets
 from plumbline.plans import catalogue as c
 from plumbline.plans import projections as p
 from plumbline.plans.registry import query
@@ -392,3 +392,131 @@ def token_in_text(spark, sf_dir):
 def municipalities(spark, sf_dir):
     docs = p.table(spark, sf_dir, "documents")
     return evaluation.municipalities(docs.select(F.col("lang").alias("municipality")), docs.select(F.col("source").alias("municipality")), p.table(spark, sf_dir, "events").select(F.col("event_type").alias("municipality")))
+
+
+# ---------------------------------------------------------------- sheets
+
+#: A text of an area table, its labels with precedence and value in the text, its number or percentage as a cell.
+_AREA_TEXTS = ["SITE AREA : 160.77 Sq.m", "SITE AREA", "NET AREA OF PLOT 5", "Proposed Coverage Area (79.15 %)", "303.79", "45 %", "2.5", "FAR achieved", "note", "120"]
+_AREA_ROWS = "(VALUES (0, 1, 'plot.area', 160.77), (1, 1, 'plot.area', NULL), (2, 2, 'plot.net_area', NULL), (3, 3, 'building.footprint_area', NULL), (3, 7, 'coverage', 79.15), (7, 12, 'far', NULL)) v(k, rank, field, said)"
+_AREAS = f"""WITH {c._SQL_BRANDS}, t AS (SELECT sheet, id AS pos, id % 10 AS k, max_x AS r, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y FROM brands), l AS (SELECT t.*, rank, field, said::DOUBLE AS said FROM t JOIN {_AREA_ROWS} ON v.k = t.k),
+n AS (SELECT sheet, pos AS cell, x, y, CASE k WHEN 4 THEN 303.79::DOUBLE WHEN 6 THEN 2.5::DOUBLE WHEN 9 THEN 120.0::DOUBLE END AS v FROM t WHERE k IN (4, 6, 9)), b AS (SELECT l.sheet, l.pos, arg_min(n.v, round((abs(n.y - l.y) * 20 + (n.x - l.r) * 0.01) * 1e9) * 1e6 + cell) AS v FROM (SELECT DISTINCT sheet, pos, r, y FROM l) l JOIN n ON n.sheet = l.sheet AND n.x >= l.r AND abs(n.y - l.y) <= 18 GROUP BY ALL),
+m AS (SELECT l.sheet, l.field, l.rank, l.pos, CASE WHEN field IN ('coverage') THEN said WHEN field = 'far' THEN CASE WHEN b.v > 0 AND b.v <= 10 THEN b.v END ELSE coalesce(said, CASE WHEN b.v >= 10 THEN b.v END) END AS value FROM l LEFT JOIN b ON b.sheet = l.sheet AND b.pos = l.pos),
+areas AS (SELECT * FROM m WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sheet, field, value ORDER BY rank, pos) = 1)"""
+
+
+def _area_texts(spark, sf_dir) -> DataFrame:
+    return c._brands(spark, sf_dir).withColumn("pos", F.col("id")).withColumn("text", p.pick(tuple(_AREA_TEXTS), F.col("id") % 10))
+
+
+@query(f"{_AREAS} SELECT sheet, field, value, pos FROM areas")
+def area_measurements(spark, sf_dir):
+    return sheets.area_measurements(_area_texts(spark, sf_dir), ["sheet"]).select("sheet", "field", "value", "pos")
+
+
+@query(f"{_AREAS} SELECT sheet, CASE field WHEN 'plot.area' THEN 'plot_area_gross' WHEN 'plot.net_area' THEN 'plot_area_net' ELSE 'building_footprint_area' END AS target, value FROM areas WHERE field IN ('plot.area', 'plot.net_area', 'building.footprint_area') QUALIFY row_number() OVER (PARTITION BY sheet, field ORDER BY rank, pos) = 1")
+def area_targets(spark, sf_dir):
+    return sheets.area_targets(sheets.area_measurements(_area_texts(spark, sf_dir), ["sheet"]), ["sheet"])
+
+
+@query(f"""WITH {c._SQL_BRANDS}, t AS (SELECT sheet, 60.0::DOUBLE AS v FROM brands GROUP BY sheet), m AS (SELECT b.sheet, id, abs((max_x - min_x) * (max_y - min_y) / 1.0 - v) / v AS e, id % 4 = 0 AS flush FROM brands b JOIN t USING (sheet))
+SELECT sheet, id AS rect, CAST(floor(e * 1e6 + 0.5) AS BIGINT) AS micro FROM m WHERE e <= 0.2::DOUBLE QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY flush, e, id) = 1""")
+def best_rectangle(spark, sf_dir):
+    b = c._brands(spark, sf_dir)
+    rects = b.withColumns({"per_metre": F.lit(1.0), "flush": F.col("id") % 4 == 0})
+    found = sheets.best_rectangle(rects, b.select("sheet").distinct().withColumn("value", F.lit(60.0)), ["sheet"], 0.2)
+    return found.select("sheet", "rect", _milli(F.col("error"), "micro"))
+
+
+#: A text and the lengths in it, in tenths of a millimetre.
+LENGTHS = [("8'-9\"", "[26670]"), ("12' 6", "[38100]"), ("2.00X1.35", "[]"), ("9.14 m, 450 mm", "[91400,4500]"), ("SITE 160 sq.m", "[]"), (".47", "[4700]"), ("D2 75", "[]"), ("5 ft 3 in", "[15240,762]"), ("1:100 scale", "[]"), ("10 cm", "[1000]")]
+
+
+@query(f"SELECT p_partkey AS pos, {p.sql_pick(tuple(x[1] for x in LENGTHS), 'p_partkey % 10')} AS lengths FROM part")
+def lengths_in_texts(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = p.table(spark, sf_dir, "part").select(k.alias("pos"), p.pick(tuple(x[0] for x in LENGTHS), k % 10).alias("text"))
+    return rows.select("pos", F.to_json(F.transform(sheets.lengths_in(F.col("text")), lambda m: F.floor(m * 1e4 + 0.5).cast("long"))).alias("lengths"))
+
+
+@query(f"""WITH {c._SQL_BRANDS}, t AS (SELECT sheet, id, min_x, min_y, max_x, max_y, {p.sql_pick(_SHEET_TEXTS, 'id % 8')} AS text, {p.sql_pick(_SHEET_TYPES, 'id % 8')} AS type FROM brands), a AS (SELECT * FROM t WHERE type <> '' QUALIFY row_number() OVER (PARTITION BY sheet, type ORDER BY length(text) DESC, min_y, id) = 1),
+m AS (SELECT *, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, max_y - min_y > max_x - min_x AS turned FROM a) SELECT sheet, type, round_even(greatest(0.0::DOUBLE, cx - CASE WHEN turned THEN 30.0::DOUBLE ELSE 18.0::DOUBLE END), 9) AS x0, round_even(greatest(0.0::DOUBLE, cy - CASE WHEN turned THEN 14.4::DOUBLE ELSE 24.0::DOUBLE END), 9) AS y0, round_even(least(100.0::DOUBLE, cx + CASE WHEN turned THEN 30.0::DOUBLE ELSE 18.0::DOUBLE END), 9) AS x1 FROM m""")
+def region_windows(spark, sf_dir):
+    texts = c._brands(spark, sf_dir).withColumn("text", p.pick(_SHEET_TEXTS, F.col("id") % 8))
+    pages = texts.select("sheet").distinct().withColumns({"width": F.lit(100.0), "height": F.lit(80.0)})
+    found = sheets.region_windows(texts, pages, ["sheet"])
+    return found.select("sheet", "type", F.bround("min_x", 9).alias("x0"), F.bround("min_y", 9).alias("y0"), F.bround("max_x", 9).alias("x1"))
+
+
+@query(f"""WITH {p.SQL_BOXES}, w AS (SELECT id, id % 6 AS k, max_x - min_x AS w FROM boxes) SELECT id, CASE k WHEN 0 THEN 'INTERSECTS' WHEN 1 THEN 'PARALLEL' WHEN 2 THEN 'PERPENDICULAR' WHEN 3 THEN 'COLLINEAR' WHEN 4 THEN 'CONTINUES' END AS relation FROM w""")
+def line_relations(spark, sf_dir):
+    # The bottom of each box against: a line across it, one above it, one upright beside it, one far along, one just behind its end, an oblique one.
+    b, k, w = p.boxes(spark, sf_dir), F.col("id") % 6, F.col("max_x") - F.col("min_x")
+    line = lambda a, d, e, f: F.struct(a.alias("x1"), d.alias("y1"), e.alias("x2"), f.alias("y2"))
+    x0, x1, y = F.col("min_x"), F.col("max_x"), F.col("min_y")
+    other = (
+        F.when(k == 0, line(x0, y - w, x1, y + w)).when(k == 1, line(x0, y + w, x1, y + w)).when(k == 2, line(x1 + w, y, x1 + w, y + w)).when(k == 3, line(x1 + w, y, x1 + 2 * w, y)).when(k == 4, line(x1 + 0.01 * w, y, x1 + w, y))
+        .otherwise(line(x1 + w, y, x1 + 2 * w, y + w))
+    )
+    return b.select("id", sheets.line_relation(line(x0, y, x1, y), other).alias("relation"))
+
+
+_KIND_TEXTS = ("SITE PLAN, setback", "BEDROOM and kitchen", "note", "ROAD WIDTH", "TOILET")
+_KIND_LAYERS = ("0", "A-ROAD", "PLOT", "WALL-EXT", "TEXT", "0", "0")
+
+
+@query(f"""WITH {c._SQL_BRANDS}, w AS (SELECT sheet, sum(CASE id % 5 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS site, sum(CASE id % 5 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END) AS floor FROM brands GROUP BY sheet), q AS (SELECT *, (max_x - min_x) * (max_y - min_y) * CASE WHEN id % 9 = 0 THEN 9 ELSE 1 END AS area, row_number() OVER (PARTITION BY sheet ORDER BY (max_x - min_x) * (max_y - min_y) * CASE WHEN id % 9 = 0 THEN 9 ELSE 1 END DESC) AS nth FROM brands),
+s AS (SELECT sheet, count(*) AS n, max(area) FILTER (nth = 1) AS a1, max(area) FILTER (nth = 2) AS a2, bool_or(id % 7 = 1) AS road, bool_or(id % 7 = 2) AS plot, max(area) FILTER (id % 7 = 3) AS b FROM q GROUP BY sheet)
+SELECT sheet, CAST(floor((1.5::DOUBLE * least(site, 3) - 0.4::DOUBLE * least(floor, 3) + CASE WHEN road THEN 2.5 ELSE 0 END + CASE WHEN plot THEN 3.5 ELSE 0 END + CASE WHEN a1 / a2 >= 8 THEN 4.5 WHEN a1 / a2 >= 3 THEN 3 WHEN a1 / a2 <= 1.5 THEN -0.75 ELSE 0 END + CASE WHEN n >= 15 THEN -0.4 WHEN n BETWEEN 1 AND 4 THEN 0.5 ELSE 0 END + CASE WHEN b / a1 < 0.6 THEN 1 ELSE 0 END) * 1e3 + 0.5) AS BIGINT) AS milli FROM w JOIN s USING (sheet)""")
+def sheet_kinds(spark, sf_dir):
+    b = c._brands(spark, sf_dir)
+    polygons = b.select("sheet", p.pick(_KIND_LAYERS, F.col("id") % 7).alias("layer"), ((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")) * F.when(F.col("id") % 9 == 0, 9).otherwise(1)).alias("area"))
+    found = sheets.sheet_kinds(polygons, b.select("sheet", p.pick(_KIND_TEXTS, F.col("id") % 5).alias("text")), ["sheet"])
+    return found.select("sheet", F.floor(F.col("score") * 1e3 + 0.5).cast("long").alias("milli"))
+
+
+@query(f"WITH {c._SQL_BRANDS}, e AS (SELECT sheet, min_y AS position, sum(max_x - min_x) AS extent FROM brands GROUP BY ALL HAVING sum(max_x - min_x) >= 8) SELECT sheet, position, extent FROM e QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY extent DESC, position) <= 3")
+def dominant_positions(spark, sf_dir):
+    lines = c._brands(spark, sf_dir).select("sheet", (F.col("min_y") + 0.04).alias("position"), F.col("min_x").alias("start"), F.col("max_x").alias("end"))
+    return sheets.dominant_positions(lines, ["sheet"], 3, 8.0)
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, [0.98::DOUBLE, 0.9::DOUBLE, 0.6::DOUBLE, 0.2::DOUBLE][CAST(p_partkey % 4 AS INT) + 1] AS u, p_partkey % 3 = 0 AS cu, p_partkey % 2 = 0 AS en, p_partkey % 4 = 0 AS fi, (p_partkey % 11) / 10.0::DOUBLE AS re, p_partkey % 13 = 0 AS d, p_partkey % 7 = 0 AS ok FROM part),
+f AS (SELECT *, CASE WHEN cu THEN 0.9::DOUBLE ELSE 1 END AS c, CASE WHEN NOT en THEN 1 WHEN fi THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS o, CASE WHEN re >= 0.85 THEN 1 ELSE greatest(0.5::DOUBLE, re) END AS s, CASE WHEN d THEN 0.4::DOUBLE ELSE 1 END AS i FROM t)
+SELECT id, least(0.98::DOUBLE, u, c, o, i) AS area, CASE WHEN ok THEN least(0.98::DOUBLE, u, c, i) ELSE least(0.95::DOUBLE, u, c, o, s, i) END AS length FROM f""")
+def confidence_caps(spark, sf_dir):
+    k = F.col("p_partkey")
+    trust = F.element_at(F.array(*map(F.lit, (0.98, 0.9, 0.6, 0.2))), (k % 4 + 1).cast("int"))
+    made = sheets.confidence_caps(trust, k % 3 == 0, k % 2 == 0, k % 4 == 0, k % 11 / 10.0, k % 13 == 0, k % 7 == 0)
+    return p.table(spark, sf_dir, "part").select(k.alias("id"), made["area"].alias("area"), made["length"].alias("length"))
+
+
+@query(f"""WITH {p.SQL_PLANS} SELECT plan_id, plot_width AS value, plot_width_l AS confidence, CASE WHEN plan_id % 3 = 0 THEN 'USER_EDIT' ELSE 'FINAL:CV_ONLY' END AS source, plan_id % 3 = 0 AS edited, plot_width_l = 'CONFLICTING' AS conflict FROM plans""")
+def plan_summaries(spark, sf_dir):
+    rows = p.plans(spark, sf_dir).withColumn("sources", F.create_map(F.lit("plot.width"), F.when(F.col("plan_id") % 3 == 0, "USER_EDIT").otherwise("FINAL:CV_ONLY")))
+    made = sheets.formatted(rows, {n: "m" for n in plans.SHIPPABLE})
+    kind = "struct<`plot.width`: struct<value: double, confidence: string, source: string, edited: boolean, conflict: boolean>>"
+    return made.select("plan_id", F.from_json("summary", kind)["plot.width"].alias("s")).select("plan_id", "s.*")
+
+
+@query(f"SELECT p_partkey AS pos, v AS value, u AS unit FROM (SELECT p_partkey, {p.sql_pick(('m', '', 'mm', 'ft'), 'p_partkey % 4')} AS u, [3.5::DOUBLE, NULL, 450.0::DOUBLE, 12.0::DOUBLE][CAST(p_partkey % 4 AS INT) + 1] AS v FROM part) WHERE v IS NOT NULL")
+def dimension_texts(spark, sf_dir):
+    k = F.col("p_partkey")
+    texts = p.table(spark, sf_dir, "part").select((k % 3).alias("sheet"), k.alias("pos"), p.pick(("3.5 m", "a sentence without any", "450 mm", "12 ft"), k % 4).alias("text"))
+    return sheets.dimension_texts(texts, ["sheet"]).select("pos", "value", "unit")
+
+
+@query(f"""WITH {p.SQL_BOXES} SELECT id, CASE id % 5 WHEN 0 THEN 'PLOT_WIDTH' WHEN 1 THEN 'LEFT_SETBACK' WHEN 2 THEN 'ROAD_WIDTH' WHEN 3 THEN 'OTHER' ELSE 'PLOT_DEPTH' END AS kind, CASE id % 5 WHEN 0 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' WHEN 4 THEN 'HIGH' ELSE 'LOW' END AS level FROM boxes""")
+def dimension_kinds(spark, sf_dir):
+    # The bottom of the plot, a label alone, a model's reading alone, a line far away, and the plot's left side with its label.
+    b, k = p.boxes(spark, sf_dir), F.col("id") % 5
+    ring = geometry.box_ring()
+    part = lambda i: F.slice(geometry.edges(ring), i, 1)
+    none = F.slice(F.array(ring), 1, 0)
+    plots = b.select(F.col("id").alias("sheet"), ring.alias("plot"), none.alias("buildings"), part(1).alias("front"), part(3).alias("rear"), part(4).alias("left"), part(2).alias("right"), none.alias("roads"))
+    at = lambda bottom, far, side: F.when(k == 0, F.col(bottom)).when(k == 3, F.col(far) + 1000).when(k == 4, F.col(side))
+    dims = b.select(
+        F.col("id").alias("sheet"), "id", F.when(k == 1, "left setback").when(k == 4, "plot depth").alias("label"), at("min_x", "min_x", "min_x").alias("x1"), at("min_y", "min_y", "min_y").alias("y1"), at("max_x", "max_x", "min_x").alias("x2"), at("min_y", "min_y", "max_y").alias("y2"),
+        F.when(k == 2, "ROAD_WIDTH").alias("hint"), F.when(k == 2, 0.9).alias("hint_score"),
+    )
+    return dimensions.classify(dims, plots, ["sheet"]).select("id", "kind", "level")

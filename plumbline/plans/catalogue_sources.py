@@ -176,3 +176,23 @@ def usable_levels(spark, sf_dir):
 @query(f"WITH {p.SQL_PLANS} " + " UNION ALL ".join(f"SELECT plan_id, '{s.split('.')[1]}' AS side, {s.replace('.', '_')} AS distance FROM plans WHERE {s.replace('.', '_')} IS NOT NULL" for s in gates.SIDES))
 def setback_rows(spark, sf_dir):
     return gates.setback_rows(p.plans(spark, sf_dir))
+
+
+@query(f"""WITH {p.SQL_SCORES}, g AS (SELECT m.modality, s.* FROM scores s, (VALUES ('pdf', 0), ('dxf', 1)) m(modality, k) WHERE k = 0 OR s.plan_id % 2 = 0), q AS (SELECT modality, plan_id, field, truth, CASE WHEN modality = 'dxf' THEN NULL ELSE predicted END AS predicted, CASE WHEN modality = 'dxf' THEN NULL ELSE level END AS level, CASE WHEN modality = 'dxf' THEN FALSE ELSE flagged END AS flagged,
+    CASE WHEN modality = 'pdf' THEN status WHEN status IN ('SPURIOUS', 'ABSTAINED_OK') THEN 'ABSTAINED_OK' ELSE 'MISSING' END AS status FROM g WHERE plan_id IN (SELECT plan_id FROM predictions))
+SELECT modality, plan_id, field, {c._AGGREGATE} FROM q GROUP BY GROUPING SETS ((modality), (modality, field), (modality, plan_id))""")
+def evaluation_runs(spark, sf_dir):
+    """Two modalities: one as predicted, one that answers nothing for every other plan."""
+    from plumbline import engine
+
+    truth, guess = p.truth_and_predictions(spark, sf_dir)
+    silent = guess.where("plan_id % 2 = 0").withColumns({"value": F.lit(None).cast("double"), "level": F.lit(None).cast("string"), "flagged": F.lit(False)})
+    both = guess.withColumn("modality", F.lit("pdf")).unionByName(silent.withColumn("modality", F.lit("dxf")))
+    return engine.evaluate(truth, both).drop("line")
+
+
+@query("SELECT 'P' || page_id AS plan, kind, 'd/P' || page_id || '.' || kind AS path, 'd/P' || page_id || '.expected.json' AS expected FROM pages, (VALUES ('pdf'), ('dxf')) k(kind) WHERE page_id % 3 <> 0 AND NOT (kind = 'dxf' AND page_id % 2 = 0)")
+def evaluation_pairs(spark, sf_dir):
+    name = F.concat(F.lit("d/P"), F.col("page_id").cast("string"))
+    made = F.array_compact(F.array(F.concat(name, F.lit(".pdf")), F.when(F.col("page_id") % 2 != 0, F.concat(name, F.lit(".dxf"))), F.when(F.col("page_id") % 3 != 0, F.concat(name, F.lit(".expected.json"))), F.lit("d/other.txt")))
+    return records.evaluation_pairs(p.table(spark, sf_dir, "pages").select(F.explode(made).alias("path")).distinct())

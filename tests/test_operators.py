@@ -244,3 +244,44 @@ def test_components_that_do_not_settle_raise(spark):
     with pytest.raises(RuntimeError):
         spatial.connected_components(nodes, links, ["sheet"], rounds=1)
     assert {r.root for r in spatial.connected_components(nodes, links, ["sheet"]).collect()} == {0}
+
+
+def test_kinds_of_dimensions(spark):
+    """One dimension for each way to be classified, on a plot of 20 by 30 with a building of 10 by 14 in it."""
+    from plumbline.operators import dimensions
+
+    ring = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    line = lambda a, b, c, d: (float(a), float(b), float(c), float(d))
+    sheet = ("s", [(float(x), float(y)) for x, y in ring(0, 0, 20, 30)], [[(float(x), float(y)) for x, y in ring(5, 6, 15, 20)]], [line(0, 0, 20, 0)], [line(20, 30, 0, 30)], [line(0, 30, 0, 0)], [line(20, 0, 20, 30)], [[(float(x), float(y)) for x, y in ring(-10, -9, 30, -3)]])
+    points, edges = "array<struct<x: double, y: double>>", "array<struct<x1: double, y1: double, x2: double, y2: double>>"
+    sheets = spark.createDataFrame([sheet], f"sheet string, plot {points}, buildings array<{points}>, front {edges}, rear {edges}, left {edges}, right {edges}, roads array<{points}>")
+    none = (None, None, None, None)
+    cases = [
+        (1, None, line(0, 0, 20, 0), None, None, ("PLOT_WIDTH", "MEDIUM")),
+        (2, "PLOT DEPTH", line(0, 0, 0, 30), None, None, ("PLOT_DEPTH", "HIGH")),
+        (3, None, line(5, 6, 15, 6), None, None, ("BUILDING_WIDTH", "MEDIUM")),
+        (4, None, line(10, 0.5, 10, 5.5), None, None, ("FRONT_SETBACK", "MEDIUM")),
+        (5, "bed room", line(8, 12, 12, 12), None, None, ("ROOM_DIMENSION", "HIGH")),
+        (6, None, line(10, -9, 10, -3), None, None, ("ROAD_WIDTH", "MEDIUM")),
+        (7, "left setback", none, None, None, ("LEFT_SETBACK", "LOW")),
+        (8, None, none, "ROAD_WIDTH", 0.8, ("ROAD_WIDTH", "HIGH")),
+        (9, None, none, None, None, ("OTHER", "LOW")),
+        (10, None, line(60, 60, 61, 60), None, None, ("OTHER", "LOW")),
+        (11, None, line(60, 60, 61, 60), "PLOT_WIDTH", 0.5, ("PLOT_WIDTH", "MEDIUM")),
+        (12, "road", line(60, 60, 61, 60), None, None, ("ROAD_WIDTH", "LOW")),
+    ]
+    rows = [("s", i, label, *at, hint, score) for i, label, at, hint, score, _ in cases]
+    table = spark.createDataFrame(rows, "sheet string, id int, label string, x1 double, y1 double, x2 double, y2 double, hint string, hint_score double")
+    got = {r.id: (r.kind, r.level) for r in dimensions.classify(table, sheets, ["sheet"]).collect()}
+    assert got == {c[0]: c[-1] for c in cases}
+
+
+def test_sign_flip_of_many_differences(spark):
+    """More differences than can be enumerated: against the binomial distribution, and decimals against all sign choices."""
+    rows = spark.createDataFrame([("a", 1.0)] * 60 + [("a", -1.0)] * 40 + [("b", v) for v in (0.5, 0.25, -0.75, 1.5, 0.1)], "k string, d double")
+    got = {r.k: r for r in scoring.sign_flip(rows, "d", "k").collect()}
+    want = sum(math.comb(100, i) for i in range(101) if abs(2 * i - 100) >= 20) / 2**100
+    assert got["a"].n == 100 and got["a"].p_value == pytest.approx(want)
+    d = (0.5, 0.25, -0.75, 1.5, 0.1)
+    sums = [sum(x if m >> i & 1 else -x for i, x in enumerate(d)) for m in range(32)]
+    assert got["b"].p_value == sum(abs(s) >= abs(sum(d)) - 1e-9 for s in sums) / 32
