@@ -79,7 +79,10 @@ class Templates:
         self.vocabulary = Vocabulary.of([*(t for _, t in templates), *PHRASES])
         number = {name: i for i, name in enumerate(self.vocabulary.names)}
         self.labels = [label for label, _ in templates]
-        sets = [sorted({number[w] for w in text.split()}, key=lambda k: (frequency.get(self.vocabulary.names[k], 0), k)) for _, text in templates]
+        # The global order: words by how many blocks have them, rarest first.
+        self.order = np.array(sorted(number.values(), key=lambda k: (frequency.get(self.vocabulary.names[k], 0), k)), dtype=np.int64)
+        rank = np.argsort(self.order)
+        sets = [sorted({number[w] for w in text.split()}, key=lambda k: rank[k]) for _, text in templates]
         self.size = np.array([len(s) for s in sets])
         # Words of a window: as many as the template's, and as much slack as the containment leaves.
         self.window = [math.ceil(len(text.split()) / containment - 1e-9) if wrapped else 0 for _, text in templates]
@@ -136,13 +139,16 @@ class Templates:
             # Length filter: a block of fewer words than needed can't contain them.
             length = np.searchsorted(w.start, end[rare]) - np.searchsorted(w.start, begin[rare])
             of = np.searchsorted(docs.at, begin[rare], "right") - 1
+            ordered = inside[:, self.order]
+            ahead = ordered[:, ::-1].cumsum(axis=1)[:, ::-1]  # words of a block from each place of the global order on
             for t in range(self.size.size):
                 some = np.flatnonzero((inside & self.prefix[t]).any(axis=1) & (length >= self.need[t]))
                 if not some.size:
                     continue
-                # Positional filter: after the first word met, only later ones can still be met.
-                first = np.where(inside[some], self.place[t], 1 << 20).min(axis=1)
-                some = some[self.size[t] - first >= self.need[t]]
+                # Positional filter: after the first word that both have, neither side may be short of words.
+                first = (ordered[some] & self.has[t][self.order]).argmax(axis=1)
+                left = np.minimum(self.size[t] - self.place[t, self.order[first]], ahead[some, first])
+                some = some[left >= self.need[t]]
                 overlap = (inside[some] & self.has[t]).sum(axis=1)
                 for r, o in zip(some.tolist(), overlap.tolist(), strict=True):
                     score[of[r]] = max(score[of[r]], o / self.size[t])
@@ -192,11 +198,13 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", te
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word
     (their smallest and largest start, else null), base_labels, labels (the
     phrases' and those of templates whose words a line contains to the threshold
-    `containment`), score (1 with a phrase, else the best containment met). With
-    wrapped, statements that run over several lines count too: a run of words
-    about as long as the template is then a block as well as each line. Null
-    and empty texts have no words and no labels; repeated rows get equal
-    results; an empty table gives an empty one; other columns are not read.
+    `containment`), score (1 with a phrase, else the best containment among the
+    blocks that pass the filters of the join). With wrapped, statements that run
+    over several lines count too: a run of words about as long as the template
+    is then a block as well as each line. Null and empty texts have no words and
+    no labels; long ones are read whole, in a slice of their own; labels that
+    tie are all given; repeated rows get equal results; an empty table gives an
+    empty one; other columns are not read.
 
     Two passes: block frequencies of the templates' words over all texts (a row
     for each word and task), then the join. The templates are a fixed, small list.

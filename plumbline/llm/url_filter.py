@@ -174,9 +174,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url
     fifth of those URLs (0 if one kind is missing). N-grams and contexts are
     counted by 64-bit keys in a stored table that grows with the URLs, and each
     slice of URLs is joined with the counts of its own keys. Null URLs count as empty:
-    host and path are empty and the models judge the empty string. Repeated
-    rows are judged alike; an empty table gives an empty one; columns besides
-    page_id and url are not read.
+    host and path are empty and the models judge the empty string. A long URL is
+    judged whole, in a slice of its own; of rules that tie in length, the later
+    one wins; a ratio at the threshold is allowed. Repeated rows are judged
+    alike; an empty table gives an empty one; columns besides page_id and url
+    are not read.
     """
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col(url))

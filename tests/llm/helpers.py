@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -84,3 +85,24 @@ def near_classes(rows: list[tuple], threshold: float = 0.8) -> list[list[int]]:
     for i in range(len(rows)):
         out[find(i)].append(i)
     return list(out.values())
+
+
+def passages(rows: list[tuple], items: list[tuple]) -> list[tuple]:
+    """What decontamination must find, by looking for every window of every item."""
+    windows = defaultdict(set)
+    for i, text in items:
+        w = words(text)
+        k = min(10, len(w))
+        for a in range(len(w) - k + 1 if k else 0):
+            windows[tuple(w[a : a + k])].add(str(i))
+    out = []
+    for i, text, *_ in rows:
+        w = words(text)
+        hit, found = set(), set()
+        for k in {len(x) for x in windows}:
+            for a in range(len(w) - k + 1):
+                if s := windows.get(tuple(w[a : a + k])):
+                    found |= s - {"None"}
+                    hit.update(range(a, a + k))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out

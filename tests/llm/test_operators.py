@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,18 +14,20 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import bag_minhash, language, quality
-from plumbline.llm.decontaminate import contamination, decontaminate
+from plumbline.llm import bag_minhash, language, quality, queries
+from plumbline.llm.decontaminate import Index, Text, Windows, contamination, decontaminate, joined
 from plumbline.llm.exact_dedup import exact_dedup
-from plumbline.llm.licenses import TEMPLATES, license_scan
+from plumbline.llm.licenses import TEMPLATES, Templates, license_scan
 from plumbline.llm.mixing import mix_sources, repeat_by_copies, source_targets
 from plumbline.llm.near_dedup import _closing, components, drop_near_duplicates, near_duplicates
 from plumbline.llm.scratch import new_path
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import read_token_files, write_token_files
-from plumbline.llm.url_filter import ORDER, gram_counts, judge_urls
+from plumbline.llm.url_filter import BACKOFF, FOLDS, ORDER, RULES, gram_counts, judge_urls
+from plumbline.llm.vectors import slices, words
 from tests.llm import helpers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -195,26 +198,6 @@ def test_token_files_round_trip(spark, docs, none):
     assert read_token_files(spark, path).count() == 0
 
 
-def _passages(rows, items):
-    windows = defaultdict(set)
-    for i, text in items:
-        w = helpers.words(text)
-        k = min(10, len(w))
-        for a in range(len(w) - k + 1 if k else 0):
-            windows[tuple(w[a : a + k])].add(str(i))
-    out = []
-    for i, text, *_ in rows:
-        w = helpers.words(text)
-        hit, found = set(), set()
-        for k in {len(x) for x in windows}:
-            for a in range(len(w) - k + 1):
-                if (s := windows.get(tuple(w[a : a + k]))) and i is not None:
-                    found |= s
-                    hit.update(range(a, a + k))
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out
-
-
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_decontamination_against_brute_force(spark, none, block_bytes):
     rng = random.Random(8)
@@ -227,12 +210,36 @@ def test_decontamination_against_brute_force(spark, none, block_bytes):
             a = rng.randint(0, max(0, len(item) - 5))
             text[len(text) // 2 : len(text) // 2] = item[a : a + rng.choice([5, 9, 10, 11, 30])]
         rows.append((i, " ".join(text), "en", "a", 0))
-    bench = spark.createDataFrame([*items, (None, "x y z"), (50, None)], "item_id long, text string")
+    items += [(None, " ".join(rows[7][1].split()[:12])), (None, "an er")]  # without an id they hit, but are in no list
+    bench = spark.createDataFrame([*items, (50, None)], "item_id long, text string")
     got = contamination(spark.createDataFrame(rows, helpers.SCHEMA), bench, block_bytes=block_bytes).collect()
-    assert sorted(map(tuple, got)) == _passages(rows, items)
+    assert sorted(map(tuple, got)) == helpers.passages(rows, items)
     assert contamination(none, bench).count() == 0
 
 
+def test_decontamination_of_periodic_texts_is_quick():
+    """An item of one word a thousand times, and one of two in turn, in documents of the same: no pair of places is formed."""
+    items = pa.array(["same " * 1000, "tick tock " * 500, "same tick"])
+    index = Index(pa.array(["a", "b", "c"]), items)
+    texts = ["same " * 20_000, "tock tick " * 10_000, "same " * 9 + "tick", "x " * 20_000, "same " * 10 + "other " + "tick tock " * 5]
+    began = time.perf_counter()
+    (docs,) = slices(pa.array(texts))
+    w, hit, pairs = index.match(docs)
+    assert time.perf_counter() - began < 1
+    assert np.add.reduceat(hit.astype(int), w.at[:-1]).tolist() == [20_000, 20_000, 2, 0, 20]
+    assert pairs.tolist() == [[0, 1, 2, 4, 4], [0, 1, 2, 0, 1]]
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_bytes():
+    (docs,) = slices(pa.array(["aa bb", "cc dd", "cc dd ee"]))
+    w = words(docs)
+    text = Text(*joined(docs, w))
+    found = Windows(2, text, np.array([0, 2, 4]), np.full(3, 9, np.uint64), np.array([0, 1, 2]))
+    at, which = found.find(np.full(4, 9, np.uint64), np.array([0, 2, 4, 5]), text, text)
+    assert {(a, *found.item[found.at[k] : found.at[k + 1]].tolist()) for a, k in zip(at.tolist(), which.tolist(), strict=True)} >= {(0, 0), (2, 1)}
+    assert 5 not in at.tolist() and {0, 2, 4} == set(at.tolist())
+
+
 def test_decontamination_on_odd_rows(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(ROWS[0][1].split()[5:20])), (2, "one two")], "item_id long, text string")
     got = {r.doc_id: r.contaminated for r in contamination(docs, bench).collect() if r.doc_id is not None}
@@ -270,6 +277,15 @@ def test_license_join_finds_every_block_over_the_threshold(spark):
         assert got[i] == ",".join(sorted(want))
 
 
+def test_positional_filter_removes_blocks_short_of_words():
+    """A block with a template's rare word and none after it is left before its overlap is counted; others are not."""
+    table = Templates([("x", "rare alpha beta gamma delta")], {"rare": 1, "alpha": 5, "beta": 6, "gamma": 7, "delta": 8}, 0.8)
+    texts = ["rare rare rare rare rare", "rare alpha beta gamma more", "alpha beta gamma delta more", "rare delta more more more"]
+    (docs,) = slices(pa.array(texts))
+    found = table.match(docs)
+    assert found["labels"] == ["", "x", "x", ""] and found["score"].tolist() == [0, 0.8, 0.8, 0]
+
+
 def test_licenses_wrapped_over_lines(spark):
     """Every template, broken at each narrow width and behind comment marks, is found; one spread over a text isn't."""
     found = []
@@ -321,6 +337,173 @@ def test_url_counts_are_exact_however_many_there_are(spark):
     assert sorted(n for r in got for n in (r.yes, r.no) if n) == sorted(want.values())
 
 
+def test_url_ratio_and_verdict_against_a_dictionary_model(spark):
+    """The whole result of judge_urls, with n-grams counted in dictionaries of strings."""
+    rng = random.Random(12)
+    ends = ["com/a", "com/en/x", "net/es/b", "net/fr/c", "org/d", "org/en/e", "example.com/en/q"]
+    urls = [f"http://{helpers.prose(rng, 1)}.{rng.choice(ends)}{rng.randint(0, 99)}" for _ in range(400)] + [None, "", "no scheme", "x://" + "long/" * 4000, "http://z.org/é"]
+    rows = [(i, u, "x", 1.0) for i, u in enumerate(urls + urls[:5])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, ratio double")
+    got = {r.page_id: r for r in judge_urls(pages).collect()}
+    assert len(got) == len(rows)
+    text = {i: b"\x02" + ((u or "").split("://", 1)[-1]).encode() + b"\x03" for i, u, *_ in rows}
+    fold = {r.page_id: r.f for r in spark.createDataFrame([(i, t.decode()) for i, t in text.items()], "page_id long, t string").select("page_id", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).alias("f")).collect()}
+    known = {i: dict((t, says) for says, t in RULES)[got[i].rule] for i in text if got[i].rule}
+    grams, contexts = [Counter(), Counter()], [Counter(), Counter()]
+    for i, says in known.items():
+        if fold[i]:
+            for k in range(ORDER + 1):
+                for j in range(k, len(text[i])):
+                    grams[says == "block"][text[i][j - k : j + 1]] += 1
+                    contexts[says == "block"][k, text[i][j - k : j]] += 1
+    size = [max(c[0, b""], 1) for c in contexts]
+    weight = [BACKOFF * s / min(size) for s in size]
+
+    def ratio(t: bytes) -> float:
+        total = 0.0
+        for j in range(len(t)):
+            p = [1 / 256, 1 / 256]
+            for k in range(min(ORDER, j) + 1):
+                p = [(grams[s][t[j - k : j + 1]] + weight[s] * p[s]) / (contexts[s][k, t[j - k : j]] + weight[s]) for s in (0, 1)]
+            total += np.log(p[0]) - np.log(p[1])
+        return total / len(t)
+
+    want = {i: ratio(t) for i, t in text.items()}
+    assert all(got[i].ratio == pytest.approx(want[i], abs=1e-9) for i in text)
+    held = [(want[i], known[i] == "allow") for i in known if not fold[i]]
+    edges = np.linspace(-6, 6, 1201)
+    good = [np.mean([r > e for r, a in held if a]) + np.mean([r <= e for r, a in held if not a]) for e in edges]
+    limit = edges[np.array(good) >= max(good) - 1e-9].mean()
+    assert all(got[i].verdict == known.get(i, "allow" if want[i] >= limit else "block") for i in text if i in known or abs(want[i] - limit) > 0.02)
+
+
+def test_trees_against_plain_boosting():
+    """The histogram booster against one that scans all rows for each bin edge."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 1).astype(np.float32)
+    y = ((x[:, 0] + 0.3 * rng.normal(size=300) > 0) & (x[:, 2] < 1)).astype(float)
+    model = quality.fit(x, y)
+    edges = [np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]).astype(np.float32) for j in range(3)]
+    margin = np.full(300, model.base)
+    for t in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+
+        def split(rows, depth, node, t=t, grad=grad, hess=hess):
+            if depth == quality.DEPTH:
+                value = -quality.RATE * grad[rows].sum() / (hess[rows].sum() + quality.RIDGE)
+                assert model.leaf[t, node - (2**quality.DEPTH - 1)] == pytest.approx(value, rel=1e-4, abs=1e-6)
+                margin[rows] += value
+                return
+            j, limit = int(model.feature[t, node]), model.limit[t, node]
+            worth = lambda r: grad[r].sum() ** 2 / (hess[r].sum() + quality.RIDGE)
+            gains = [worth(rows[x[rows, f] <= e]) + worth(rows[x[rows, f] > e]) - worth(rows) for f in range(3) for e in edges[f] if min((x[rows, f] <= e).sum(), (x[rows, f] > e).sum()) >= quality.LEAST]
+            own = x[rows, j] <= limit
+            if np.isinf(limit):
+                assert max(gains, default=0) <= 1e-6 + 1e-9
+            else:
+                assert worth(rows[own]) + worth(rows[~own]) - worth(rows) == pytest.approx(max(gains), rel=1e-6)
+            split(rows[own], depth + 1, 2 * node + 1)
+            split(rows[~own], depth + 1, 2 * node + 2)
+
+        split(np.arange(300), 0, 0)
+
+
+def test_quality_query_against_a_plain_run(spark, tmp_path):
+    """The whole result of op1: statistics, training and scoring once more, one document at a time."""
+    rng = random.Random(21)
+    rows = [(i, helpers.prose(rng, rng.randint(5, 60)) if i % 3 else "BUY!! " * rng.randint(3, 30), "en", "a", 0) for i in range(400)] + [(400, None, None, None, None), (401, "", "en", "a", 0), (3, "again", "en", "a", 0)]
+    labels = [(i, int(bool(i % 3)), 0) for i in range(0, 400, 2)] + [(None, 1, 0)]
+    spark.createDataFrame(rows, helpers.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in queries.op1_quality(spark, str(tmp_path)).collect())
+    crc = lambda i, n: zlib.crc32(str(i).encode()) % n
+    order = {r.i: r.h for r in spark.range(402).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).collect()}
+    known = sorted((order[i], i, y) for i, y, _ in labels if i is not None and crc(i, 4) != 2)
+    statistics = lambda t: quality.featurise(pa.array([t], pa.string()))[0]
+    x = np.stack([min((statistics(t) for j, t, *_ in rows if j == i), key=tuple) for _, i, _ in known])
+    model = quality.fit(x, np.array([float(y) for _, _, y in known]))
+    score = lambda t: float(model.score(statistics(t)[None])[0])
+    want = sorted((i, crc(i, 4) == 2, round(score(t), 9), int(score(t) >= 0.7)) for i, t, *_ in rows)
+    assert got == want
+
+
+def test_language_query_against_plain_regression(spark, tmp_path):
+    """The whole result of op2, with n-grams in dictionaries and the penalised leader followed weight by weight."""
+    rng = random.Random(13)
+    kinds = {"en": "the an er on in", "de": "sch ein ge ü ß", "fr": "é eau oi que ré"}
+    rows = [(i, helpers.prose(rng, rng.randint(2, 9), kinds[k := list(kinds)[i % 3]]), k, "a", 0) for i in range(90)]
+    rows += [(90, None, "en", "a", 0), (91, "12 !!", "en", "a", 0), (92, rows[0][1], None, "a", 0), (93, "", None, None, None), (94, "日本", None, "b", 0)]
+    spark.createDataFrame(rows, helpers.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_language(spark, str(tmp_path)).collect()}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 3
+    learn = [(t, k) for i, t, k, *_ in rows if crc(i) != 1 and t is not None and k is not None]
+
+    def slots(t):
+        (docs,) = slices(pa.array([t]))
+        return Counter(language.ngrams(docs)[0].tolist())
+
+    df = Counter(s for t, _ in learn for s in slots(t))
+    idf = lambda s: np.log((1 + len(learn)) / (1 + df[s])) + 0.1
+    order = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for t, _ in learn}], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(1 << 30)).alias("h")).collect()}
+    learn = sorted(set(learn), key=lambda r: (order[r[0]], r[1]))
+    classes = sorted({k for _, k in learn})
+    values = [{s: language.SCALE * n / sum(c.values()) * idf(s) for s, n in c.items()} | {language.SLOTS: 1.0} for c in (slots(t) for t, _ in learn)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(s, k):
+        a = z[s, k]
+        return 0.0 if abs(a) <= language.L1 else -(a - np.sign(a) * language.L1) / ((language.BETA + np.sqrt(n[s, k])) / language.ALPHA + language.L2)
+
+    def chances(v, t=1.0):
+        e = np.exp([sum(x * weight(s, k) for s, x in v.items()) / t for k in range(len(classes))])
+        return e / e.sum()
+
+    train = [i for i in range(len(learn)) if i % 5]
+    for epoch in range(language.EPOCHS):
+        turn = np.random.default_rng(epoch).permutation(train)
+        for first in range(0, len(turn), language.BATCH):
+            g = defaultdict(float)
+            for i in turn[first : first + language.BATCH].tolist():
+                p = chances(values[i])
+                for k, name in enumerate(classes):
+                    for s, x in values[i].items():
+                        g[s, k] += x * (p[k] - (learn[i][1] == name))
+            was = {key: weight(*key) for key in g}
+            for key, d in g.items():
+                z[key] += d - (np.sqrt(n[key] + d * d) - np.sqrt(n[key])) / language.ALPHA * was[key]
+                n[key] += d * d
+    held = [i for i in range(len(learn)) if i % 5 == 0]
+    heat = min(np.geomspace(0.05, 20, 121), key=lambda t: -sum(np.log(chances(values[i], t)[classes.index(learn[i][1])] + 1e-12) for i in held))
+    for i, t, *_ in rows:
+        assert got[i].held_out == (crc(i) == 1)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        c = slots(t)
+        p = chances({s: language.SCALE * m / sum(c.values()) * idf(s) for s, m in c.items()} | {language.SLOTS: 1.0}, heat)
+        assert got[i].lang_pred == classes[int(p.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-3)
+
+
+def test_language_learns_rare_languages_from_a_small_sample(spark):
+    rng = random.Random(14)
+    rows = [(i, helpers.prose(rng, 20, "the an er on in"), "en", "a", 0) for i in range(1500)] + [(5000 + i, helpers.prose(rng, 20, "sch ein ge ü ß"), "de", "a", 0) for i in range(30)]
+    table = spark.createDataFrame(rows, helpers.SCHEMA)
+    model = language.train(table, sample_rows=60)
+    assert model.classes == ["de", "en"]
+    got = language.languages(table, model).collect()
+    assert sum(r.lang_pred == r.row.lang for r in got) >= 0.97 * len(got)
+
+
+def test_quality_takes_one_row_for_each_labelled_document(spark):
+    rows = [(i % 40, f"text {i} " * (1 + i % 7), "en", "a", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    table = spark.createDataFrame(rows, helpers.SCHEMA)
+    model = quality.train(table, labels, sample_rows=25)
+    assert isinstance(model, quality.Trees)
+    assert {r.score for r in quality.with_quality(table, quality.train(table, labels, sample_rows=0)).collect()} == {0.5}
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     rows = [(i, helpers.prose(rng, 60) if i % 3 else "!! ".join(["SPAM"] * 40) + helpers.prose(rng, 5).upper(), "en", "a", 0) for i in range(600)]
