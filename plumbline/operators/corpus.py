@@ -53,3 +53,25 @@ def freeze_diff(frozen: DataFrame, current: DataFrame) -> DataFrame:
 def replace_by_key(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Old rows without those whose key is among the new, and the new."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+
+
+def promoted(events: DataFrame, promotions: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
+    """What promoting all corrections that can be comes to: truth rows (of tier `inspected`), and the promotions to be added.
+
+    The latest correction of a document's field is its truth.
+    """
+    good = events.join(promotion_reasons(events, promotions, fields).where("reason = 'OK'"), "correction_id", "left_semi")
+    last = good.groupBy("document_id", "field").agg(F.max_by("corrected", F.struct("recorded_at", "correction_id")).alias("value"))
+    return {"truth": last.withColumn("tier", F.lit("inspected")), "promotions": good.select("correction_id", F.col("document_id").alias("plan_id"))}
+
+
+def blank_truth(plans: DataFrame, frozen: DataFrame, fields: list[str]) -> DataFrame:
+    """An unverified, empty truth row for each field of new plans (plan_id, split); plans for a split that is frozen get none."""
+    open_ = plans.join(frozen.select("split").distinct(), "split", "left_anti")
+    return open_.select("plan_id", "split", F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit(None).cast("double").alias("value"), F.lit("unverified").alias("tier"))
+
+
+def fingerprint(files: DataFrame, *keys: str) -> DataFrame:
+    """keys and the first 16 digits of a hash over all files (path, sha256) in order of path: a key for kept results."""
+    each = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+    return files.groupBy(*keys).agg(F.left(F.sha2(F.array_join(F.transform(each, lambda f: F.concat_ws(":", f["path"], f["sha256"])), ","), 256), F.lit(16)).alias("fingerprint"))

@@ -50,6 +50,14 @@ def plot_role(boxes: DataFrame, keys: list[str], least: float = 0.3) -> DataFram
     return best.select(*keys, F.col("best.a").alias("plot"), F.col("best.held").alias("n_inside"))
 
 
+def building_role(boxes: DataFrame, plots: DataFrame, keys: list[str], slender: float = 12.0) -> DataFrame:
+    """keys, building: the largest box inside the sheet's plot (keys, plot) that is not too slender; no row without one."""
+    held = containment_edges(boxes, keys).join(plots.select(*keys, F.col("plot").alias("a")), [*keys, "a"]).select(*keys, F.col("b").alias("id"))
+    w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    rows = held.join(boxes, [*keys, "id"]).where(g.aspect_ratio(w, h) <= slender)
+    return rows.groupBy(*keys).agg(F.max_by("id", F.struct((w * h), -F.col("id"))).alias("building"))
+
+
 def row_bands(items: DataFrame, keys: list[str], position: str, factor: float = 1.5, height: str = "height") -> DataFrame:
     """Bands of items along an axis: a gap over factor * the median height of the group begins a new one."""
     typical = items.groupBy(*keys).agg(F.percentile(height, F.lit(0.5)).alias("typical"))

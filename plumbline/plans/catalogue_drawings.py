@@ -270,7 +270,7 @@ def captions(spark, sf_dir):
     return candidates.captions(texts, ["sheet"])
 
 
-@query("SELECT source, sum(CASE WHEN doc_id % 5 <> 0 THEN length(trim(coalesce(text, ''), ' ')) * (doc_id % 4 / 4.0::DOUBLE) END) AS mass, sum((length(coalesce(text, '')) < 3 OR doc_id % 50 = 0)::INT) AS n_ocr FROM documents GROUP BY source")
+@query("SELECT source, sum(CASE WHEN doc_id % 5 <> 0 THEN length(trim(coalesce(text, ''), ' ')) * (doc_id % 4 / 4.0::DOUBLE) END) AS mass, sum((length(coalesce(text, '')) < 3 OR doc_id % 50 = 0)::INT)::BIGINT AS n_ocr FROM documents GROUP BY source")
 def ocr_pages(spark, sf_dir):
     docs = p.table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 4 / 4.0).alias("confidence"), (F.col("doc_id") % 5 == 0).alias("is_group"))
     asked = docs.groupBy("source").agg(F.sum(candidates.needs_ocr(F.length("text"), F.col("doc_id") % 50 == 0).cast("int")).alias("n_ocr"))

@@ -196,3 +196,63 @@ def evaluation_pairs(spark, sf_dir):
     name = F.concat(F.lit("d/P"), F.col("page_id").cast("string"))
     made = F.array_compact(F.array(F.concat(name, F.lit(".pdf")), F.when(F.col("page_id") % 2 != 0, F.concat(name, F.lit(".dxf"))), F.when(F.col("page_id") % 3 != 0, F.concat(name, F.lit(".expected.json"))), F.lit("d/other.txt")))
     return records.evaluation_pairs(p.table(spark, sf_dir, "pages").select(F.explode(made).alias("path")).distinct())
+
+
+@query(f"""WITH {p.SQL_BOXES}, pl AS ({{plots}}), n AS (SELECT b.sheet, b.id, (b.max_x - b.min_x) * (b.max_y - b.min_y) AS area, greatest(b.max_x - b.min_x, b.max_y - b.min_y) / least(b.max_x - b.min_x, b.max_y - b.min_y) AS aspect FROM pl JOIN boxes a ON a.sheet = pl.sheet AND a.id = pl.plot JOIN boxes b ON b.sheet = a.sheet AND b.id <> a.id AND {c._HOLDS.format('a', 'b')})
+SELECT sheet, arg_max(id, area * 1e8 - id) AS building FROM n WHERE aspect <= 2.5 GROUP BY sheet""".replace("{plots}", f"""SELECT sheet, arg_max(a, held * 100000000 - a) AS plot FROM (SELECT a.sheet, a.id AS a, count(*) AS held FROM boxes a JOIN boxes b ON a.sheet = b.sheet AND a.id <> b.id AND {c._HOLDS.format('a', 'b')} GROUP BY ALL) GROUP BY sheet"""))
+def building_role(spark, sf_dir):
+    b = p.boxes(spark, sf_dir)
+    return spatial.building_role(b, spatial.plot_role(b, ["sheet"], 0.0), ["sheet"], 2.5)
+
+
+# Two lines of each box, 0.4 apart, and the third side; a sheet's scale is 20.
+_WALLS = f"""WITH {c._SQL_BRANDS}, w AS (SELECT sheet, id * 3 AS id, min_x AS x0, max_x AS x1, min_y AS y FROM brands UNION ALL SELECT sheet, id * 3 + 1, min_x + 0.5, max_x, min_y + 0.4::DOUBLE FROM brands),
+f AS (SELECT a.sheet, a.id AS a, b.id AS b, abs(b.y - a.y) AS gap, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least(a.x1 - a.x0, b.x1 - b.x0) AS o FROM w a JOIN w b ON a.sheet = b.sheet AND a.id < b.id WHERE abs(b.y - a.y) > 1e-9 AND abs(b.y - a.y) <= 1), g AS (SELECT * FROM f WHERE o >= 0.3::DOUBLE)"""
+
+
+def _walls(spark, sf_dir):
+    b = c._brands(spark, sf_dir)
+    line = lambda i, x1, y1, x2, y2: F.struct((F.col("id") * 3 + i).alias("id"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    x0, x1, y0, y1 = (F.col(n) for n in ("min_x", "max_x", "min_y", "max_y"))
+    rows = b.select("sheet", F.inline(F.array(line(0, x0, y0, x1, y0), line(1, x1, y0 + 0.4, x0 + 0.5, y0 + 0.4))))
+    return rows, b.select("sheet").distinct().withColumn("scale", F.lit(20.0))
+
+
+@query(f"{_WALLS} SELECT sheet, a, b, CAST(floor(gap * 1e6 + 0.5) AS BIGINT) AS micro FROM g")
+def wall_faces(spark, sf_dir):
+    found = drawing.wall_faces(*_walls(spark, sf_dir), ["sheet"])
+    return found.select("sheet", "a", "b", F.floor(F.col("gap") * 1e6 + 0.5).cast("long").alias("micro"))
+
+
+@query(f"{_WALLS}, n AS (SELECT sheet, count(*) AS n, list_sort(list(gap))[count(*) // 2 + 1] AS m FROM g GROUP BY sheet) SELECT s.sheet, CAST(floor(CASE WHEN n >= 3 THEN m ELSE 0.04::DOUBLE END * 1e6 + 0.5) AS BIGINT) AS micro, coalesce(n, 0) AS n FROM (SELECT DISTINCT sheet FROM brands) s LEFT JOIN n USING (sheet)")
+def wall_thickness(spark, sf_dir):
+    segments, scales = _walls(spark, sf_dir)
+    found = drawing.wall_thickness(drawing.wall_faces(segments, scales, ["sheet"]), scales, ["sheet"])
+    return found.select("sheet", F.floor(F.col("thickness") * 1e6 + 0.5).cast("long").alias("micro"), "n")
+
+
+@query(f"""WITH {p.SQL_BOXES}, t AS (SELECT id, (id % 5)::DOUBLE AS r, (id * 37 % 360)::DOUBLE AS a, (id * 53 % 360)::DOUBLE AS b FROM boxes), s AS (SELECT id, r, CASE WHEN (b - a + 360) % 360 = 0 THEN 360 ELSE (b - a + 360) % 360 END AS w, a FROM t)
+SELECT id, CASE WHEN r > 0 THEN greatest(1, ceil(w / (2 * degrees(acos(0.98::DOUBLE)))))::INT + 1 ELSE 0 END::INT AS n, CASE WHEN r > 0 THEN CAST(floor((min_x + r * cos(radians(a + w))) * 1e6 + 0.5) AS BIGINT) END AS last_x FROM s JOIN boxes USING (id)""")
+def flattened_arcs(spark, sf_dir):
+    b, k = p.boxes(spark, sf_dir), F.col("id")
+    points = drawing.flattened_arc(F.col("min_x"), F.col("min_y"), (k % 5).cast("double"), (k * 37 % 360).cast("double"), (k * 53 % 360).cast("double"))
+    rows = b.select("id", F.explode(F.array(points)).alias("pts"))
+    return rows.select("id", F.size("pts").alias("n"), F.floor(F.get("pts", F.size("pts") - 1)["x"] * 1e6 + 0.5).cast("long").alias("last_x"))
+
+
+@query(f"WITH {c._EVENTS}, g AS (SELECT * FROM e WHERE correction_id % 4 <> 0 AND split <> 'heldout' AND field IN ('click', 'view') AND sha IS NOT NULL) SELECT document_id, field, arg_max(corrected, epoch_us(recorded_at) * 10000000::HUGEINT + correction_id) AS value, 'inspected' AS tier FROM g GROUP BY ALL")
+def promoted_truth(spark, sf_dir):
+    e = p.corrections(spark, sf_dir)
+    return corpus.promoted(e, e.where("correction_id % 4 = 0"), ["click", "view"])["truth"]
+
+
+@query("SELECT page_id AS plan_id, 'dev' AS split, unnest(['plot.width', 'far']) AS field, NULL::DOUBLE AS value, 'unverified' AS tier FROM pages WHERE page_id % 9 <> 0")
+def blank_truth(spark, sf_dir):
+    plans = p.table(spark, sf_dir, "pages").select(F.col("page_id").alias("plan_id"), F.when(F.col("page_id") % 9 == 0, "heldout").otherwise("dev").alias("split"))
+    return corpus.blank_truth(plans, spark.createDataFrame([("heldout",)], "split string"), ["plot.width", "far"])
+
+
+@query("SELECT page_id % 10 AS part, left(sha256(string_agg(url || ':' || sha256(html), ',' ORDER BY url, sha256(html))), 16) AS fingerprint FROM pages GROUP BY 1")
+def fingerprints(spark, sf_dir):
+    files = p.table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("part"), F.col("url").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return corpus.fingerprint(files, "part")

@@ -41,7 +41,7 @@ _DIM_WORDS = r"\b(road|wide|widening|setback|set\s*-?back|plot|site|building|wid
 _DIM_MARKS = r"[0-9\s.,;:/()\[\]{}<>~=+*&%@#$^_|\\'\"×xX-]"
 
 
-@query(f"""WITH t AS (SELECT doc_id, part, trim(CASE part WHEN 0 THEN coalesce(text, '') WHEN 1 THEN substr(coalesce(text, ''), 1, 14) WHEN 2 THEN substr(coalesce(text, ''), 1, 4) || ' 3.5 m' ELSE (doc_id % 97) || '. ' || substr(coalesce(text, ''), 1, 9) END, ' ') AS t FROM documents, range(4) r(part)),
+@query(rf"""WITH t AS (SELECT doc_id, part, trim(CASE part WHEN 0 THEN coalesce(text, '') WHEN 1 THEN substr(coalesce(text, ''), 1, 14) WHEN 2 THEN substr(coalesce(text, ''), 1, 4) || ' 3.5 m' ELSE (doc_id % 97) || '. ' || substr(coalesce(text, ''), 1, 9) END, ' ') AS t FROM documents, range(4) r(part)),
 w AS (SELECT *, regexp_replace(regexp_replace(t, {_sql(_DIM_WORDS)}, ' ', 'gi'), {_sql(_DIM_MARKS)}, '', 'g') AS rest FROM t)
 SELECT doc_id, part, t <> '' AND length(t) <= 32 AND NOT regexp_matches(t, '^\s*[0-9]+\s*[.)]\s*[A-Za-z]') AND length(rest) <= 3 AS is_dimension FROM w""")
 def dimension_gate(spark, sf_dir):
