@@ -26,11 +26,11 @@ def sql_pick(values: tuple[str, ...], index: str) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[CAST({index} AS INT) + 1]"
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations: plan_id, field, source, value, confidence, page, pos, kind, unit, grounded, region."""
+def candidates(spark: SparkSession, sf_dir: str, plan: str = "l_orderkey") -> DataFrame:
+    """Observations: plan_id (the column plan), field, source, value, confidence, page, pos, kind, unit, grounded, region."""
     line = table(spark, sf_dir, "lineitem")
     return line.select(
-        F.col("l_orderkey").alias("plan_id"),
+        F.col(plan).alias("plan_id"),
         pick(CANDIDATE_FIELDS, F.col("l_partkey") % 13).alias("field"),
         pick(SOURCES, F.col("l_suppkey") % 3).alias("source"),
         F.col("l_quantity").alias("value"),

@@ -285,3 +285,13 @@ def test_sign_flip_of_many_differences(spark):
     d = (0.5, 0.25, -0.75, 1.5, 0.1)
     sums = [sum(x if m >> i & 1 else -x for i, x in enumerate(d)) for m in range(32)]
     assert got["b"].p_value == sum(abs(s) >= abs(sum(d)) - 1e-9 for s in sums) / 32
+
+
+def test_outliers_of_suppliers_over_ten_thousand_stay_apart(spark, tmp_path):
+    from plumbline.plans.catalogue import QUERIES
+
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_linestatus string, l_returnflag string"
+    rows = [(1, 13, s, 1, q, 0.0, "F", "N") for s, q in ((5, 1.0), (5, 2.0), (10005, 40.0), (10005, 41.0))]
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r.plan_id, r.kept) for r in QUERIES["mad_outliers"](spark, str(tmp_path)).collect()} == {(5, True), (10005, True)}
+    assert {(r.plan_id, r.scale) for r in QUERIES["scale_estimate"](spark, str(tmp_path)).collect()} == {(5, 1.5), (10005, 40.5)}
