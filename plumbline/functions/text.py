@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that belong in a printed dimension, and the limits of one.
-DIMENSION_WORDS = r"(?i)\b(road|wide|widening|setback|set\s*-?back|plot|site|building|width|depth|length|clear|ht|height|dia|mtr|mts|metre|meter|feet|foot|inch|sq|smt|mm|cm|m|ft|in)\b"
+DIMENSION_WORDS = r"(?i)(?<!{c})(road|wide|widening|setback|set\s*-?back|plot|site|building|width|depth|length|clear|ht|height|dia|mtr|mts|metre|meter|feet|foot|inch|sq|smt|mm|cm|m|ft|in)(?!{c})"
 DIMENSION_MARKS = r"[0-9\s.,;:/()\[\]{}<>~=+*&%@#$^_|\\'\"×xX-]"
 MAX_CHARS, MAX_LETTERS = 32, 3
 #: How feet with inches and numbers with a unit are printed, spellings of units, the largest bare number.
@@ -28,10 +28,15 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
 
-def looks_like_dimension(text: Column) -> Column:
-    """Short, no numbered clause, and few letters besides a dimension's own words."""
+def looks_like_dimension(text: Column, ascii_words: bool = False) -> Column:
+    """Short, no numbered clause, and few letters besides a dimension's own words.
+
+    Words are bounded by characters that are no letter, digit or underscore; with
+    ascii_words only those of ASCII count as such, so that "è" ends a word.
+    """
     t = F.trim(F.coalesce(text, F.lit("")))
-    left = F.regexp_replace(F.regexp_replace(t, DIMENSION_WORDS, " "), DIMENSION_MARKS, "")
+    words = DIMENSION_WORDS.replace("{c}", "[A-Za-z0-9_]" if ascii_words else r"[\p{L}\p{N}_]")
+    left = F.regexp_replace(F.regexp_replace(t, words, " "), DIMENSION_MARKS, "")
     return (t != "") & (F.length(t) <= MAX_CHARS) & ~t.rlike(r"^\s*[0-9]+\s*[.)]\s*[A-Za-z]") & (F.length(left) <= MAX_LETTERS)
 
 

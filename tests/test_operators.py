@@ -295,3 +295,8 @@ def test_outliers_of_suppliers_over_ten_thousand_stay_apart(spark, tmp_path):
     spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r.plan_id, r.kept) for r in QUERIES["mad_outliers"](spark, str(tmp_path)).collect()} == {(5, True), (10005, True)}
     assert {(r.plan_id, r.scale) for r in QUERIES["scale_estimate"](spark, str(tmp_path)).collect()} == {(5, 1.5), (10005, 40.5)}
+
+
+def test_dimension_words_end_at_letters_of_any_script_or_of_ascii(spark):
+    assert not one(spark, text.looks_like_dimension(F.lit("Leèm 3.5 m")))
+    assert one(spark, text.looks_like_dimension(F.lit("Leèm 3.5 m"), ascii_words=True))
