@@ -111,14 +111,17 @@ SITE_LABEL = r"(?i)\bsite\s*area\b|\bplot\s*area\b"
 FLOOR_LABEL = r"(?i)\b(stilt|ground|first|second|third|fourth|fifth|sixth|terrace|basement)\s*floor\b"
 AREA_NUMBER = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*(sq\.?\s?m(?:ts?)?\.?|sqm|sq\.?\s?ft\.?|sqft)\b"
 SQUARE_FEET = 10.7639104167
+#: Labels of each name that look for a number in the first round.
+FIRST_LABELS = 16
 
 
 def area_statement(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """A printed table of areas: keys, label (site_area, <floor>_floor), square_metres.
+    """A printed table of areas: keys, label (site_area, <floor>_floor), square_metres, and the printed value and whether it is in feet.
 
     texts: keys, pos, text, corners. A label takes the leftmost number with an area
     unit in its row, a row and a half high, not left of it; the first label with a number wins. Labels meet
-    numbers in bands of the page.
+    numbers in bands of the page, the first FIRST_LABELS of each name at first and
+    eight times as many in each further round, until every name has a number or no label is left.
     """
     band, middle = 12.0, (F.col("min_y") + F.col("max_y")) / 2
     floor = F.lower(F.regexp_extract("text", FLOOR_LABEL, 1))
@@ -126,9 +129,21 @@ def area_statement(texts: DataFrame, keys: list[str]) -> DataFrame:
     tall = F.greatest(F.col("max_y") - F.col("min_y"), F.lit(8.0)) * 1.5
     at = lambda y: F.floor(y / band).cast("long")
     names = texts.select(*keys, "pos", label.alias("label"), middle.alias("y"), tall.alias("tall"), F.col("min_x").alias("left")).where("label is not null")
+    names = names.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "label").orderBy("pos")))
     names = names.withColumn("band", F.explode(F.sequence(at(F.col("y") - F.col("tall")), at(F.col("y") + F.col("tall")))))
     number = F.regexp_extract("text", AREA_NUMBER, 1)
-    metres = F.when(F.regexp_extract("text", AREA_NUMBER, 2).rlike("(?i)ft"), F.round(number.try_cast("double") / SQUARE_FEET, 6)).otherwise(number.try_cast("double"))
-    cells = texts.where(number != "").select(*keys, at(middle).alias("band"), middle.alias("cy"), F.col("min_x").alias("cx"), F.col("pos").alias("cpos"), metres.alias("square_metres"))
-    met = names.join(cells, [*keys, "band"]).where((F.abs(F.col("cy") - F.col("y")) <= F.col("tall")) & (F.col("cx") >= F.col("left") - F.col("tall")))
-    return met.groupBy(*keys, "label").agg(F.min_by("square_metres", F.struct("pos", "cx", "cpos")).alias("square_metres"))
+    said = F.struct(number.try_cast("double").alias("value"), F.regexp_extract("text", AREA_NUMBER, 2).rlike("(?i)ft").alias("feet"))
+    cells = texts.where(number != "").select(*keys, at(middle).alias("band"), middle.alias("cy"), F.col("min_x").alias("cx"), F.col("pos").alias("cpos"), said.alias("said"))
+    names, cells = kept(names, "labels"), kept(cells, "numbers")
+    low, high, found, most = 0, FIRST_LABELS, None, names.agg(F.max("nth")).first()[0] or 0
+    while True:
+        some = names.where((F.col("nth") > low) & (F.col("nth") <= high))
+        some = some if found is None else some.join(found.select(*keys, "label"), [*keys, "label"], "left_anti")
+        met = some.join(cells, [*keys, "band"]).where((F.abs(F.col("cy") - F.col("y")) <= F.col("tall")) & (F.col("cx") >= F.col("left") - F.col("tall")))
+        best = kept(met.groupBy(*keys, "label").agg(F.min_by("said", F.struct("pos", "cx", "cpos")).alias("said")), "areas")
+        found = best if found is None else found.union(best)
+        if high >= most or names.where(F.col("nth") > high).join(found, [*keys, "label"], "left_anti").isEmpty():
+            break
+        low, high = high, high * 8
+    metres = F.when(F.col("said.feet"), F.round(F.col("said.value") / SQUARE_FEET, 6)).otherwise(F.col("said.value"))
+    return found.select(*keys, "label", metres.alias("square_metres"), "said.value", "said.feet")

@@ -300,3 +300,13 @@ def test_outliers_of_suppliers_over_ten_thousand_stay_apart(spark, tmp_path):
 def test_dimension_words_end_at_letters_of_any_script_or_of_ascii(spark):
     assert not one(spark, text.looks_like_dimension(F.lit("Leèm 3.5 m")))
     assert one(spark, text.looks_like_dimension(F.lit("Leèm 3.5 m"), ascii_words=True))
+
+
+def test_area_statement_keeps_the_printed_value_and_asks_later_labels(spark):
+    # Forty labels without a number in their row, then one with a number that lies on the edge of a thousandth.
+    labels = [("s", i, "Site Area", 0.0, 100.0 * i, 10.0, 100.0 * i + 8) for i in range(41)]
+    cells = [("s", 100, "1450.44 sq.ft", 20.0, 4000.0, 30.0, 4008.0), ("s", 101, "7 sqm", 40.0, 4000.0, 50.0, 4008.0)]
+    texts = spark.createDataFrame(labels + cells, "sheet string, pos long, text string, min_x double, min_y double, max_x double, max_y double")
+    got = spatial.area_statement(texts, ["sheet"]).collect()
+    assert [(r.label, r.square_metres, r.value, r.feet) for r in got] == [("site_area", round(1450.44 / spatial.SQUARE_FEET, 6), 1450.44, True)]
+    assert spatial.area_statement(texts.limit(0), ["sheet"]).count() == 0
