@@ -80,7 +80,4 @@ def drafting_inputs(chunks: DataFrame, questions: DataFrame, least: int = 3, k:
 
 def evaluate(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """The aggregates of every modality with a line of text each."""
-    found = evaluation.run_eval(truth, predictions)
-    lines = evaluation.text_report(found)
-    same = [found[c].eqNullSafe(lines[c]) for c in ("modality", "plan_id", "field")]
-    return found.join(lines, same).select(found["*"], lines["line"])
+    return evaluation.run_eval(truth, predictions).withColumn("line", evaluation.report_line())

@@ -166,9 +166,14 @@ def run_eval(truth: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = (
     return found.withColumnsRenamed({f"v_{k}": k for k in keys})
 
 
-def text_report(evaluated: DataFrame) -> DataFrame:
-    """A line of text for each row of run_eval."""
+def report_line() -> Column:
+    """The line of text of a row of run_eval."""
     share = lambda c: F.coalesce(F.format_string("%.1f%%", F.col(c) * 100), F.lit("n/a"))
     name = F.concat_ws(" ", "modality", F.coalesce("field", F.col("plan_id").cast("string"), F.lit("overall")))
     counts = F.format_string("correct %d wrong %d missing %d spurious %d", "n_correct", "n_wrong", "n_missing", "n_spurious")
-    return evaluated.select("modality", "plan_id", "field", F.concat(name, F.lit(": "), counts, F.lit(", answer rate "), share("answer_rate"), F.lit(", accuracy "), share("accuracy")).alias("line"))
+    return F.concat(name, F.lit(": "), counts, F.lit(", answer rate "), share("answer_rate"), F.lit(", accuracy "), share("accuracy"))
+
+
+def text_report(evaluated: DataFrame) -> DataFrame:
+    """A line of text for each row of run_eval."""
+    return evaluated.select("modality", "plan_id", "field", report_line().alias("line"))

@@ -320,3 +320,13 @@ def test_page_of_a_text_without_letters_keeps_its_space_in_the_digest(spark, tmp
     spark.createDataFrame([(1, "12 !"), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.page_num): r.digest for r in QUERIES["page_texts"](spark, str(tmp_path)).collect()}
     assert got == {(d, n): hashlib.md5(f"{t} {n}".encode()).hexdigest() for d, t in ((1, ""), (2, ""), (3, "a b")) for n in (1, 3)}
+
+
+def test_evaluation_lines_need_no_join_of_the_aggregates(spark):
+    from plumbline import engine
+
+    truth = spark.createDataFrame([(1, "plot.width", 5.0, "printed")], "plan_id long, field string, value double, tier string")
+    guess = spark.createDataFrame([("pdf", 1, "plot.width", 5.0, "HIGH", False)], "modality string, plan_id long, field string, value double, level string, flagged boolean")
+    found = engine.evaluate(truth, guess)
+    assert sorted(r.line.split(":")[0] for r in found.collect()) == ["pdf 1", "pdf overall", "pdf plot.width"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # truth with plans, and with predictions
