@@ -11,6 +11,7 @@ from plumbline.functions import geometry as g
 from plumbline.functions.text import dimension_candidate
 from plumbline.operators.candidates import captions
 from plumbline.operators.spatial import CORNERS
+from plumbline.sources.work import kept
 
 #: Labels of areas and ratios in order of precedence (field, pattern, unit), and the targets of a drawing.
 AREA_LABELS = [
@@ -23,6 +24,8 @@ TARGET_FIELDS = {"plot.area": "plot_area_gross", "plot.net_area": "plot_area_net
 INLINE, ANY_NUMBER = r"(?i)(\d+(?:\.\d+)?)\s*(?:sq\.?\s*m|sqm|m2|m²|smt)\b", r"(?<![\d.])(\d+(?:\.\d+)?)(?![\d.])(?!\s*%)"
 NUMBER_CELL, PERCENT_CELL = r"^(?:\d+(?:\.\d+)?|\.\d+)$", r"^(\d+(?:\.\d+)?)\s*%$"
 LEAST_AREA, MOST_COVERAGE, MOST_FAR, ROW_REACH = 10.0, 100.0, 10.0, 18.0
+#: What a point across rows and one along a row count in the choice of a label's cell.
+ACROSS, ALONG = 20.0, 0.01
 
 
 def inline_area(tail: Column) -> Column:
@@ -32,13 +35,33 @@ def inline_area(tail: Column) -> Column:
 
 
 def nearest_cell(labels: DataFrame, cells: DataFrame, keys: list[str], reach: float = ROW_REACH) -> DataFrame:
-    """keys, label, value: the cell (pos, x, y, value) right of each label (pos, right, y), in its row: nearness across rows counts most."""
-    band = lambda y, d=0: F.floor(y / reach).cast("long") + d
-    left = labels.select(*keys, F.col("pos").alias("label"), "right", F.col("y").alias("ly"), F.explode(F.array(*[band(F.col("y"), d) for d in (-1, 0, 1)])).alias("band"))
-    met = left.join(cells.select(*keys, F.col("pos").alias("cell"), "x", "y", "value", band(F.col("y")).alias("band")), [*keys, "band"])
-    met = met.where((F.col("cell") != F.col("label")) & (F.col("x") >= F.col("right")) & (F.abs(F.col("y") - F.col("ly")) <= reach))
-    cost = F.abs(F.col("y") - F.col("ly")) * 20.0 + (F.col("x") - F.col("right")) * 0.01
-    return met.groupBy(*keys, "label").agg(F.min_by("value", F.struct(F.bround(cost, 9), "cell")).alias("value"))
+    """keys, label, value: the cell (pos, x, y, value) right of each label (pos, right, y), in its row: nearness across rows counts most.
+
+    Labels of one place ask once, and of cells at one place only the first can be
+    nearest (the second, for a label that is a cell itself). They meet within a
+    small part of the reach first; a label whose cell costs less than any cell
+    farther across rows is settled, the others meet within a larger part.
+    """
+    place = [*keys, "right", "ly", "own"]
+    selves = cells.select(*keys, "pos").distinct().withColumn("self", F.lit(True))
+    own = F.when(F.col("self"), F.col("pos").cast("string")).otherwise("")
+    labels = labels.join(selves, [*keys, "pos"], "left").select(*keys, F.col("pos").alias("label"), F.col("right").cast("double").alias("right"), F.col("y").cast("double").alias("ly"), own.alias("own"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy("pos"))
+    cells = cells.withColumn("nth", nth).where("nth <= 2").select(*keys, F.col("pos").alias("cell"), "x", "y", "value")
+    labels, cells = kept(labels, "labels"), kept(cells, "cells")
+    left, done = kept(labels.select(*place).where("right is not null and ly is not null").distinct(), "places"), []
+    cost = F.bround(F.abs(F.col("y") - F.col("ly")) * ACROSS + (F.col("x") - F.col("right")) * ALONG, 9)
+    for part in (64, 8, 1):
+        near = reach / part
+        band = lambda y, d=0: F.floor(F.col(y) / near).cast("long") + d  # noqa: E731, B023
+        met = left.withColumn("band", F.explode(F.array(*[band("ly", d) for d in (-1, 0, 1)]))).join(cells.withColumn("band", band("y")), [*keys, "band"])
+        met = met.where((F.col("cell").cast("string") != F.col("own")) & (F.col("x") >= F.col("right")) & (F.abs(F.col("y") - F.col("ly")) <= near))
+        best = met.groupBy(*place).agg(F.min(F.struct(cost.alias("cost"), "cell", "value")).alias("best"))
+        if part > 1:
+            best = best.where(F.col("best.cost") < ACROSS * near - 1e-8)
+        done.append(kept(best, "nearest"))
+        left = left.join(done[-1].select(*place), place, "left_anti")
+    return labels.join(reduce(DataFrame.union, done), place).select(*keys, "label", F.col("best.value").alias("value"))
 
 
 def area_measurements(texts: DataFrame, keys: list[str]) -> DataFrame:

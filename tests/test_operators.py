@@ -330,3 +330,22 @@ def test_evaluation_lines_need_no_join_of_the_aggregates(spark):
     found = engine.evaluate(truth, guess)
     assert sorted(r.line.split(":")[0] for r in found.collect()) == ["pdf 1", "pdf overall", "pdf plot.width"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # truth with plans, and with predictions
+
+
+def test_nearest_cell_against_all_cells(spark, monkeypatch):
+    from plumbline.operators import sheets
+
+    rng = random.Random(5)
+    cells = [(s, i, rng.randrange(60) / 2, rng.choice([rng.randrange(80) / 2, rng.random() * 400]), float(i)) for s in range(2) for i in range(300)]
+    labels = [(s, i, rng.randrange(60) / 2, rng.choice([rng.randrange(80) / 2, rng.random() * 400])) for s in range(2) for i in range(200, 500)]
+    want = {}
+    for s, i, right, y in labels:
+        met = [(round(abs(cy - y) * 20 + (x - right) * 0.01, 9), c, v) for t, c, x, cy, v in cells if t == s and c != i and x >= right and abs(cy - y) <= 18]
+        if met:
+            want[s, i] = min(met)[2]
+    rows = spark.createDataFrame(labels, "sheet int, pos long, right double, y double"), spark.createDataFrame(cells, "sheet int, pos long, x double, y double, value double")
+    made = []
+    plain = sheets.kept
+    monkeypatch.setattr(sheets, "kept", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
+    assert {(r.sheet, r.label): r.value for r in sheets.nearest_cell(*rows, ["sheet"]).collect()} == want
+    assert [n for n, _ in made].count("nearest") == 3 and made[-1][1].count() < len(want) / 2  # most are settled near by
