@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,18 +266,51 @@ def resolved_scale(samples: Column, denominator: Column) -> dict[str, Column]:
     return {"points_per_metre": F.coalesce(printed, labelled), "trust": trust}
 
 
+#: Distances that are looked at together, at least one row of them.
+_AT_ONCE = 4_000_000
+
+
+def _best_notes(notes: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, place, denominator, o: for each place and denominator of its sheet, the order (keyword, squared distance, pos) of the best note.
+
+    Equal places ask once, and of equal notes the first counts. The others of a
+    sheet meet in blocks in one task, so that no pair is stored.
+    """
+    k = F.when(F.col("keyword"), 0).otherwise(1)
+    notes = notes.groupBy(*keys, "denominator", k.alias("k"), "x", "y").agg(F.min("pos").alias("pos"))
+    asked = places.select(*keys, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    type_of = dict(notes.dtypes)
+    key_types = ", ".join(f"`{c}` {type_of[c]}" for c in keys)
+
+    def meet(at: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=[*keys, "px", "py", "denominator", "k", "d", "p"])]
+        px, py = at[["px", "py"]].to_numpy(float).T
+        for denominator, rows in of.groupby("denominator", dropna=False):
+            rows = rows[rows.k == rows.k.min()].sort_values("pos")  # those that say so go before all others
+            x, y, pos = rows.x.to_numpy(float), rows.y.to_numpy(float), rows.pos.to_numpy()
+            step = max(1, _AT_ONCE // len(rows))
+            for i in range(0, len(at), step):
+                d = (x - px[i : i + step, None]) ** 2 + (y - py[i : i + step, None]) ** 2
+                d[np.isnan(d)] = -1.0  # unknown places go first, as nulls do
+                best = d.argmin(axis=1)
+                part = at.iloc[i : i + step].assign(denominator=denominator, k=int(rows.k.iloc[0]), d=d[np.arange(len(d)), best], p=pos[best])
+                out.append(part)
+        return pd.concat(out[1:] or out)[out[0].columns]
+
+    found = asked.distinct().groupBy(*keys).cogroup(notes.groupBy(*keys)).applyInPandas(meet, f"{key_types}, px double, py double, denominator {type_of['denominator']}, k int, d double, p {type_of['pos']}")
+    found = found.select(*[F.col(c).alias(f"f_{c}") for c in keys], "px", "py", "denominator", F.struct("k", "d", "p").alias("o"))
+    same = [F.col(c) == F.col(f"f_{c}") for c in keys] + [F.col("x").eqNullSafe(F.col("px")), F.col("y").eqNullSafe(F.col("py"))]
+    return places.select(*keys, F.col("id").alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(found, same).select(*keys, "place", "denominator", "o")
+
+
 def nearest_scale_note(notes: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
     """keys, place, denominator: for each place (id, x, y) the scale note (x, y, keyword, denominator, pos) nearest to it; notes that say so first."""
-    met = places.select(*keys, F.col("id").alias("place"), F.col("x").alias("px"), F.col("y").alias("py")).join(notes, keys)
-    order = F.struct(~F.col("keyword"), F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), "pos")
-    return met.groupBy(*keys, "place").agg(F.min_by("denominator", order).alias("denominator"))
+    return _best_notes(notes, places, keys).groupBy(*keys, "place").agg(F.min_by("denominator", "o").alias("denominator"))
 
 
 def distinct_scales(notes: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
     """keys, place, denominator, rank: the different scales to try for a place, best first, and last none (null)."""
-    met = places.select(*keys, F.col("id").alias("place"), F.col("x").alias("px"), F.col("y").alias("py")).join(notes, keys)
-    order = F.struct((~F.col("keyword")).alias("k"), F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("d"), F.col("pos").alias("p"))
-    per = met.groupBy(*keys, "place", "denominator").agg(F.min(order).alias("o"))
+    per = _best_notes(notes, places, keys)
     per = per.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "place").orderBy("o")) - 1).drop("o")
     last = places.select(*keys, F.col("id").alias("place")).join(per.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n")), [*keys, "place"], "left")
     return per.select(*keys, "place", "denominator", "rank").unionByName(last.select(*keys, "place", F.lit(None).cast("int").alias("denominator"), F.coalesce("n", F.lit(0)).cast("int").alias("rank")))

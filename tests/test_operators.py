@@ -349,3 +349,23 @@ def test_nearest_cell_against_all_cells(spark, monkeypatch):
     monkeypatch.setattr(sheets, "kept", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
     assert {(r.sheet, r.label): r.value for r in sheets.nearest_cell(*rows, ["sheet"]).collect()} == want
     assert [n for n, _ in made].count("nearest") == 3 and made[-1][1].count() < len(want) / 2  # most are settled near by
+
+
+def test_scale_notes_against_all_pairs(spark):
+    from plumbline.operators import dimensions
+
+    rng = random.Random(8)
+    at = lambda: float(rng.randrange(12))
+    notes = [(s, i, at(), at(), s == 1 and rng.random() < 0.3, rng.choice((50, 100, 200))) for s in range(2) for i in range(60)] + [(3, 1, 0.0, 0.0, True, 50)]
+    places = [(s, i, at(), at()) for s in range(3) for i in range(80)]
+    one_each = {}
+    for s, i, x, y in places:
+        ways = sorted((not k, (x - a) ** 2 + (y - b) ** 2, p, d) for t, p, a, b, k, d in notes if t == s)
+        one_each[s, i] = list(dict.fromkeys(w[3] for w in ways))
+    n = spark.createDataFrame(notes, "sheet int, pos long, x double, y double, keyword boolean, denominator int")
+    p = spark.createDataFrame(places, "sheet int, id long, x double, y double")
+    assert {(r.sheet, r.place): r.denominator for r in dimensions.nearest_scale_note(n, p, ["sheet"]).collect()} == {k: v[0] for k, v in one_each.items() if v}
+    found = dimensions.distinct_scales(n, p, ["sheet"])
+    assert {(r.sheet, r.place, r["rank"], r.denominator) for r in found.collect()} == {(*k, j, d) for k, v in one_each.items() for j, d in enumerate([*v, None])}
+    pairs = [j for j in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in j and "px" not in j and "LeftOuter" not in j]
+    assert not pairs  # places meet no notes in a join
