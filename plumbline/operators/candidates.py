@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,18 +152,46 @@ def decide_structure(hypotheses: DataFrame, keys: list[str], least: float, high:
     return rows.select(*keys, "decision", F.when(F.col("decision") == "ACCEPT", F.col("id")).alias("accepted"), "level")
 
 
+#: Distances that are looked at together, at least one row of them.
+AT_ONCE = 4_000_000
+
+
 def borrowed_road(plots: DataFrame, roads: DataFrame, keys: list[str], reach: float = 3.0, margin: float = 0.25) -> DataFrame:
     """keys, plot, road, distance: the road of another region nearest to a plot (id, corners), by the middles of their boxes.
 
-    None beyond `reach` diagonals of the plot, nor where a second road is nearly as near.
+    None beyond `reach` diagonals of the plot, nor where a second road is nearly as near. Plots with one
+    middle ask once; middles of a sheet meet in blocks in one task, so no pair is stored.
     """
-    middle = lambda s, a: (F.col(f"{s}_min_{a}") + F.col(f"{s}_max_{a}")) / 2
-    side = lambda df, s: df.select(*keys, F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in CORNERS])
-    met = side(plots, "plot").join(side(roads, "road"), keys).where("plot != road")
-    met = met.withColumn("distance", F.hypot(middle("plot", "x") - middle("road", "x"), middle("plot", "y") - middle("road", "y"))).withColumn("diagonal", F.hypot(F.col("plot_max_x") - F.col("plot_min_x"), F.col("plot_max_y") - F.col("plot_min_y")))
-    order = Window.partitionBy(*keys, "plot").orderBy("distance", "road")
-    met = met.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("distance").over(order))
-    fits = (F.col("nth") == 1) & (F.col("diagonal") > 1e-9) & (F.col("distance") <= reach * F.col("diagonal")) & (F.col("next").isNull() | (F.col("next") > F.col("distance") * (1 + margin)))
+    x, y = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
+    diagonal = F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    plots = plots.select(*keys, F.col("id").alias("plot"), x.alias("px"), y.alias("py"), diagonal.alias("diagonal")).where("diagonal > 1e-9")
+    nth = F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy("road"))
+    # Of roads with one middle the first three are enough, as a plot may be one of them and two are asked for.
+    roads = roads.select(*keys, F.col("id").alias("road"), x.alias("x"), y.alias("y")).withColumn("nth", nth).where("nth <= 3").drop("nth")
+    type_of = dict(roads.dtypes)
+
+    def meet(at: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values("road")
+        rx, ry, road = of.x.to_numpy(float), of.y.to_numpy(float), of.road.to_numpy()
+        out = [pd.DataFrame(columns=[*at.columns, "road", "d"])]
+        step = max(1, AT_ONCE // max(1, len(of)))
+        for i in range(0, len(at) if len(of) else 0, step):
+            some = at.iloc[i : i + step]
+            d = (rx - some.px.to_numpy(float)[:, None]) ** 2 + (ry - some.py.to_numpy(float)[:, None]) ** 2
+            row = np.arange(len(some))
+            for _ in range(min(3, len(of))):  # the nearest, of equals the first; then the next
+                best = d.argmin(axis=1)
+                out.append(some.assign(road=road[best], d=np.sqrt(d[row, best])))
+                d[row, best] = np.inf
+        return pd.concat(out[1:] or out)[out[0].columns]
+
+    places = plots.select(*keys, "px", "py").where("px is not null and py is not null").distinct()
+    near = places.groupBy(*keys).cogroup(roads.where("x is not null and y is not null").groupBy(*keys)).applyInPandas(meet, ", ".join(f"`{c}` {type_of[c]}" for c in keys) + f", px double, py double, road {type_of['road']}, d double")
+    per = near.groupBy(*keys, "px", "py").agg(F.array_sort(F.collect_list(F.struct("d", "road"))).alias("near"))
+    met = plots.join(per, [*keys, "px", "py"]).withColumn("near", F.filter("near", lambda r: r["road"] != F.col("plot")))
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    met = met.select(*keys, "plot", "diagonal", first["road"].alias("road"), first["d"].alias("distance"), second["d"].alias("next"))
+    fits = (F.col("distance") <= reach * F.col("diagonal")) & (F.col("next").isNull() | (F.col("next") > F.col("distance") * (1 + margin)))
     return met.where(fits).select(*keys, "plot", "road", "distance")
 
 

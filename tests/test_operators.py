@@ -369,3 +369,23 @@ def test_scale_notes_against_all_pairs(spark):
     assert {(r.sheet, r.place, r["rank"], r.denominator) for r in found.collect()} == {(*k, j, d) for k, v in one_each.items() for j, d in enumerate([*v, None])}
     pairs = [j for j in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in j and "px" not in j and "LeftOuter" not in j]
     assert not pairs  # places meet no notes in a join
+
+
+def test_borrowed_roads_against_all_pairs(spark, monkeypatch):
+    from plumbline.operators import candidates
+
+    monkeypatch.setattr(candidates, "AT_ONCE", 50)
+    rng = random.Random(4)
+    box = lambda s, i: (s, i, *(lambda x, y, w: (x, y, x + w, y + w))(*(float(rng.randrange(n)) for n in (30, 30)), float(rng.randrange(1, 4))))
+    every = [box(s, i) for s in range(3) for i in range(12)] + [(0, 50, 9.0, 9.0, 10.0, 10.0), (0, 51, 9.0, 9.0, 10.0, 10.0)]
+    plots, roads = [b for b in every if b[1] % 3 < 2], [b for b in every if b[1] % 4 == 0 or b[1] > 40]
+    roads = [b for b in roads if b[0] != 2]
+    want = set()
+    for s, i, x0, y0, x1, y1 in plots:
+        d = sorted((math.sqrt(((x0 + x1 - a - c) / 2) ** 2 + ((y0 + y1 - b - e) / 2) ** 2), r) for t, r, a, b, c, e in roads if t == s and r != i)
+        if d and d[0][0] <= 3 * math.hypot(x1 - x0, y1 - y0) and (len(d) == 1 or d[1][0] > d[0][0] * 1.25):
+            want.add((s, i, d[0][1]))
+    ddl = "sheet int, id long, min_x double, min_y double, max_x double, max_y double"
+    found = candidates.borrowed_road(spark.createDataFrame(plots, ddl), spark.createDataFrame(roads, ddl), ["sheet"])
+    assert want and {(r.sheet, r.plot, r.road) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # plots with what was found for their middles
