@@ -76,14 +76,18 @@ def glyph_swarm(items: DataFrame, keys: list[str], position: str, least: int = 5
 
 
 def nearest_right(labels: DataFrame, cells: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """For each label the nearest cell to its right in the same row of its page."""
-    bucket = lambda df, ys: df.withColumn("row", F.explode(ys))
-    y = F.floor(F.col("y") / tolerance).cast("long")
-    left = labels.withColumn("row", y).select(*keys, "row", F.col("id").alias("label"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    right = bucket(cells, F.array(y - 1, y, y + 1)).select(*keys, "row", F.col("id").alias("cell"), F.col("x").alias("cx"), F.col("y").alias("cy"), "value")
-    met = left.join(right, [*keys, "row"]).where((F.abs(F.col("ly") - F.col("cy")) <= tolerance) & (F.col("cx") > F.col("lx")))
-    best = met.groupBy(*keys, "label").agg(F.min_by(F.struct("cell", "value"), F.struct(F.col("cx") - F.col("lx"), "cell")).alias("best"))
-    return best.select(*keys, "label", "best.cell", "best.value")
+    """For each label the nearest cell to its right in the same row of its page.
+
+    Labels of one place ask once, and of cells at one place only the first can be nearest.
+    """
+    places = labels.select(*keys, F.col("x").alias("lx"), F.col("y").alias("ly")).distinct().withColumn("row", F.floor(F.col("ly") / tolerance).cast("long"))
+    firsts = cells.groupBy(*keys, F.col("x").alias("cx"), F.col("y").alias("cy")).agg(F.min(F.struct(F.col("id").alias("cell"), "value")).alias("first"))
+    row = F.floor(F.col("cy") / tolerance).cast("long")
+    met = places.join(firsts.withColumn("row", F.explode(F.array(row - 1, row, row + 1))), [*keys, "row"])
+    met = met.where((F.abs(F.col("ly") - F.col("cy")) <= tolerance) & (F.col("cx") > F.col("lx")))
+    best = met.groupBy(*keys, "lx", "ly").agg(F.min_by("first", F.struct(F.col("cx") - F.col("lx"), F.col("first.cell"))).alias("best"))
+    found = labels.select(*keys, F.col("id").alias("label"), F.col("x").alias("lx"), F.col("y").alias("ly")).join(best, [*keys, "lx", "ly"])
+    return found.select(*keys, "label", "best.cell", "best.value")
 
 
 def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:

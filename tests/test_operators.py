@@ -389,3 +389,15 @@ def test_borrowed_roads_against_all_pairs(spark, monkeypatch):
     found = candidates.borrowed_road(spark.createDataFrame(plots, ddl), spark.createDataFrame(roads, ddl), ["sheet"])
     assert want and {(r.sheet, r.plot, r.road) for r in found.collect()} == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # plots with what was found for their middles
+
+
+def test_nearest_right_asks_once_for_equal_places(spark):
+    labels = [("s", i, float(i % 3), 10.0 * (i % 2)) for i in range(200)]
+    cells = [("s", 1000 + i, float(i % 7), 10.0 * (i % 2) + i % 3, float(i)) for i in range(300)]
+    want = {}
+    for _, i, x, y in labels:
+        want[i] = min((cx - x, c, v) for _, c, cx, cy, v in cells if cx > x and abs(cy - y) <= 2)[1:]
+    l, c = spark.createDataFrame(labels, "sheet string, id long, x double, y double"), spark.createDataFrame(cells, "sheet string, id long, x double, y double, value double")  # noqa: E741
+    found = spatial.nearest_right(l, c, ["sheet"], 2.0)
+    assert {r.label: (r.cell, r.value) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # places, cells, and the best of their pairs
