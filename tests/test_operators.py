@@ -401,3 +401,40 @@ def test_nearest_right_asks_once_for_equal_places(spark):
     found = spatial.nearest_right(l, c, ["sheet"], 2.0)
     assert {r.label: (r.cell, r.value) for r in found.collect()} == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # places, cells, and the best of their pairs
+
+
+def _random_boxes(seed, n=300):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    low, size = rng.integers(0, 30, (n, 2)), rng.integers(1, 9, (n, 2))
+    return np.concatenate([low, low + size], axis=1).astype(float)
+
+
+@pytest.mark.parametrize("table", [1 << 24, 0])
+def test_nesting_forms_no_pairs(spark, monkeypatch, table):
+    import numpy as np
+
+    monkeypatch.setattr(spatial, "TABLE", table)
+    monkeypatch.setattr(spatial, "CELL_COST", 1e-3)
+    monkeypatch.setattr(spatial, "AT_ONCE", 1 << 14)
+    c = np.unique(_random_boxes(1), axis=0)
+    n, area = np.arange(len(c)) % 3 + 1, (c[:, 2] - c[:, 0]) * (c[:, 3] - c[:, 1])
+    holds = np.array([[a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3] for b in c] for a in c])
+    held, holder = spatial.held_and_holder(c, n, area)
+    assert (held == holds @ n).all() and (holder == np.where(holds, area[:, None], -1).max(axis=0)).all()
+    label = spatial.nested_groups(c)
+    links = holds | holds.T
+    root = np.arange(len(c))
+    for _ in range(len(c)):
+        root = np.where(links, root[None, :], len(c)).min(axis=1)
+    assert len(set(zip(label.tolist(), root.tolist(), strict=True))) == len(set(label.tolist())) == len(set(root.tolist()))
+
+
+def test_equal_boxes_and_boxes_without_a_corner_in_nesting(spark):
+    rows = [("s", 5, 0.0, 0.0, 9.0, 9.0), ("s", 3, 0.0, 0.0, 9.0, 9.0), ("s", 4, 1.0, 1.0, 2.0, 2.0), ("s", 7, None, 1.0, 2.0, 2.0), ("t", 1, 0.0, 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "sheet string, id long, min_x double, min_y double, max_x double, max_y double")
+    assert sorted(tuple(r) for r in spatial.nested_components(boxes, ["sheet"]).collect()) == [("s", 3, 3), ("s", 4, 3), ("s", 5, 3), ("s", 7, 7), ("t", 1, 1)]
+    assert [tuple(r) for r in spatial.plot_role(boxes, ["sheet"]).collect()] == [("s", 3, 2)]
+    for name in ("plot_role", "nested_components"):
+        assert "cx" not in getattr(spatial, name)(boxes, ["sheet"])._jdf.queryExecution().optimizedPlan().toString()
