@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
-from plumbline.operators.spatial import CORNERS, box_pairs
+from plumbline.operators.spatial import CORNERS, nesting
 
 #: Shares of a plot that a building's box may take, its longest aspect, and words of rooms.
 BUILDING_SHARE, BUILDING_ASPECT, NESTED_SHARE = (0.01, 0.92), 8.0, 0.98
@@ -84,14 +84,14 @@ def plot_scores(candidates: DataFrame, keys: list[str]) -> DataFrame:
     the last). A box inside a larger one of its sheet is nested; one that holds
     four others and half of them is a border.
     """
-    held = box_pairs(candidates, keys, ordered=True).where(g.bbox_contains("a", "b")).groupBy(*keys, F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("held"))
+    held = nesting(candidates, keys).select(*keys, *CORNERS, "held")
     n = candidates.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("others"))
-    rows = candidates.join(held, [*keys, "id"], "left").join(n, keys)
+    rows = candidates.join(held, [*keys, *CORNERS], "left").join(n, keys)
     rows = rows.where(~F.coalesce((F.col("held") >= BORDER[0]) & (F.col("held") / F.col("others") >= BORDER[1]), F.lit(False))).drop("held", "others")
-    larger = g.bbox_area("a") > 1.02 * g.bbox_area("b")
-    nested = box_pairs(rows.select(*keys, "id", *CORNERS), keys, ordered=True).where(g.bbox_contains("a", "b") & larger).select(*keys, F.col("b").alias("id")).distinct().withColumn("nested", F.lit(True))
+    own = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    nested = nesting(rows, keys).where(F.col("holder") > 1.02 * own).select(*keys, *CORNERS, F.lit(True).alias("nested"))
     most = rows.groupBy(*keys[:-1]).agg(F.max("area").alias("most"))
-    rows = rows.join(nested, [*keys, "id"], "left").join(most, keys[:-1]) if keys[:-1] else rows.join(nested, [*keys, "id"], "left").crossJoin(F.broadcast(most))
+    rows = rows.join(nested, [*keys, *CORNERS], "left").join(most, keys[:-1]) if keys[:-1] else rows.join(nested, [*keys, *CORNERS], "left").crossJoin(F.broadcast(most))
     slender = g.aspect_ratio(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     rows = rows.withColumns({
         "area_rank": F.coalesce(F.try_divide("area", "most"), F.lit(0.0)),
