@@ -30,29 +30,54 @@ def page_frame(page_width: Column, page_height: Column, touch: float = 4.0, shar
     return (page_width > 0) & (page_height > 0) & (w * h / (page_width * page_height) >= share) & (n >= 2)
 
 
+def first_outside(corners: np.ndarray) -> np.ndarray:
+    """Which boxes (n, 4), in order, stay: those that no box before them that stays holds, 1 at most beyond its sides and larger by 2 %.
+
+    The head of the list stays and strikes what it holds; an equal one after it finds nothing left to strike.
+    """
+    stays, left = np.zeros(len(corners), bool), np.arange(len(corners))
+    c = np.ascontiguousarray(corners.T)
+    area, struck = (c[2] - c[0]) * (c[3] - c[1]), set()
+    while len(left):
+        i, left = left[0], left[1:]
+        stays[i] = True
+        own = tuple(c[:, i].tolist())
+        if own in struck:
+            continue
+        struck.add(own)
+        b = c[:, left]
+        held = (b[0] >= own[0] - 1) & (b[1] >= own[1] - 1) & (b[2] <= own[2] + 1) & (b[3] <= own[3] + 1) & (area[left] < area[i] * NESTED_SHARE)
+        left = left[~held] if held.any() else left
+    return stays
+
+
 def filter_buildings(boxes: DataFrame, plots: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """Every building candidate (keys, id, pos, corners) with the reason for which it falls, null if it stays.
 
     plots: keys, area (or no row); labels: keys, text, corners. In this order: too
     slender, as large as the plot, too small for it, beside the name of a room,
     inside a candidate before it that stays. The last is decided in order of pos
-    among the candidates of a sheet that hold one another, which are few.
+    in one task a sheet, where a kept box strikes all later ones that it holds at once.
     """
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
     rows = boxes.join(plots.select(*keys, F.col("area").alias("plot_area")), keys, "left")
     share = w * h / F.col("plot_area")
     rows = rows.withColumn("reason", F.when(g.aspect_ratio(w, h) > BUILDING_ASPECT, "SLENDER").when(share >= BUILDING_SHARE[1], "PLOT").when(share < BUILDING_SHARE[0], "SMALL"))
-    named = labels.where(F.col("text").rlike(ROOMS)).select(*keys, *[F.col(c).alias(f"t_{c}") for c in CORNERS])
+    named = labels.where(F.col("text").rlike(ROOMS)).select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t_{c}") for c in CORNERS]).distinct()
     box = rows.where("reason is null").select(*keys, "id", *[F.col(c).alias(f"b_{c}") for c in CORNERS])
-    beside = box.join(named, keys).where(g.bbox_gap("b", "t") <= 0.15 * F.greatest(F.col("b_max_x") - F.col("b_min_x"), F.col("b_max_y") - F.col("b_min_y")))
-    rooms = beside.select(*keys, "id").distinct().withColumn("room", F.lit(True))
+    near = g.bbox_gap("b", "t") <= 0.15 * F.greatest(F.col("b_max_x") - F.col("b_min_x"), F.col("b_max_y") - F.col("b_min_y"))
+    # A semi-join: a box looks no farther than its first label.
+    rooms = box.join(named, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"t_{k}") for k in keys], near), "left_semi").select(*keys, "id").distinct().withColumn("room", F.lit(True))
     rows = rows.join(rooms, [*keys, "id"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("room"), "ROOM"))).drop("room", "plot_area")
-    # Kept boxes fold in order: a box falls if a kept one before it holds it.
-    listed = rows.where("reason is null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "id", *CORNERS))).alias("all"))
-    area = lambda s: (s["max_x"] - s["min_x"]) * (s["max_y"] - s["min_y"])
-    holds = lambda k, b: (b["min_x"] >= k["min_x"] - 1) & (b["min_y"] >= k["min_y"] - 1) & (b["max_x"] <= k["max_x"] + 1) & (b["max_y"] <= k["max_y"] + 1) & (area(b) < area(k) * NESTED_SHARE)
-    kept = F.aggregate(F.slice("all", 2, 1 << 30), F.slice("all", 1, 1), lambda kept, b: F.when(F.exists(kept, lambda k: holds(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
-    stay = listed.select(*keys, F.inline(kept)).select(*keys, "id", F.lit(True).alias("stays"))
+    order = dict(rows.dtypes)
+
+    def stay_of(sheet: pd.DataFrame) -> pd.DataFrame:
+        sheet = sheet.sort_values(["pos", "id"])
+        return sheet.loc[first_outside(sheet[list(CORNERS)].to_numpy(float)), [*keys, "id"]]
+
+    few = rows.where("reason is null").select(*keys, "pos", "id", *CORNERS)
+    types = ", ".join(f"`{k}` {order[k]}" for k in [*keys, "id"])
+    stay = few.groupBy(*keys).applyInPandas(stay_of, types).withColumn("stays", F.lit(True))
     out = rows.join(stay, [*keys, "id"], "left")
     return out.select(*boxes.columns, F.coalesce("reason", F.when(F.col("stays").isNull(), "NESTED")).alias("reason"))
 

@@ -438,3 +438,14 @@ def test_equal_boxes_and_boxes_without_a_corner_in_nesting(spark):
     assert [tuple(r) for r in spatial.plot_role(boxes, ["sheet"]).collect()] == [("s", 3, 2)]
     for name in ("plot_role", "nested_components"):
         assert "cx" not in getattr(spatial, name)(boxes, ["sheet"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boxes_fall_by_those_before_them_that_stay():
+    from plumbline.operators.candidates import first_outside
+
+    c = _random_boxes(3, 400)
+    area, kept = (c[:, 2] - c[:, 0]) * (c[:, 3] - c[:, 1]), []
+    for i, b in enumerate(c):
+        if not any(b[0] >= k[0] - 1 and b[1] >= k[1] - 1 and b[2] <= k[2] + 1 and b[3] <= k[3] + 1 and area[i] < area[j] * 0.98 for j, k in ((j, c[j]) for j in kept)):
+            kept.append(i)
+    assert first_outside(c).nonzero()[0].tolist() == kept
