@@ -118,9 +118,10 @@ def mcnemar(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Exact two-sided McNemar test on paired booleans: discordant counts and p."""
     g = pairs.groupBy(*keys).agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
     n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # Logarithms of binomial terms by running sums of log((n - i) / (i + 1)).
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(F.aggregate(F.when(i > 0, F.sequence(F.lit(0).cast("long"), i - 1)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, j: s + F.log((n - j) / (j + 1))) - n * F.log(F.lit(2.0))))
-    p = F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))
+    # One pass: the logarithm of a binomial term is a running sum of log((n - i) / (i + 1)).
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct((s["log"] + F.log((n - i) / (i + 1))).alias("log"), (s["sum"] + F.exp(s["log"] - n * F.log(F.lit(2.0)))).alias("sum"))
+    p = F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, step, lambda s: s["sum"]))
     return g.select(*keys, "only_a", "only_b", F.when(n == 0, 1.0).otherwise(p).alias("p_value"))
 
 

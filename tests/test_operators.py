@@ -449,3 +449,23 @@ def test_boxes_fall_by_those_before_them_that_stay():
         if not any(b[0] >= k[0] - 1 and b[1] >= k[1] - 1 and b[2] <= k[2] + 1 and b[3] <= k[3] + 1 and area[i] < area[j] * 0.98 for j, k in ((j, c[j]) for j in kept)):
             kept.append(i)
     assert first_outside(c).nonzero()[0].tolist() == kept
+
+
+def test_mcnemar_takes_many_discordant_pairs(spark):
+    started = datetime.datetime.now()
+    pairs = spark.range(60000).select((F.col("id") % 2 == 0).alias("a"), (F.col("id") % 2 != 0).alias("b"))
+    row = scoring.mcnemar(pairs, "a", "b").first()
+    assert (row.only_a, row.only_b, row.p_value) == (30000, 30000, 1.0)
+    few = spark.range(10).select((F.col("id") < 2).alias("a"), (F.col("id") >= 2).alias("b"))
+    assert scoring.mcnemar(few, "a", "b").first().p_value == pytest.approx(2 * (1 + 10 + 45) / 1024)
+    assert (datetime.datetime.now() - started).total_seconds() < 15
+
+
+def test_gated_aggregates_go_through_the_scores_once(spark):
+    from plumbline.operators import evaluation
+
+    rows = [(1, "plot.width", 2.0, 2.0, "HIGH", False, "WRONG"), (1, "coverage", 1.0, 1.0, "HIGH", False, "CORRECT"), (None, "plot.width", 2.0, 9.0, "LOW", False, "WRONG"), (None, "coverage", 2.0, 2.0, "LOW", False, "CORRECT")]
+    scores = spark.createDataFrame(rows, "plan_id long, field string, truth double, predicted double, level string, flagged boolean, status string")
+    found = evaluation.gated_aggregates(scores)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["view"] for r in found.collect()} == {"all_plans", "boundary_resolved_only"}
