@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import measures as m
@@ -20,8 +20,8 @@ def gated_aggregates(scores: DataFrame) -> DataFrame:
     Whole plans are left out, never single fields. One pass: each plan's row set
     is counted for one or both views.
     """
-    bad = scores.where(F.col("field").isin(*BOUNDARY) & F.col("truth").isNotNull() & (F.col("status") != "CORRECT")).select("plan_id").distinct().withColumn("bad", F.lit(True))
-    rows = scores.join(bad, "plan_id", "left")
+    bad = F.col("field").isin(*BOUNDARY) & F.col("truth").isNotNull() & (F.col("status") != "CORRECT") & F.col("plan_id").isNotNull()
+    rows = scores.withColumn("bad", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy("plan_id")))
     views = F.when(F.col("bad"), F.array(F.lit("all_plans"))).otherwise(F.array(F.lit("all_plans"), F.lit("boundary_resolved_only")))
     return scoring.aggregate(rows.withColumn("view", F.explode(views)), "view")
 
