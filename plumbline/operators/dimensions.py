@@ -44,30 +44,45 @@ def with_noted_unit(raw: Column, value: Column, unit: Column, noted: Column) ->
     return F.coalesce(unit, F.when(raw.contains(".") & value.between(*PLAUSIBLE), noted))
 
 
-def near_lines(items: DataFrame, lines: DataFrame, keys: list[str], reach: float = REACH, cell: float = 64.0) -> DataFrame:
-    """keys, item, line, distance, score, rank of every line within reach of a text's middle, the most likely first.
-
-    items: keys, id, x, y, angle (may be null); lines: keys, id, x1..y2. Both meet
-    in the grid cells that a line's box touches once grown by the reach; a pair
-    counts in the cell of its text, so once.
-    """
-    at = lambda c, d=0.0: F.floor((F.col(c) + d) / cell).cast("long")
+def _scored_lines(items: DataFrame, lines: DataFrame, keys: list[str], reach: float, cell: float) -> DataFrame:
+    """keys, item, line, distance, score of every line within reach of a text's middle."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
     low, high = lambda a, b: F.least(a, b), lambda a, b: F.greatest(a, b)
     span = lambda a, b: F.explode(F.sequence(F.floor((low(a, b) - reach) / cell).cast("long"), F.floor((high(a, b) + reach) / cell).cast("long")))
-    spread = lines.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2")).withColumnRenamed("id", "line")
+    spread = lines.select(*keys, F.col("id").alias("line"), "x1", "y1", "x2", "y2").withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
     met = items.select(*keys, F.col("id").alias("item"), "x", "y", "angle", at("x").alias("cx"), at("y").alias("cy")).join(spread, [*keys, "cx", "cy"])
     met = met.withColumn("distance", g.point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("distance") <= reach)
     way = g.orientation_alignment(g.orientation_degrees(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.pmod(F.col("angle"), F.lit(180.0)))
     length = F.least(F.lit(1.0), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 20.0)
     near, along, long = WEIGHTS
-    met = met.withColumn("score", near * F.greatest(F.lit(0.0), 1.0 - F.col("distance") / reach) + along * F.coalesce(way, F.lit(0.5)) + long * length)
+    score = near * F.greatest(F.lit(0.0), 1.0 - F.col("distance") / reach) + along * F.coalesce(way, F.lit(0.5)) + long * length
+    return met.select(*keys, "item", "line", "distance", score.alias("score"))
+
+
+def near_lines(items: DataFrame, lines: DataFrame, keys: list[str], reach: float = REACH, cell: float = 64.0) -> DataFrame:
+    """keys, item, line, distance, score, rank of every line within reach of a text's middle, the most likely first.
+
+    items: keys, id, x, y, angle (may be null); lines: keys, id, x1..y2. Both meet
+    in the grid cells that a line's box touches once grown by the reach; a pair
+    counts in the cell of its text, so once.
+    """
     order = Window.partitionBy(*keys, "item").orderBy(F.desc("score"), "line")
-    return met.select(*keys, "item", "line", "distance", "score").withColumn("rank", F.row_number().over(order) - 1)
+    return _scored_lines(items, lines, keys, reach, cell).withColumn("rank", F.row_number().over(order) - 1)
 
 
-def best_line(items: DataFrame, lines: DataFrame, keys: list[str], reach: float = REACH, least: float = LEAST_TRUST) -> DataFrame:
-    """keys, item, line: the most likely line of each text, if it is near enough to be trusted."""
-    return near_lines(items, lines, keys, reach).where((F.col("rank") == 0) & (1.0 - F.col("distance") / reach >= least)).select(*keys, "item", "line")
+def best_line(items: DataFrame, lines: DataFrame, keys: list[str], reach: float = REACH, least: float = LEAST_TRUST, cell: float = 64.0) -> DataFrame:
+    """keys, item, line, distance, score: the most likely line of each text, if it is near enough to be trusted.
+
+    Texts of one place and angle ask once, and of equal lines only the first can be
+    the most likely. A text's pairs are reduced where they are made.
+    """
+    firsts = lines.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min("id").alias("id"))
+    places = items.groupBy(*keys, "x", "y", "angle").agg(F.min("id").alias("id"))
+    best = _scored_lines(places, firsts, keys, reach, cell).groupBy(*keys, F.col("item").alias("at")).agg(F.min_by(F.struct("line", "distance", "score"), F.struct(-F.col("score"), "line")).alias("best"))
+    best = best.where(1.0 - F.col("best.distance") / reach >= least).select(*keys, "at", "best.*")
+    place = places.select(*[F.col(k).alias(f"p_{k}") for k in [*keys, "x", "y", "angle"]], F.col("id").alias("at"))
+    of = items.join(place, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in [*keys, "x", "y", "angle"]])).select(*keys, F.col("id").alias("item"), "at")
+    return of.join(best, [*keys, "at"]).select(*keys, "item", "line", "distance", "score")
 
 
 def longest(lines: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -469,3 +469,18 @@ def test_gated_aggregates_go_through_the_scores_once(spark):
     found = evaluation.gated_aggregates(scores)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["view"] for r in found.collect()} == {"all_plans", "boundary_resolved_only"}
+
+
+def test_best_line_asks_once_for_equal_texts(spark):
+    from plumbline.operators import dimensions
+
+    rng = random.Random(7)
+    items = [("s", i, float(rng.randrange(30)), float(rng.randrange(20)), rng.choice([None, 0.0, 45.0, 90.0])) for i in range(200)]
+    ends = [(float(rng.randrange(30)), float(rng.randrange(20)), float(rng.randrange(1, 9))) for _ in range(40)]
+    lines = [("s", 1000 - i, x, y, x + w, y) for i, (x, y, w) in enumerate(ends + ends)]
+    items = spark.createDataFrame(items, "sheet string, id long, x double, y double, angle double")
+    lines = spark.createDataFrame(lines, "sheet string, id long, x1 double, y1 double, x2 double, y2 double")
+    best = dimensions.best_line(items, lines, ["sheet"], reach=6.0, cell=8.0)
+    assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
+    want = dimensions.near_lines(items, lines, ["sheet"], reach=6.0, cell=8.0).where((F.col("rank") == 0) & (1 - F.col("distance") / 6.0 >= 0.35)).drop("rank")
+    assert sorted(best.collect()) == sorted(want.collect())
