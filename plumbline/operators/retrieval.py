@@ -26,6 +26,19 @@ def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
     return tokenised(chunks, text).select("pos", "length", F.explode("t").alias("term")).groupBy("pos", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def mean_idf(idf: DataFrame) -> DataFrame:
+    """mean: one row, the mean of raw over all words (term, df, raw).
+
+    Words of equal df have the same raw, so each df is a term of the sum, times its
+    words, and the terms are added in order of df: the mean doesn't depend on how
+    rows are dealt, and its error on the number of dfs, not of words.
+    """
+    each = idf.groupBy("df").agg(F.count(F.lit(1)).alias("words"), F.min("raw").alias("raw"))
+    listed = each.agg(F.array_sort(F.collect_list(F.struct("df", "words", "raw"))).alias("all"), F.sum("words").alias("n"))
+    total = F.aggregate("all", F.lit(0.0), lambda s, e: s + e["words"] * e["raw"])
+    return listed.select(F.when(F.col("n") > 0, total / F.col("n")).alias("mean"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, pos, score of every chunk that shares a term with a query.
 
@@ -37,7 +50,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     idf = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
     idf = idf.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.agg(F.avg("raw").alias("mean"))  # one row
+    floor = mean_idf(idf)
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     weight = asked.join(idf, "term").crossJoin(F.broadcast(floor))
     weight = weight.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))).select("query_id", "term", "idf", "mean_length")

@@ -484,3 +484,16 @@ def test_best_line_asks_once_for_equal_texts(spark):
     assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
     want = dimensions.near_lines(items, lines, ["sheet"], reach=6.0, cell=8.0).where((F.col("rank") == 0) & (1 - F.col("distance") / 6.0 >= 0.35)).drop("rank")
     assert sorted(best.collect()) == sorted(want.collect())
+
+
+def test_bm25_mean_idf_is_exact_for_many_rare_words(spark):
+    # 300,000 words of one chunk each, added one by one, drift by far more than the last digits
+    n, each = 3, 100_000
+    rare = [" ".join(f"w{i}x{j}" for j in range(each)) for i in range(n)]
+    chunks = spark.createDataFrame([(i, f"the {rare[i]}") for i in range(n)], "pos long, text string").coalesce(1)
+    asked = spark.createDataFrame([(0, "the")], "query_id long, query string")
+    raw = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    mean = math.fsum([raw(1)] * (n * each) + [raw(n)]) / (n * each + 1)
+    want = retrieval.EPSILON * mean * (retrieval.K1 + 1) / (1 + retrieval.K1)
+    for row in retrieval.bm25(chunks, asked).collect():
+        assert abs(row.score / want - 1) < 1e-15
