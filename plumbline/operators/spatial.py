@@ -33,9 +33,18 @@ def box_pairs(boxes: DataFrame, keys: list[str], reach: float = 0.0, cell: float
     return met.drop("cx", "cy", "a_x0", "a_y0", "b_x0", "b_y0")
 
 
-def containment_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordered pairs (a, b) of a sheet where box a holds box b."""
-    return box_pairs(boxes, keys, ordered=True).where(g.bbox_contains("a", "b")).select(*keys, "a", "b")
+def containment_edges(boxes: DataFrame, keys: list[str], cell: float = 8.0) -> DataFrame:
+    """Ordered pairs (a, b) of a sheet where box a holds box b.
+
+    The first corner of a held box lies in its holder, so a held box stands in the
+    grid cell of that corner alone and meets the boxes that touch the cell: a pair once.
+    """
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    side = lambda s: [*keys, F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in CORNERS]]
+    a = boxes.select(*side("a"), F.explode(F.sequence(at("min_x"), at("max_x"))).alias("cx"), at("min_y").alias("y0"), at("max_y").alias("y1"))
+    a = a.withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
+    met = a.join(boxes.select(*side("b"), at("min_x").alias("cx"), at("min_y").alias("cy")), [*keys, "cx", "cy"])
+    return met.where((F.col("a") != F.col("b")) & g.bbox_contains("a", "b")).select(*keys, "a", "b")
 
 
 def relations(boxes: DataFrame, keys: list[str], near: float) -> DataFrame:

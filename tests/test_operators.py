@@ -497,3 +497,13 @@ def test_bm25_mean_idf_is_exact_for_many_rare_words(spark):
     want = retrieval.EPSILON * mean * (retrieval.K1 + 1) / (1 + retrieval.K1)
     for row in retrieval.bm25(chunks, asked).collect():
         assert abs(row.score / want - 1) < 1e-15
+
+
+def test_held_boxes_stand_in_one_cell(spark):
+    rng = random.Random(3)
+    rows = [("s", i, float(x), float(y), float(x + rng.choice([0, 1, 3, 9, 25])), float(y + rng.choice([0, 1, 2, 8, 30]))) for i, (x, y) in enumerate((rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(150))]
+    boxes = spark.createDataFrame(rows, "sheet string, id long, min_x double, min_y double, max_x double, max_y double")
+    found = spatial.containment_edges(boxes, ["sheet"])
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[2] <= b[2] and a[3] <= b[3] and a[4] >= b[4] and a[5] >= b[5])
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
