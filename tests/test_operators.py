@@ -507,3 +507,27 @@ def test_held_boxes_stand_in_one_cell(spark):
     want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[2] <= b[2] and a[3] <= b[3] and a[4] >= b[4] and a[5] >= b[5])
     assert sorted((r.a, r.b) for r in found.collect()) == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
+def _is_dealt_out(df) -> bool:
+    """Whether the pairs of a join are made over all cores, not beside a broadcast table in the tasks that read the other."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_of_boxes_are_made_over_all_cores(spark):
+    x = F.col("id").cast("double")
+    boxes = spark.range(40).select(F.lit("s").alias("sheet"), "id", x.alias("min_x"), x.alias("min_y"), (x + 2).alias("max_x"), (x + 2).alias("max_y"))
+    pairs, kinds, edges = spatial.box_pairs(boxes, ["sheet"], 0.0), spatial.relations(boxes, ["sheet"], 0.0), spatial.containment_edges(boxes, ["sheet"])
+    assert all(map(_is_dealt_out, (pairs, kinds, edges)))
+    assert (pairs.count(), kinds.count(), edges.count()) == (39 + 38, 39 + 38, 0)
+
+
+def test_lines_near_texts_are_found_over_all_cores(spark):
+    from plumbline.operators import dimensions
+
+    x = F.col("id").cast("double")
+    items = spark.range(30).select(F.lit("s").alias("sheet"), "id", x.alias("x"), F.lit(0.5).alias("y"), F.lit(None).cast("double").alias("angle"))
+    lines = spark.range(30).select(F.lit("s").alias("sheet"), "id", x.alias("x1"), F.lit(0.0).alias("y1"), (x + 1).alias("x2"), F.lit(0.0).alias("y2"))
+    found = dimensions.near_lines(items, lines, ["sheet"], reach=0.6).drop("rank")
+    assert _is_dealt_out(found) and found.count() == 30 + 29
