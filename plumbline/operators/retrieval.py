@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import token_estimate, tokens
-from plumbline.sources.work import kept
+from plumbline.sources.work import dealt, kept
 
 #: Constants of the ranking function, of rank fusion, and of the over-fetch.
 K1, B, EPSILON, RRF, OVERFETCH = 1.5, 0.75, 0.25, 60, 4
@@ -102,12 +107,95 @@ def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, scored)
 
 
+#: Scores that are worked out together in a task.
+SCORES_AT_ONCE = 1 << 21
+
+
+def _nine_decimals(score: np.ndarray) -> np.ndarray:
+    """Billionths, rounded half up by a number's shortest decimal form, as Spark's round takes it."""
+    scaled = score * 1e9
+    out = np.floor(scaled + 0.5)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-2):
+        out[i] = float(Decimal(repr(float(score[i]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.abs(scaled) < 2.0**52, out, scaled)
+
+
+def nearest_of(a: np.ndarray, pos: np.ndarray, q: np.ndarray, k: int, best: pd.DataFrame | None) -> pd.DataFrame:
+    """The k best rows (q, nine, pos, score) of each query q (m, d) among the vectors a (n, d) and the best so far.
+
+    A matrix product finds who may be among them; those are scored again, term by
+    term in order, so that a score doesn't depend on who is scored with it.
+    """
+    rough = q @ a.T
+    size = lambda v: np.sqrt((v * v).sum(axis=1).max())
+    apart = 1e-9 + 4e-16 * (q.shape[1] + 1) * size(a) * size(q)
+    least = np.full(len(q), -np.inf)
+    if best is not None:
+        last = best[best.groupby("q").cumcount() == k - 1]
+        least[last.q] = last.score - apart
+    hit = rough >= least[:, None]
+    if len(a) > k and hit.sum() > 4 * k * len(q):
+        hit &= rough >= (np.partition(rough, len(a) - k, axis=1)[:, len(a) - k] - 2 * apart)[:, None]
+    of, row = np.nonzero(hit)
+    score = np.zeros(len(of))
+    for i in range(q.shape[1]):
+        score += a[row, i] * q[of, i]
+    found = pd.DataFrame({"q": of, "nine": _nine_decimals(score), "pos": pos[row], "score": score})
+    found = found if best is None else pd.concat([best, found])
+    found = found.sort_values(["q", "nine", "pos"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("q").cumcount() < k]
+
+
+def _plain(vector: Column, size: int) -> Column:
+    """Whether a vector has so many numbers, all of them finite."""
+    return F.coalesce((F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def dense_nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, pos, score: for every query at least the k chunks that rank first, a task's k at most.
+
+    Vectors meet queries by matrix products, in blocks of QUERY_BLOCK queries. Pairs
+    with a vector that is null, of another length than the first query's or not
+    finite are scored one by one, as few are expected.
+    """
+    asked = queries.select("query_id", "qvec")
+    first = asked.where("size(qvec) > 0").select(F.size("qvec")).first()
+    if first is None:
+        return dense_scores(chunks, queries)
+    size, count = first[0], asked.count()
+    fit, known = asked.where(_plain(F.col("qvec"), size)), dealt(chunks.select("pos", "vec")).where(_plain(F.col("vec"), size))
+    n = -(-count // QUERY_BLOCK)
+    types = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *chunks.schema.fields]}
+
+    def look(ids: pa.ChunkedArray, q: np.ndarray):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, step = None, max(1, SCORES_AT_ONCE // len(q))
+            for batch in batches:
+                a = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                pos = batch.column("pos").to_pandas().to_numpy()
+                for low in range(0, len(a), step):
+                    best = nearest_of(a[low : low + step], pos[low : low + step], q, k, best)
+                kind = batch.schema.field("pos").type
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.q)).combine_chunks(), pa.array(best.pos, kind), pa.array(best.score)], ["query_id", "pos", "score"])
+
+        return search
+
+    parts = []
+    for block in range(1 if n == 1 else 2 * n):
+        table = (fit if n == 1 else fit.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == block)).toArrow()
+        if table.num_rows:
+            q = table.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            parts.append(known.mapInArrow(look(table.column("query_id"), q), f"query_id {types['query_id']}, pos {types['pos']}, score double"))
+    odd_queries, odd = asked.where(~_plain(F.col("qvec"), size)), chunks.where(~_plain(F.col("vec"), size))
+    return reduce(DataFrame.union, [*parts, dense_scores(odd, fit), dense_scores(chunks, odd_queries)])
+
+
 def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, city: str | None = None) -> DataFrame:
     """Exact inner-product neighbours; with a city, only the first OVERFETCH * k are looked at before the filter."""
-    scored = dense_scores(chunks, queries)
     if city is None:
-        return top_k(scored, k, *_best())
-    wide = top_k(scored, OVERFETCH * k, *_best()).drop("rank")
+        return top_k(dense_nearest(chunks, queries, k), k, *_best())
+    wide = top_k(dense_nearest(chunks, queries, OVERFETCH * k), OVERFETCH * k, *_best()).drop("rank")
     inside = wide.join(chunks.where(F.col("city").isin(city, "NATIONAL")).select("pos"), "pos")
     return top_k(inside, k, *_best())
 

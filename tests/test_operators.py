@@ -531,3 +531,19 @@ def test_lines_near_texts_are_found_over_all_cores(spark):
     lines = spark.range(30).select(F.lit("s").alias("sheet"), "id", x.alias("x1"), F.lit(0.0).alias("y1"), (x + 1).alias("x2"), F.lit(0.0).alias("y2"))
     found = dimensions.near_lines(items, lines, ["sheet"], reach=0.6).drop("rank")
     assert _is_dealt_out(found) and found.count() == 30 + 29
+
+
+def test_dense_nearest_meets_queries_by_matrix_product(spark, monkeypatch):
+    """Ties, copies, vectors that are null, short or infinite, and several blocks give what scoring pair by pair gives."""
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        v = [rng.randrange(-3, 4) / 4 for _ in range(4)] if i % 3 else [rng.gauss(0, 1) for _ in range(4)]
+        rows.append((i, None if i % 97 == 5 else v[:3] if i % 89 == 7 else [*v[:3], None] if i % 83 == 9 else [*v[:3], float("inf")] if i % 79 == 11 else v))
+    chunks = spark.createDataFrame(rows, "pos long, vec array<float>")
+    queries = chunks.where("pos % 10 in (0, 2)").select(F.col("pos").alias("query_id"), F.col("vec").alias("qvec"))
+    want = retrieval.top_k(retrieval.dense_scores(chunks, queries), 7, *retrieval._best())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 100)
+    got = retrieval.dense_top_k(chunks, queries, 7)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
