@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ UNIT_SPELLINGS = {"feet": "ft", "inch": "in", "inches": "in", "'": "ft", '"': "i
 MOST_BARE = 1000.0
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once however often it is used; inside a lambda, once for each of its elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of a-z, 0-9, dot and hyphen; all else separates."""
     clean = F.regexp_replace(F.lower(text), r"[^a-z0-9\s.\-]", " ")

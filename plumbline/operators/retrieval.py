@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import token_estimate, tokens
+from plumbline.functions.text import once, token_estimate, tokens
 from plumbline.sources.work import dealt, kept
 
 #: Constants of the ranking function, of rank fusion, and of the over-fetch.
@@ -238,17 +238,25 @@ def clause_starts(text: Column) -> Column:
     match, so that matches of one form don't overlap while those of two may. A
     control character 1 of the text reads as a blank in references.
     """
-    clean = F.translate(text, _MARK, " ")
+    return once(F.translate(text, _MARK, " "), _starts_in)
+
+
+def _starts_in(clean: Column) -> Column:
+    """clause_starts of a text without marks; what several steps use is worked out once (text.once)."""
+    none = F.array().cast("array<int>")
+
+    def starts(pieces: Column) -> Column:
+        """Where all pieces but the first begin: a running sum of lengths."""
+        step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["all"], s["at"] + F.length(p)).alias("all"))
+        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda s: s["all"])
+
     found = []
     for rank, pattern in enumerate(CLAUSE_STARTS):
         pieces = F.slice(F.split(F.regexp_replace(clean, pattern, _MARK + "$0"), _MARK), 1, 1 << 30)
-        lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
-        starts = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, v: s + v))  # noqa: B023
         refs, headings = (F.regexp_extract_all(clean, F.lit(pattern), F.lit(g)) for g in (1, 2))
         named = F.zip_with(refs, headings, lambda r, h: _stripped(F.concat(_stripped(r), F.lit(" "), _stripped(h))))
-        found.append(F.zip_with(starts, named, lambda p, r: F.struct(p.alias("start"), F.lit(rank).alias("rank"), r.alias("ref"))))  # noqa: B023
-    ordered = F.array_sort(F.concat(*found))
-    return F.filter(ordered, lambda s, i: (i == 0) | (s["start"] != F.get(ordered, i - 1)["start"]))
+        found.append(F.zip_with(once(pieces, starts), named, lambda p, r: F.struct(p.alias("start"), F.lit(rank).alias("rank"), r.alias("ref"))))  # noqa: B023
+    return once(F.array_sort(F.concat(*found)), lambda ordered: F.filter(ordered, lambda s, i: (i == 0) | (s["start"] != F.get(ordered, i - 1)["start"])))
 
 
 def chunk_clauses(pages: DataFrame, keys: list[str], max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:

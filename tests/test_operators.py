@@ -547,3 +547,15 @@ def test_dense_nearest_meets_queries_by_matrix_product(spark, monkeypatch):
     got = retrieval.dense_top_k(chunks, queries, 7)
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_clause_starts_are_worked_out_once(spark):
+    """A text of many clauses: the time grew with the square of their number, each step working out all before it again."""
+    import time
+
+    n = 300
+    rows = spark.createDataFrame([("Preface\n" + "".join(f"Section {i + 1}\n{'words and more words ' * 10}\n" for i in range(n)),)], "text string")
+    began = time.perf_counter()
+    (r,) = rows.select(retrieval.clause_starts(F.col("text")).alias("s")).collect()
+    assert len(r.s) == n and r.s[0].start == 8 and r.s[-1].ref.startswith(f"Section {n} words")
+    assert time.perf_counter() - began < 15
