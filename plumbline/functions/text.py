@@ -173,21 +173,31 @@ def json_answer(text: Column) -> Column:
     return F.when(F.try_parse_json(clean).isNotNull(), clean).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, as format_string prints it; decimals are quicker where the number is small enough."""
+    kind = f"decimal(18,{digits})"
+    # Numbers below 0, and -0, keep their sign even where they round to 0.
+    plain = (value > 0) & (value < 1e7)
+    return F.when(plain, F.round(value, digits).cast(kind).cast("string")).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def _short(value: Column) -> Column:
     """Six significant digits without trailing zeros, null where that takes an exponent."""
-    digits = 5 - F.floor(F.log10(F.abs(value)))
-    text = F.lit(None).cast("string")
-    for d in range(10):
-        text = F.when(digits == d, F.format_string(f"%.{d}f", value)).otherwise(text)
-    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")).otherwise(text)
+    shown = lambda digits: reduce(lambda rest, d: F.when(digits == d, _fixed(value, d)).otherwise(rest), range(10), F.lit(None).cast("string"))
+    ends = lambda t: F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")).otherwise(t)
+    text = once(once(5 - F.floor(F.log10(F.abs(value))), shown), ends)
     return F.when(value == 0, "0").when((F.abs(value) >= 1e-4) & (F.abs(value) < 1e6), text)
 
 
 def value_forms(value: Column) -> Column:
     """The ways in which a number may be printed: two decimals, one, six digits at most, and below 1 with a leading dot."""
-    two, one = F.format_string("%.2f", value), F.format_string("%.1f", value)
-    dot = lambda c: F.when((value > 0) & (value < 1), F.substr(c, F.lit(2)))
-    return F.array_distinct(F.array_compact(F.array(two, one, _short(value), dot(two), dot(one))))
+
+    def forms(v: Column) -> Column:
+        dot = lambda c: F.when((v > 0) & (v < 1), F.substr(c, F.lit(2)))
+        printed = F.struct(_fixed(v, 2).alias("two"), _fixed(v, 1).alias("one"))
+        return once(printed, lambda s: F.array_distinct(F.array_compact(F.array(s["two"], s["one"], _short(v), dot(s["two"]), dot(s["one"])))))
+
+    return once(value, forms)
 
 
 #: Fixed value: numbers of a native text, as they are compared.
@@ -212,9 +222,13 @@ def grounding(value: Column, evidence: Column, tokens_: Column) -> Column:
     """
     read = F.regexp_extract(evidence, r"\d+(?:\.\d+)?", 0).try_cast("double")
     v = F.when(value.isNull() | (value == 0), F.coalesce(read, value)).otherwise(value)
-    printed = F.coalesce(F.size(tokens_) > 0, F.lit(False)) & F.arrays_overlap(value_forms(v), tokens_)
-    bare = F.coalesce(F.size(tokens_), F.lit(0)) == 0
-    return F.struct(v.alias("value"), F.when(v.isNotNull(), printed).alias("grounded"), (v.isNull() | bare | printed).alias("keep"))
+
+    def judged(s: Column) -> Column:
+        printed = F.coalesce(F.size(s["tokens"]) > 0, F.lit(False)) & F.arrays_overlap(value_forms(s["value"]), s["tokens"])
+        bare = F.coalesce(F.size(s["tokens"]), F.lit(0)) == 0
+        return once(F.struct(printed.alias("printed"), bare.alias("bare")), lambda t: F.struct(s["value"].alias("value"), F.when(s["value"].isNotNull(), t["printed"]).alias("grounded"), (s["value"].isNull() | t["bare"] | t["printed"]).alias("keep")))
+
+    return once(F.struct(v.alias("value"), tokens_.alias("tokens")), judged)
 
 
 def token_in_text(value: Column, text: Column) -> Column:

@@ -559,3 +559,19 @@ def test_clause_starts_are_worked_out_once(spark):
     (r,) = rows.select(retrieval.clause_starts(F.col("text")).alias("s")).collect()
     assert len(r.s) == n and r.s[0].start == 8 and r.s[-1].ref.startswith(f"Section {n} words")
     assert time.perf_counter() - began < 15
+
+
+def test_numbers_print_as_the_formatter_prints_them(spark):
+    values = [0.0, -0.0, -0.001, 0.005, 1.005, 2.675, 0.125, 99.995, 9999999.995, 12345678.9, 1e16, 1e-5, 0.09999999, float("nan"), None] + [i / 16 for i in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    differ = [rows.where(~text._fixed(F.col("v"), d).eqNullSafe(F.format_string(f"%.{d}f", "v"))).count() for d in (0, 1, 2, 5)]
+    assert differ == [0] * 4
+
+
+def test_grounding_works_out_a_value_once(spark):
+    """The plan names the evidence that a value is read from once, not for each form in which it may be printed."""
+    rows = spark.createDataFrame([(0.0, "reads 9.14", ["9.14"]), (3.0, "", ["4"])], "v double, said_here string, t array<string>")
+    found = rows.select(text.grounding(F.col("v"), F.col("said_here"), F.col("t")).alias("g")).select("g.*")
+    assert [tuple(r) for r in found.collect()] == [(9.14, True, True), (3.0, False, False)]
+    plan = rows.select(text.grounding(F.col("v"), F.col("said_here"), F.col("t")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(said_here") == 1
