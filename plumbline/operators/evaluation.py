@@ -9,6 +9,7 @@ from plumbline.functions import measures as m
 from plumbline.functions.levels import cap_level, level_from_score
 from plumbline.functions.text import value_forms
 from plumbline.operators import scoring
+from plumbline.sources.work import spread_join
 
 #: Fields without which a plan's boundary isn't resolved.
 BOUNDARY = ("plot.width", "plot.depth", "building.footprint_area")
@@ -135,7 +136,7 @@ def grounded_items(items: DataFrame, tokens: DataFrame, keys: list[str]) -> dict
     """
     from plumbline.functions.text import grounding
 
-    rows = items.join(tokens, keys, "left")
+    rows = spread_join(items, tokens, keys, "left")
     rows = rows.withColumn("g", F.explode(F.array(grounding(F.col("value"), F.col("evidence"), F.coalesce("tokens", F.array().cast("array<string>"))))))
     rows = rows.withColumn("value", F.col("g.value")).withColumn("grounded", F.col("g.grounded")).withColumn("keep", F.col("g.keep")).drop("g", "tokens")
     warning = F.concat(F.lit("not printed on the page: "), F.element_at(value_forms(F.col("value")), 1))
