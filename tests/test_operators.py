@@ -575,3 +575,20 @@ def test_grounding_works_out_a_value_once(spark):
     assert [tuple(r) for r in found.collect()] == [(9.14, True, True), (3.0, False, False)]
     plan = rows.select(text.grounding(F.col("v"), F.col("said_here"), F.col("t")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(said_here") == 1
+
+
+def test_parts_grow_with_the_bytes_read(spark, tmp_path):
+    """A task's memory doesn't grow with the input: what is dealt out has a part for each so many bytes read."""
+    from plumbline.operators import drawing
+    from plumbline.sources import work
+
+    path = str(tmp_path / "boxes")
+    spark.range(20000).selectExpr("id", "rand(1) as x").write.parquet(path)
+    few, many = work.dealt(spark.read.parquet(path), "id", each=1 << 40), work.dealt(spark.read.parquet(path), "id", each=4096)
+    assert few.rdd.getNumPartitions() == max(4, 2 * spark.sparkContext.defaultParallelism) and many.rdd.getNumPartitions() > 20
+    ring = F.array(*[geometry.point(F.col("id") + a, F.lit(b)) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    plots = spark.range(9).select("id", ring.alias("points"))
+    seen = plots.select("id", F.lit("road").alias("kind"), F.lit(0.0).alias("x"), F.lit(5.0).alias("y"))
+    sides = plots.select("id", F.lit(0).alias("front"), F.lit(2).alias("rear"), F.array(F.lit(3)).alias("lefts"), F.array(F.lit(1)).alias("rights"))
+    for found in (drawing.front_sides(plots, seen, "id"), drawing.setbacks(plots, plots, sides, "id", F.lit(1.0))):
+        assert found.count() == 9 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
