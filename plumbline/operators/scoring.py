@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,9 +161,10 @@ def sign_flip(rows: DataFrame, difference: str, *keys: str) -> DataFrame:
     d = F.bround(F.col(difference).cast("double") / STEP).cast("long")
     per = rows.where(F.col(difference).isNotNull()).select(*keys, d.alias("d")).groupBy(*keys, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    # A group is one row with its sizes, so that a task goes through many groups in one call.
+    groups = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("all"), F.sum("total").alias("total")).select(*keys, "all.size", "all.n", "total")
 
-    def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size, n, total = part["size"].to_numpy(), part["n"].to_numpy(), int(part["total"].sum())
+    def test(size: np.ndarray, n: np.ndarray, total: int) -> tuple[int, float, float]:
         step = int(np.gcd.reduce(size)) or 1
         size, reach = size // step, int((size // step * n).sum())
         if reach * int(n.sum()) > MOST_WORK:
@@ -170,8 +173,19 @@ def sign_flip(rows: DataFrame, difference: str, *keys: str) -> DataFrame:
         chance[reach] = 1.0
         for s, times in zip(size.tolist(), n.tolist(), strict=True):
             for _ in range(times if s else 0):
-                chance = (np.concatenate([chance[s:], np.zeros(s)]) + np.concatenate([np.zeros(s), chance[:-s]])) / 2
+                grown = np.zeros(2 * reach + 1)
+                grown[: len(grown) - s] = chance[s:]
+                grown[s:] += chance[: len(grown) - s]
+                chance = grown / 2
         far = np.abs(np.arange(-reach, reach + 1)) >= abs(total) // step
-        return pd.DataFrame([(*key, int(n.sum()), total * STEP, float(chance[far].sum()))], columns=[*keys, "n", "observed", "p_value"])
+        return int(n.sum()), total * STEP, float(chance[far].sum())
+
+    def tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("size").value_lengths().to_numpy().cumsum()
+            size, n = (batch.column(c).flatten().to_numpy() for c in ("size", "n"))
+            found = [test(size[end - k : end], n[end - k : end], total) for end, k, total in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), batch.column("total").to_pylist(), strict=True)]
+            parts = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array(p, t) for p, t in zip(parts, (pa.int64(), pa.float64(), pa.float64()), strict=True)]], [*keys, "n", "observed", "p_value"])
 
-    return per.groupBy(*keys).applyInPandas(test, f"{types}, n long, observed double, p_value double")
+    return groups.mapInArrow(tests, f"{types}, n long, observed double, p_value double")

@@ -592,3 +592,10 @@ def test_parts_grow_with_the_bytes_read(spark, tmp_path):
     sides = plots.select("id", F.lit(0).alias("front"), F.lit(2).alias("rear"), F.array(F.lit(3)).alias("lefts"), F.array(F.lit(1)).alias("rights"))
     for found in (drawing.front_sides(plots, seen, "id"), drawing.setbacks(plots, plots, sides, "id", F.lit(1.0))):
         assert found.count() == 9 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sign_flip_goes_through_many_groups_in_one_call(spark):
+    rows = spark.createDataFrame([(k, float(d)) for k in (1, None, 3) for d in (1, -2, 3)], "k long, d double")
+    found = scoring.sign_flip(rows, "d", "k")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k or 0, r.n, r.observed, r.p_value) for r in found.collect()) == [(0, 3, 2.0, 0.75), (1, 3, 2.0, 0.75), (3, 3, 2.0, 0.75)]
