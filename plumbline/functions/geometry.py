@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import once
+
 
 def shifted(points: Column) -> Column:
     """Each point's successor around the ring."""
@@ -101,12 +103,14 @@ def box_ring(min_x: str = "min_x", min_y: str = "min_y", max_x: str = "max_x", m
 def centroid(points: Column) -> Column:
     """Centre of mass of the ring; the mean of its vertices where it has no area."""
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    ring = edges(points)
-    twice = _total(F.transform(ring, cross))
-    by_area = lambda a, b: _total(F.transform(ring, lambda e: (e[a] + e[b]) * cross(e))) / (3.0 * twice)
     mean = lambda axis: _total(F.transform(points, lambda p: p[axis])) / F.size(points)
-    flat = F.abs(twice) < 2e-9
-    return point(F.when(flat, mean("x")).otherwise(by_area("x1", "x2")), F.when(flat, mean("y")).otherwise(by_area("y1", "y2")))
+
+    def centre(ring: Column, twice: Column) -> Column:
+        by_area = lambda a, b: _total(F.transform(ring, lambda e: (e[a] + e[b]) * cross(e))) / (3.0 * twice)
+        flat = F.abs(twice) < 2e-9
+        return point(F.when(flat, mean("x")).otherwise(by_area("x1", "x2")), F.when(flat, mean("y")).otherwise(by_area("y1", "y2")))
+
+    return once(edges(points), lambda ring: once(_total(F.transform(ring, cross)), lambda twice: centre(ring, twice)))
 
 
 def segments_intersect(a: Column, b: Column) -> Column:
@@ -161,6 +165,10 @@ def orientation_alignment(a: Column, b: Column) -> Column:
 
 def outward_normal(edge: Column, centre: Column) -> Column:
     """Unit normal of an edge on the side away from the centre; 0 for an edge without length."""
+    return once(F.struct(edge.alias("e"), centre.alias("c")), lambda s: _outward(s["e"], s["c"]))
+
+
+def _outward(edge: Column, centre: Column) -> Column:
     dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
     length = F.hypot(dx, dy)
     away = -dy * ((edge["x1"] + edge["x2"]) / 2 - centre["x"]) + dx * ((edge["y1"] + edge["y2"]) / 2 - centre["y"])

@@ -599,3 +599,11 @@ def test_sign_flip_goes_through_many_groups_in_one_call(spark):
     found = scoring.sign_flip(rows, "d", "k")
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.k or 0, r.n, r.observed, r.p_value) for r in found.collect()) == [(0, 3, 2.0, 0.75), (1, 3, 2.0, 0.75), (3, 3, 2.0, 0.75)]
+
+
+def test_centre_of_a_ring_is_worked_out_once(spark):
+    rows = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    ring = F.array(*[geometry.point(x, y) for x, y in ((F.col("a"), F.lit(0)), (F.col("b"), F.lit(0)), (F.col("b"), F.lit(3)), (F.col("a"), F.lit(3)))])
+    plan = rows.select(geometry.centroid(ring).alias("c"))
+    assert plan.select("c.*").first()[:] == (1.5, 1.5)
+    assert plan._jdf.queryExecution().analyzed().toString().count("zip_with") == 1
